@@ -114,9 +114,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     said = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["kind"] < 3)
     count = lambda test: F.size(F.filter("found", test)).cast("long")
+    of_kind = lambda k: count(lambda s: s["kind"] == k)
     return rows.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
-        *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        *(of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("found")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
@@ -132,7 +133,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     texts. Null texts stay null.
     """
     others = [c for c in docs.columns if c != text_col]
-    keyed = docs.withColumn("hazeline_key", F.xxhash64(docs[id_col], docs[text_col], docs[owner_col]))
+    keys = [F.xxhash64(docs[id_col], docs[text_col], docs[owner_col]), F.xxhash64(docs[owner_col], docs[text_col], docs[id_col])]
+    keyed = docs.withColumn("hazeline_key", F.concat_ws(":", *keys))
     spans = scan(keyed.select(F.col("hazeline_key"), keyed[text_col], keyed[owner_col]), "hazeline_key", text_col, owner_col, EXAMPLE_OWNERS)
     spans = spans.where("spans != ''").select("hazeline_key", "found").dropDuplicates(["hazeline_key"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import bpe_codec, licences, packing, secrets, sharding, toxicity
+from hazeline.llm import bpe_codec, licences, packing, secrets, sharding, suffix_dedup, toxicity
 
 #: Where the vocabulary files lie; the installed package knows if this is None.
 TOKENIZERS: str | None = None
@@ -25,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("found")
 
@@ -53,6 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op4_extendible_sharding": op4_extendible_sharding,
         "op6_byte_bpe": op6_byte_bpe,

@@ -51,3 +51,12 @@ def restored(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     """Give the id its type and name back."""
     rest = [c for c in df.columns if c != "id"]
     return df.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *rest)
+
+
+def drop_spool(df: DataFrame) -> None:
+    """Delete a table that ``spool`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

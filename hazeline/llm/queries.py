@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import bpe_codec, licences, packing, secrets, sharding, suffix_dedup, toxicity
+from hazeline.llm import ann, bpe_codec, jaccard, licences, packing, secrets, sharding, suffix_dedup, topk, toxicity
 
 #: Where the vocabulary files lie; the installed package knows if this is None.
 TOKENIZERS: str | None = None
@@ -29,6 +29,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(_table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.knn(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("found")
 
@@ -37,6 +41,10 @@ def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), cols=["text"])
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_codec.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -55,15 +63,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_secret_scan": op3_secret_scan,
         "op4_extendible_sharding": op4_extendible_sharding,
+        "op5_exact_topk": op5_exact_topk,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_licence_scan": op7_licence_scan,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 

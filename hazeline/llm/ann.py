@@ -22,7 +22,7 @@ from hazeline.llm.runtime import spool
 from hazeline.llm.vectors import best, crossed, finite, matrix
 
 DIRECTIONS = 10
-LEAF = 64
+LEAF = 256
 #: Chance with which a nearer row would have been met before a query stops.
 SURE = 0.97
 SEED = 20240229
@@ -85,8 +85,8 @@ class KdTree:
                     heapq.heappush(heap, (away[c], c))
 
 
-def nearest(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, tree: KdTree, project: np.ndarray, bound: float):
-    """For each query the (row, distance) of its ``k`` nearest found; ``own``: the query's row name, never a candidate."""
+def nearest(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, tree: KdTree, shadow: np.ndarray, project: np.ndarray, bound: float):
+    """For each query the (row, distance) of its ``k`` nearest found; ``own``: the query's row name, never a candidate; ``shadow``: projections."""
     asked = queries @ project
     for q, p, me in zip(queries, asked, own, strict=True):
         rows, dist = np.zeros(0, np.int64), np.zeros(0)
@@ -95,6 +95,9 @@ def nearest(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
             # beyond ``away`` a row at the k-th distance or less would be a chance of less than 1 - SURE
             if len(rows) >= k and (away > bound * kth * kth if kth > 0 else away > 0):
                 break
+            if kth < math.inf:  # the same test for each row of the leaf
+                near = shadow[leaf] - p
+                leaf = leaf[np.einsum("ij,ij->i", near, near) <= bound * kth * kth]
             d = index[leaf] - q
             d = np.sqrt(np.einsum("ij,ij->i", d, d))
             fit = (d <= kth) & (ids[leaf] != me)
@@ -118,20 +121,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, directions: int
     m = directions + directions % 2
     bound = chi_square_quantile(sure, m)
 
-    def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "query_row": [], "vec_id": [], "score": []}
         if len(rows) and len(asked):
             index, q = matrix(rows["v"]), matrix(asked["v"])
             project = np.random.default_rng(SEED).standard_normal((index.shape[1], m))
             ids, names = rows["id"].to_numpy(), rows["n"].to_numpy()
-            tree = KdTree(index @ project)
+            shadow = index @ project
+            tree = KdTree(shadow)
             own = asked["n"].to_numpy()
             order = np.argsort(ids, kind="stable")  # ties go to the smaller id
             place = np.empty(len(ids), np.int64)
             place[order] = np.arange(len(ids))
             name_place = dict(zip(names.tolist(), place.tolist(), strict=True))
             me = np.array([name_place.get(n, -1) for n in own.tolist()])
-            for i, (found, dist) in enumerate(nearest(index, place, q, me, k, tree, project, bound)):
+            for i, (found, dist) in enumerate(nearest(index, place, q, me, k, tree, shadow, project, bound)):
                 out["query_id"] += [asked["id"].iloc[i]] * len(found)
                 out["query_row"] += [own[i]] * len(found)
                 out["vec_id"] += ids[found].tolist()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.ann import usable
+from hazeline.llm.runtime import spool
 from hazeline.llm.vectors import SHARD_ROWS, best, crossed, matrix
 
 LEAF = 256
@@ -95,7 +96,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score (long): the ``k`` largest inner products, ties to smaller ids; both: id, v (integers), n."""
     total, asked = vectors.count(), queries.count()
 
-    def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": np.zeros(0, np.int64), "query_row": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)}
         if len(rows) and len(asked):
             points, q = matrix(rows["v"]), matrix(asked["v"])
@@ -120,7 +121,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         one = vectors.where(F.pmod(F.xxhash64("id", "n"), F.lit(shards)) == 0)
         first = best(crossed(one, queries, 1, asked, run, schema), k, nearest=False)
         floors = first.where(F.col("rank") == k).select(F.col("query_row").alias("n"), F.col("score").cast("double").alias("floor"))
-        queries = queries.join(floors, "n", "left").select("id", "n", "v", "floor")
+        queries = queries.join(spool(floors, "floors"), "n", "left").select("id", "n", "v", "floor")
     found = best(crossed(vectors, queries, total, asked, run, schema), k, nearest=False)
     return found.select("query_id", "rank", "vec_id", "score")
 

@@ -22,7 +22,7 @@ def matrix(column) -> np.ndarray:
 
 
 def crossed(rows: DataFrame, queries: DataFrame, total: int, asked: int, search, schema: str) -> DataFrame:
-    """``search(key, rows, queries)`` for each shard of ``rows`` and block of ``queries``; both have id, v and n (a number of the row's own).
+    """``search(rows, queries)`` for each shard of ``rows`` and block of ``queries``; both have id, v and n (a number of the row's own).
 
     Shards and blocks are of bounded size (by hash), and each pair of them is a
     task of its own, so the work spreads however large either side grows.
@@ -31,9 +31,18 @@ def crossed(rows: DataFrame, queries: DataFrame, total: int, asked: int, search,
     shard = F.pmod(F.xxhash64("id", "n"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("id", "n"), F.lit(blocks)).cast("int")
     left = rows.select("id", "n", "v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    more = [c for c in queries.columns if c == "floor"]
-    right = queries.select("id", "n", "v", *more, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, schema)
+    names = [c for c in ("id", "n", "v", "floor") if c in queries.columns]
+    # names of their own: both sides may come from one table
+    right = queries.select(
+        *(F.col(c).alias(f"ask_{c}") for c in names),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("ask_shard"), block.alias("ask_block"),
+    )
+    right = right.withColumnsRenamed({"ask_shard": "shard", "ask_block": "block"})
+
+    def run(key, mine, asked):
+        return search(mine, asked.rename(columns={f"ask_{c}": c for c in names}))
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, schema)
 
 
 def best(found: DataFrame, k: int, nearest: bool) -> DataFrame:

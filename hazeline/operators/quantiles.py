@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +40,10 @@ def quantile(df: DataFrame, col: str, p: float) -> float | None:
     if not n:
         return None
     at = p * (n - 1)
-    lower = _ranked(values, int(np.floor(at)), low, high)
-    upper = lower if at == int(at) else _ranked(values, int(np.floor(at)) + 1, low, high)
-    return lower + (upper - lower) * (at - np.floor(at))
+    whole = int(at)
+    lower = _ranked(values, whole, low, high)
+    upper = lower if at == whole else _ranked(values, whole + 1, low, high)
+    return lower + (upper - lower) * (at - whole)
 
 
 def _ranked(values: DataFrame, rank: int, low: float, high: float) -> float:

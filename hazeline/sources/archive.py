@@ -25,7 +25,8 @@ def hourly_rows(answers: DataFrame, variables: Sequence[str], body: str = "body"
     kind = "struct<hourly: struct<time: array<string>, " + ", ".join(f"`{v}`: array<double>" for v in variables) + ">>"
     parsed = answers.select(*keep, F.from_json(F.col(body), kind).alias("_a"))
     h = F.col("_a.hourly")
-    zipped = F.arrays_zip(h["time"].alias("time"), *(h[v].alias(v) for v in variables))
+    none = F.array().cast("array<double>")
+    zipped = F.arrays_zip(h["time"].alias("time"), *(F.coalesce(h[v], none).alias(v) for v in variables))
     rows = parsed.select(*keep, F.explode(zipped).alias("_r")).where(F.col("_r.time").isNotNull())
     return rows.select(*keep, _time(F.col("_r.time")).alias("time"), *(F.col(f"_r.{v}").alias(v) for v in variables))
 

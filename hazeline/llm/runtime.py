@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,22 @@ def drop_spool(df: DataFrame) -> None:
     if files:
         folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups from batches sorted by ``key``, each of at least ``rows`` rows but for the last."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in batches:
+        if len(pdf):
+            held.append(pdf)
+            size += len(pdf)
+        if size >= rows:
+            every = pd.concat(held)
+            last = (every[key] == every[key].iloc[-1]).to_numpy()
+            if not last.all():
+                yield every[~last]
+                every = every[last]
+            held, size = [every], len(every)
+    if held:
+        yield pd.concat(held)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.arrays import chunks, mix, powers, prefix_sums, span_hashes
-from hazeline.llm.runtime import drop_spool, partitions, row_keys, spool, text_column
+from hazeline.llm.runtime import drop_spool, partitions, row_keys, spool, text_column, whole_groups
 from hazeline.llm.suffix_array import suffix_array
 
 LENGTH = 400
@@ -163,32 +163,8 @@ def _repeats(around: DataFrame, length: int) -> DataFrame:
             })
 
     def run(batches):
-        held: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            while len(pdf):
-                # as many rows as fill the buffer, but no anchor's rows apart
-                take = min(len(pdf), SORTED)
-                if size + take >= SORTED:
-                    grams = pdf["gram"].to_numpy()
-                    same = grams[take - 1]
-                    while take < len(pdf) and grams[take] == same:
-                        take += 1
-                held.append(pdf.iloc[:take])
-                size += take
-                pdf = pdf.iloc[take:]
-                if size >= SORTED and len(pdf):
-                    yield from flush(pd.concat(held))
-                    held, size = [], 0
-                elif size >= SORTED:
-                    # the last anchor may go on in the next batch
-                    every = pd.concat(held)
-                    last = every["gram"] == every["gram"].iloc[-1]
-                    if not last.all():
-                        yield from flush(every[~last])
-                    held, size = [every[last]], int(last.sum())
-        if held:
-            yield from flush(pd.concat(held))
+        for rows in whole_groups(batches, "gram", SORTED):
+            yield from flush(rows)
 
     dealt = around.repartition(partitions(around.sparkSession), "gram").sortWithinPartitions("gram")
     return dealt.mapInPandas(run, "gram long, around long, low array<int>, high array<int>")
@@ -209,9 +185,10 @@ def _hot_repeats(around: DataFrame, length: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, hot: int) -> DataFrame:
-    """``docs`` with k1, k2 and the arrays ``starts`` and ``ends`` (bytes; null if none) of repeated strings, overlaps included."""
+    """``docs`` with hazeline_starts and hazeline_ends: arrays (null if none) of the byte ranges of repeated strings, overlaps included."""
     keyed = docs.withColumn("hazeline_text", text_column(docs, text_col))
-    keyed = keyed.select("*", *row_keys(keyed[id_col].cast("string"), keyed["hazeline_text"]))
+    one, two = row_keys(keyed[id_col].cast("string"), keyed["hazeline_text"])
+    keyed = keyed.select("*", one.alias("hazeline_k1"), two.alias("hazeline_k2"))
     long = keyed.where(F.octet_length("hazeline_text") > 0)
 
     def scan(batches):
@@ -220,9 +197,10 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, hot: int)
             for index, begin, _, found in text_anchors([t.encode() for t in pdf["text"]], length):
                 yield pd.DataFrame({"k1": k1[index], "k2": k2[index], "place": found["place"] - begin, "gram": found["gram"], "around": found["around"]})
 
-    texts = long.select("k1", "k2", F.col("hazeline_text").alias("text"))
+    texts = long.select(F.col("hazeline_k1").alias("k1"), F.col("hazeline_k2").alias("k2"), F.col("hazeline_text").alias("text"))
     every = spool(texts.mapInPandas(scan, "k1 long, k2 long, place long, gram long, around long"), "anchors")
-    again = every.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that both sides of the join come from shuffles that Spark can split where one anchor is frequent
+    again = spool(every.groupBy("gram").count().where("count > 1").select("gram"), "repeated")
     seen = spool(every.join(again, "gram"), "repeated-anchors")
     drop_spool(every)
 
@@ -234,33 +212,38 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, hot: int)
 
     def cut(batches):
         for pdf in batches:
-            for row in range(len(pdf)):
-                one = pdf.iloc[row]
-                counts = dict(zip(one["around"].tolist(), one["n"].tolist(), strict=True))
-                for _, _, data, found in text_anchors([one["text"].encode()], length):
-                    own = np.flatnonzero(np.isin(found["around"], one["around"]))
-                    digest = found["around"][own]
-                    first, windows, place = (found[c][own] for c in ("first", "windows", "place"))
-                    raw = data.tobytes()
-                    yield pd.DataFrame({
-                        "gram": found["gram"][own], "around": digest, "n": np.array([counts[d] for d in digest.tolist()], np.int64),
-                        "anchor": (place - first).astype(np.int32), "windows": windows.astype(np.int32),
-                        "bytes": [raw[a : a + w - 1 + length] for a, w in zip(first.tolist(), windows.tolist(), strict=True)],
-                    }).drop_duplicates("around")
+            # digests wanted of each text, as one sorted key for both
+            sizes = pdf["around"].map(len).to_numpy()
+            keys = np.concatenate(pdf["around"].to_numpy()).view(np.uint64) ^ mix(np.repeat(np.arange(len(pdf)), sizes))
+            order = np.argsort(keys)
+            keys, counts = keys[order], np.concatenate(pdf["n"].to_numpy())[order]
+            for index, _, data, found in text_anchors([t.encode() for t in pdf["text"]], length):
+                own = found["around"].view(np.uint64) ^ mix(index)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == own)
+                _, once = np.unique(own[hit], return_index=True)
+                hit = hit[once]
+                first, windows, place = (found[c][hit] for c in ("first", "windows", "place"))
+                raw = data.tobytes()
+                yield pd.DataFrame({
+                    "gram": found["gram"][hit], "around": found["around"][hit], "n": counts[at[hit]],
+                    "anchor": (place - first).astype(np.int32), "windows": windows.astype(np.int32),
+                    "bytes": [raw[a : a + w - 1 + length] for a, w in zip(first.tolist(), windows.tolist(), strict=True)],
+                })
 
     around = wanted.join(texts, ["k1", "k2"]).select("text", "around", "n").mapInPandas(cut, "gram long, around long, n long, anchor int, windows int, bytes binary")
-    many = seen.groupBy("gram").count().where(F.col("count") > hot).select("gram")  # at most 1 of ``hot`` anchors
+    many = distinct.groupBy("gram").count().where(F.col("count") > hot).select("gram")
     if many.limit(1).count():
-        # ``many`` comes from counts of all occurrences, so it holds every anchor with more than ``hot`` surroundings
         found = _repeats(around.join(many, "gram", "left_anti"), length).unionByName(_hot_repeats(around.join(many, "gram", "left_semi"), length))
     else:
         found = _repeats(around, length)
     spans = (
         seen.join(found, ["gram", "around"])
         .select("k1", "k2", F.expr("transform(high, t -> place - t)").alias("s"), F.expr(f"transform(low, t -> place - t + {length})").alias("e"))
-        .groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
+        .groupBy(F.col("k1").alias("hazeline_k1"), F.col("k2").alias("hazeline_k2"))
+        .agg(F.flatten(F.collect_list("s")).alias("hazeline_starts"), F.flatten(F.collect_list("e")).alias("hazeline_ends"))
     )
-    return keyed.join(spans, ["k1", "k2"], "left")
+    return keyed.join(spans, ["hazeline_k1", "hazeline_k2"], "left")
 
 
 def merged(starts, ends) -> tuple[np.ndarray, np.ndarray]:
@@ -294,14 +277,14 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     def run(batches):
         for pdf in batches:
             rows = []
-            for text, s, e in zip(pdf["text"], pdf["starts"], pdf["ends"], strict=True):
+            for text, s, e in zip(pdf["hazeline_text"], pdf["hazeline_starts"], pdf["hazeline_ends"], strict=True):
                 data = text.encode()
                 a, b = merged(s, e)
                 rows.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(kept_bytes(data, a, b)).hexdigest(), a, b))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
             yield out.assign(id=pdf["id"].to_numpy())
 
-    marked = _marked(source, length, "text", "id", hot).select(F.col("id").cast("string").alias("id"), F.col("hazeline_text").alias("text"), "starts", "ends")
+    marked = _marked(source, length, "text", "id", hot).select(F.col("id").cast("string").alias("id"), "hazeline_text", "hazeline_starts", "hazeline_ends")
     found = marked.mapInPandas(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, id string")
     kind = docs.schema[id_col].dataType
     return found.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
@@ -317,8 +300,9 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         return pd.Series([kept_bytes(t.encode(), *merged(s, e)).decode("utf-8", "ignore") if t is not None else None for t, s, e in zip(text, starts, ends, strict=True)])
 
     marked = _marked(docs, length, text_col, id_col, hot)
-    cut = F.pandas_udf(run, "string")(F.col(text_col), F.col("starts"), F.col("ends"))
-    out = marked.withColumn(text_col, F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(cut))
+    cut = F.pandas_udf(run, "string")(F.col(text_col), F.col("hazeline_starts"), F.col("hazeline_ends"))
+    same = F.col("hazeline_starts").isNull()
+    out = marked.withColumn(text_col, F.when(same, F.col(text_col)).otherwise(cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("starts").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

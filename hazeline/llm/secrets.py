@@ -104,11 +104,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     judged = each.join(held, "value").select("row", F.struct("start", "kind", "end", "value", "owners", "repositories", live).alias("s"))
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("found"))
     kept = F.filter("found", lambda s: (s["kind"] < 3) | s["live"])
+    examples = F.size(F.filter("found", lambda s: ~s["live"])).cast("long")
     # most rows have no candidate: they need no join
     none = F.lit(None).cast(judged.schema["found"].dataType)
     rows = (
-        found.where(F.size("found") > 0).select("row", "id").join(judged, "row").select("id", kept.alias("found"))
-        .unionByName(found.where(F.size("found") == 0).select("id", F.coalesce(none, F.array().cast(judged.schema["found"].dataType)).alias("found")))
+        found.where(F.size("found") > 0).select("row", "id").join(judged, "row").select("id", kept.alias("found"), examples.alias("n_example"))
+        .unionByName(found.where(F.size("found") == 0).select("id", F.coalesce(none, F.array().cast(judged.schema["found"].dataType)).alias("found"), F.lit(0).cast("long").alias("n_example")))
     )
     names = F.array(*map(F.lit, KINDS))
     said = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -121,7 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("found")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
-        count(lambda s: ~s["live"]).alias("n_example"),
+        "n_example",
         "found",
     )
 
@@ -136,7 +137,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     keys = [F.xxhash64(docs[id_col], docs[text_col], docs[owner_col]), F.xxhash64(docs[owner_col], docs[text_col], docs[id_col])]
     keyed = docs.withColumn("hazeline_key", F.concat_ws(":", *keys))
     spans = scan(keyed.select(F.col("hazeline_key"), keyed[text_col], keyed[owner_col]), "hazeline_key", text_col, owner_col, EXAMPLE_OWNERS)
-    spans = spans.where("spans != ''").select("hazeline_key", "found").dropDuplicates(["hazeline_key"])
+    spans = spans.where("spans != ''").select("hazeline_key", F.col("found").alias("hazeline_found")).dropDuplicates(["hazeline_key"])
 
     def blank(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
@@ -153,8 +154,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
             out.append("".join([*made, t[at:]]))
         return pd.Series(out)
 
-    blanked = F.pandas_udf(blank, T.StringType())(F.col(text_col), F.col("found"))
+    blanked = F.pandas_udf(blank, T.StringType())(F.col(text_col), F.col("hazeline_found"))
     joined = keyed.join(spans, "hazeline_key", "left").withColumn(text_col, blanked)
     if "n_chars" in others:
-        joined = joined.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+        joined = joined.withColumn("n_chars", F.when(F.col("hazeline_found").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

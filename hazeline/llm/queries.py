@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hazeline.llm import ann, bpe_codec, jaccard, licences, packing, secrets, sharding, suffix_dedup, topk, toxicity
 

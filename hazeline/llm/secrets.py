@@ -100,6 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     each = found.select("row", "id", "owner", F.explode("found").alias("c")).select("row", "id", "owner", "c.*")
     held = each.groupBy("value", "owner").agg(F.count_distinct(F.coalesce("id", F.lit(""))).alias("repositories"))
     held = held.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("repositories").alias("repositories"))
+    held = spool(held, "ownership")  # the join below can then be split where one value is frequent
     live = (F.col("owners") < example_owners).alias("live")
     judged = each.join(held, "value").select("row", F.struct("start", "kind", "end", "value", "owners", "repositories", live).alias("s"))
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("found"))

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hazeline.llm import ann, bpe, bpe_codec, jaccard, licences, packing, queries, secrets, sharding, suffix_dedup, topk, toxicity
 from hazeline.llm.suffix_array import suffix_array
@@ -370,6 +371,34 @@ def test_jaccard_components(spark, monkeypatch, star, frequent):
     assert kept.count() >= empty + len(groups)
 
 
+def test_jaccard_large_star_is_sent_a_bounded_number_of_times(spark, monkeypatch):
+    for name, value in (("STAR", 10), ("HOT", 4), ("LOCAL_FREQUENT", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(110)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 200):
+        b = list(base)
+        b[rnd.randrange(110)] = f"x{i}"
+        docs.append((i, " ".join(b)))
+    most, spread = [], []
+    links, stars = jaccard._links, jaccard._stars
+
+    def counted(sends, *rest):
+        most.append(sends.agg(F.max(F.size("center") / F.size(F.array_distinct("center")))).first()[0])
+        return links(sends, *rest)
+
+    def seen(prefixes, *rest):
+        spread.append(prefixes.where("hot").select("shard").distinct().count())
+        return stars(prefixes, *rest)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    monkeypatch.setattr(jaccard, "_stars", seen)
+    assert rows(jaccard.components(table(spark, [(i, t, "s") for i, t in docs])), "doc_id", "n_shingles", "component_id") == brute_components(docs)
+    # once to each star in each round, not to all of its 20 blocks
+    assert max(x for x in most if x) == 1 and spread[0] > 1
+
+
 def test_jaccard_edges(spark):
     assert rows(jaccard.components(table(spark, EDGE)), "doc_id", "n_shingles", "component_id") == brute_components([(i, t) for i, t, _ in EDGE])
     assert jaccard.components(table(spark, [])).count() == 0 and jaccard.dedup(table(spark, [])).count() == 0

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from hazeline.operators.stats import percent_of_total
 
+#: Numbers of clusters that the elbow is sought in.
+ELBOW = range(3, 21)
+
 
 def _positions(df: DataFrame, vector: str, cluster: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*keep, F.col(cluster).alias("c"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
@@ -101,7 +104,7 @@ def kmeans(df: DataFrame, features: str, k: int = 8, restarts: int = 10, seed: i
         data.unpersist()
 
 
-def elbow_scan(df: DataFrame, features: str, ks, restarts: int = 1, seed: int = 42) -> DataFrame:
+def elbow_scan(df: DataFrame, features: str, ks=ELBOW, restarts: int = 10, seed: int = 42) -> DataFrame:
     """k, inertia for each k."""
     rows = [(k, float(kmeans(df, features, k, restarts, seed)[1])) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")

@@ -731,7 +731,7 @@ def kmeans_best_of_n(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     e = views.table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model, _ = cluster.kmeans(e, "features", k=8, restarts=3, max_iter=10)
+    model, _ = cluster.kmeans(e, "features", k=8)
     return model.transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
@@ -740,7 +740,7 @@ def kmeans_elbow(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     e = views.table(spark, d, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return stats.elbow(cluster.elbow_scan(e, "features", range(3, 7)))
+    return stats.elbow(cluster.elbow_scan(e, "features", cluster.ELBOW))
 
 
 def feature_pipeline(spark: SparkSession, d: str) -> DataFrame:

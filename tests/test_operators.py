@@ -166,6 +166,31 @@ def test_describe_marks_missing_data(spark):
     assert rows["x"]["no_data"] and rows["x"]["n"] == 0 and rows["y"]["median"] == 2.0
 
 
+def test_kmeans_queries_run_the_whole_job(spark, monkeypatch):
+    from hazeline.operators import cluster
+    from hazeline.plans import catalogue
+
+    calls = []
+
+    class Fitted:
+        def transform(self, df):
+            return df.selectExpr("*", "0 AS prediction")
+
+    def fake(df, features, k=8, restarts=10, seed=42, max_iter=50):
+        calls.append((k, restarts, max_iter))
+        # the rate of decrease falls most at 12
+        return Fitted(), 1e6 * 0.5 ** min(k, 11) * 0.99 ** max(0, k - 11)
+
+    monkeypatch.setattr(cluster, "kmeans", fake)
+    monkeypatch.setattr(catalogue.views, "table", lambda spark, d, name: spark.createDataFrame([(1, [0.0, 1.0])], "vec_id long, embedding array<float>"))
+    queries = catalogue.queries()
+    assert queries["kmeans_elbow"](spark, "").first()["k"] == 12
+    assert calls == [(k, 10, 50) for k in range(3, 21)]
+    calls.clear()
+    queries["kmeans_best_of_n"](spark, "").collect()
+    assert calls == [(8, 10, 50)]
+
+
 def test_elbow(spark):
     df = spark.createDataFrame([(3, 900.0), (4, 700.0), (5, 560.0), (6, 480.0)], "k int, inertia double")
     rates = [200 / 900, 140 / 700, 80 / 560]

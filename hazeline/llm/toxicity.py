@@ -143,7 +143,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text, toxic of at most ``sample`` labelled ids that are not held out (a fixed choice by hash)."""
+    """text, toxic of one row each of at most ``sample`` labelled ids that are not held out (a fixed choice by hash)."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
@@ -151,7 +151,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
     )
     source = docs.select(docs[id_col].alias("id"), text_column(docs, text_col).alias("text"))
     # the sample is at most ``sample`` pairs of an id and a label, whatever the table's size
-    return source.join(F.broadcast(chosen), source["id"] == chosen["label_id"]).select("text", "toxic")
+    found = source.join(F.broadcast(chosen), source["id"] == chosen["label_id"])
+    # one row of each id, a fixed choice by hash, so rows are bounded, too
+    return found.groupBy("label_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _ratio(a: np.ndarray, b: np.ndarray, p: float, n: float) -> np.ndarray:

@@ -308,6 +308,16 @@ def test_toxicity_learns_and_scores_whole_clauses(spark):
     assert toxicity.score(docs, toxicity.train(docs, empty)).count() == 402 and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_training_rows_hold_one_row_of_a_repeated_id(spark):
+    ids = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 5][:4]
+    docs = table(spark, [(ids[0], f"copy {k}", "s") for k in range(300)] + [(i, f"text {i}", "s") for i in ids[1:]] * 2)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, labels, 3, "doc_id", "text").collect()
+    assert len(got) == 3
+    every = toxicity.training_rows(docs, labels, 100, "doc_id", "text").collect()
+    assert len(every) == 4 and sum(r["text"].startswith("copy") for r in every) == 1
+
+
 def test_grammar_tells_clauses_apart():
     g = toxicity.Grammar({"idiot": 4.0})
     value = lambda text: dict(zip(toxicity.FEATURES, g.features(text), strict=True))

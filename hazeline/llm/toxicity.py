@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.runtime import plain, restored, text_column
+from hazeline.llm.runtime import plain, restored, spool, text_column
 
 #: Labelled rows that the model learns from at most, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -156,12 +156,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
     return found.groupBy("label_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def _ratio(a: np.ndarray, b: np.ndarray, p: float, n: float) -> np.ndarray:
-    share = (a + b) / (p + n)
-    total = np.zeros(len(a))
-    for seen, due in ((a, p * share), (b, n * share), (p - a, p * (1 - share)), (n - b, n * (1 - share))):
-        total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0)
-    return total
+def telling(counts: DataFrame, p: float, n: float) -> DataFrame:
+    """term, odds and ratio of the terms (term, bad, good) that pass all thresholds; p and n: toxic and clean rows."""
+    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
+    share = (bad + good) / (p + n)
+    cells = ((bad, p * share), (good, n * share), (p - bad, p * (1 - share)), (n - good, n * (1 - share)))
+    ratio = sum((F.when(seen > 0, 2 * seen * F.log(seen / due)).otherwise(0.0) for seen, due in cells), F.lit(0.0))
+    odds = F.log((bad + 0.5) / (p + 1)) - F.log((good + 0.5) / (n + 1))
+    passed = (F.col("bad") >= LEAST_ROWS) & (F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)
+    return counts.select("term", "bad", odds.alias("odds"), ratio.alias("ratio")).where(passed).select("term", "odds", "ratio")
 
 
 class Model:
@@ -212,21 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pd.DataFrame({"term": part, "bad": [tally[1][t] for t in part], "good": [tally[0][t] for t in part]})
 
     counts = rows.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # terms of fewer rows can't pass; the most frequent in toxic rows come first, so the limit only meets the rarest
-    told = counts.where((F.col("bad") >= LEAST_ROWS) | (F.col("term") == "")).orderBy(F.desc(F.col("term") == ""), F.desc(F.col("bad") / (F.col("good") + 1)), "term").limit(10 * TERMS).toPandas()
-    sizes = told[told["term"] == ""]
-    p, n = (float(sizes["bad"].sum()), float(sizes["good"].sum()))
+    counts = spool(counts, "terms")
+    sizes = counts.where("term = ''").agg(F.sum("bad"), F.sum("good")).first()
+    p, n = (float(x or 0) for x in sizes)
     neutral = np.array([-2.0, 1.0, 1.2, 0.2, 0.2, 1.0, 0.5, 0.0, 0.5])
     seeds = dict.fromkeys(SEEDS, SEED_WEIGHT)
     if not p or not n:
         return Model(seeds, neutral)
-    told = told[told["term"] != ""]
-    a, b = told["bad"].to_numpy(float), told["good"].to_numpy(float)
-    odds = np.log((a + 0.5) / (p + 1)) - np.log((b + 0.5) / (n + 1))
-    ratio = _ratio(a, b, p, n)
-    good = (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
-    order = np.argsort(-ratio[good], kind="stable")[:TERMS]
-    terms = dict(zip(told["term"].to_numpy()[good][order].tolist(), odds[good][order].tolist(), strict=True))
+    # the thresholds come before the limit, so that it only meets the least telling terms
+    told = telling(counts.where("term <> ''"), p, n).orderBy(F.desc("ratio"), "term").limit(TERMS).toPandas()
+    terms = dict(zip(told["term"].tolist(), told["odds"].tolist(), strict=True))
     if not terms:
         return Model(seeds, neutral)
 

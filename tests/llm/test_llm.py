@@ -318,6 +318,24 @@ def test_training_rows_hold_one_row_of_a_repeated_id(spark):
     assert len(every) == 4 and sum(r["text"].startswith("copy") for r in every) == 1
 
 
+def test_limit_of_terms_meets_the_least_telling(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 1)
+    data, i, made = [], 0, Counter()
+    while made["common"] < 60 or made["rare"] < 150 or made["clean"] < 250:
+        i += 1
+        if not zlib.crc32(str(i).encode()) % 5:
+            continue
+        # fifteen rare terms of ten toxic rows and no clean one; "zog" in 60 toxic rows and 5 clean ones
+        kind = "common" if made["common"] < 60 else "rare" if made["rare"] < 150 else "clean"
+        k = made[kind]
+        made[kind] += 1
+        text = "zog" if kind == "common" or kind == "clean" and k < 5 else "q" + "abcdefghijklmno"[k // 10] if kind == "rare" else "fine"
+        data.append((i, text, int(kind != "clean")))
+    docs = table(spark, [(i, t, "s") for i, t, _ in data])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
+    assert [*toxicity.train(docs, labels).terms] == ["zog"]
+
+
 def test_grammar_tells_clauses_apart():
     g = toxicity.Grammar({"idiot": 4.0})
     value = lambda text: dict(zip(toxicity.FEATURES, g.features(text), strict=True))

@@ -32,7 +32,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), fi
     found = medians(df if fit is None else fit, cols, by)
     if not by:
         one = found.first()
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(one[c])) for c in cols})
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(one[c] if one else None)) for c in cols})
     renamed = found.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(F.col(c).alias(f"_median_{c}") for c in cols))
     joined = df.join(renamed, [df[c].eqNullSafe(renamed[f"_by_{c}"]) for c in by], "left")
     return joined.select(*(F.coalesce(F.col(c), F.col(f"_median_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns))

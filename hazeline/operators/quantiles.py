@@ -1,66 +1,87 @@
-"""Exact quantiles with linear interpolation, for groups of any size.
+"""Exact quantiles with linear interpolation, for groups of any size, all groups and columns in one plan.
 
-Up to LIMIT rows Spark's own exact percentile does it in one aggregate. Beyond,
-a group's distinct values would all meet in one task; there the ranks wanted
-are narrowed down by histograms of bounded size until their values are known.
+Values are first counted (partly before the shuffle). The ranks wanted are then
+narrowed down by two histograms of bounded size for each group, and only the
+values of the bins that hold a rank are put in order. So no task holds a group,
+and nothing comes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LIMIT = 5_000_000
 BINS = 1024
 
 
-def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), limit: int = LIMIT) -> DataFrame:
+def counted(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """_k (struct of the keys, so that null keys are groups, too), _v (double, null for NaN) and _n: how often each value occurs."""
+    v = F.col(value).cast("double")
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    return values.select(key.alias("_k"), F.when(~F.isnan(v), v).alias("_v")).groupBy("_k", "_v").agg(F.count("*").alias("_n"))
+
+
+def _bin(low: Column, high: Column) -> Column:
+    """The bin of _v among BINS of equal width between ``low`` and ``high``; infinite values lie outside."""
+    place = F.try_divide(F.col("_v") / 2 - low / 2, high / 2 - low / 2) * BINS  # halves don't overflow
+    inside = F.coalesce(F.greatest(F.lit(0), F.least(F.floor(place), F.lit(BINS - 1))), F.lit(0))  # null without width
+    return F.when(F.col("_v") == float("inf"), F.lit(BINS)).when(F.col("_v") == float("-inf"), F.lit(-1)).otherwise(inside).cast("int")
+
+
+def _bounds() -> list[Column]:
+    finite = F.when(F.abs("_v") != float("inf"), F.col("_v"))
+    return [F.min(finite).alias("_low"), F.max(finite).alias("_high")]
+
+
+def of_counts(counts: DataFrame, ps: Sequence[float]) -> DataFrame:
+    """_k and _q (array: the quantile for each of ``ps``, null without values) of every group of ``counted``."""
+    total = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
+    groups = counts.groupBy("_k").agg(F.coalesce(total, F.lit(0)).alias("_total"), *_bounds())
+    seen = counts.where(F.col("_v").isNotNull())
+
+    one = seen.join(groups, "_k").select("_k", "_v", "_n", _bin(F.col("_low"), F.col("_high")).alias("_a"))
+    first = one.groupBy("_k", "_a").agg(F.sum("_n").alias("_m"), *_bounds())
+    over = W.partitionBy("_k").orderBy("_a").rowsBetween(W.unboundedPreceding, -1)  # at most BINS + 2 rows
+    first = first.withColumn("_before", F.coalesce(F.sum("_m").over(over), F.lit(0)))
+
+    # ranks of both neighbours of each quantile
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in at))))
+    wanted = groups.where("_total > 0").select("_k", F.explode(ranks).alias("_rank"))
+    holds = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_m"))
+    near = first.join(wanted, "_k").where(holds).select("_k", "_a", "_low", "_high", "_before", "_rank")
+
+    bins = near.select("_k", "_a", "_low", "_high", F.col("_before").alias("_start")).distinct()
+    two = one.join(bins, ["_k", "_a"]).select("_k", "_a", "_v", "_n", "_start", _bin(F.col("_low"), F.col("_high")).alias("_b"))
+    second = two.groupBy("_k", "_a", "_b", "_start").agg(F.sum("_n").alias("_m"))
+    over = W.partitionBy("_k", "_a").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    second = second.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_m").over(over), F.lit(0)))
+    last = second.join(near.select("_k", "_a", "_rank"), ["_k", "_a"]).where(holds).select("_k", "_a", "_b", "_before", "_rank")
+
+    # only values of bins that hold a rank are ordered
+    kept = two.join(last.select("_k", "_a", "_b", "_before").distinct(), ["_k", "_a", "_b"])
+    over = W.partitionBy("_k", "_a", "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    kept = kept.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(over), F.lit(0))).withColumnRenamed("_n", "_m")
+    found = kept.join(last.select("_k", "_a", "_b", "_rank"), ["_k", "_a", "_b"]).where(holds)
+    found = found.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def quantile(x: Column) -> Column:
+        low, high = F.col("_at")[F.floor(x)], F.col("_at")[F.ceil(x)]
+        return F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x)))
+
+    return groups.join(found, "_k", "left").select("_k", F.array(*map(quantile, at)).alias("_q"))
+
+
+def quantiles(values: DataFrame, keys: Sequence[str], ps: Sequence[float], value: str = "value") -> DataFrame:
+    """The keys and _q: the quantiles ``ps`` of each group; nulls and NaN are skipped."""
+    return of_counts(counted(values, keys, value), ps).select(*(F.col(f"_k.{c}").alias(c) for c in keys), "_q")
+
+
+def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row (for each group) with the median of each column; nulls are skipped."""
-    if df.count() <= limit:
-        return df.groupBy(*by).agg(*(F.median(c).alias(c) for c in cols))
-    spark = df.sparkSession
-    groups = df.select(*by).distinct().collect() if by else [()]
-    rows = []
-    for g in groups:
-        part = df
-        for c, v in zip(by, g, strict=True):
-            part = part.where(F.col(c).eqNullSafe(F.lit(v)))
-        rows.append((*g, *(quantile(part, c, 0.5) for c in cols)))
-    kinds = [f"{c} {dict(df.dtypes)[c]}" for c in by] + [f"{c} double" for c in cols]
-    return spark.createDataFrame(rows, ", ".join(kinds))
-
-
-def quantile(df: DataFrame, col: str, p: float) -> float | None:
-    """The exact quantile by rank selection; only histograms of BINS rows reach the driver."""
-    x = F.col(col).cast("double")
-    values = df.where(x.isNotNull()).select(x.alias("x"))
-    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return None
-    at = p * (n - 1)
-    whole = int(at)
-    lower = _ranked(values, whole, low, high)
-    upper = lower if at == whole else _ranked(values, whole + 1, low, high)
-    return lower + (upper - lower) * (at - whole)
-
-
-def _ranked(values: DataFrame, rank: int, low: float, high: float) -> float:
-    """The value at ``rank`` (from 0) of the ascending values."""
-    while low < high:
-        width = (high - low) / BINS
-        if width == 0 or low + width == low:  # neighbours in floating point
-            seen = 0
-            for v, c in values.where(F.col("x").between(low, high)).groupBy("x").count().orderBy("x").collect():
-                seen += c
-                if rank < seen:
-                    return v
-        place = F.least(F.floor((F.col("x") - low) / width), F.lit(BINS - 1)).alias("bin")
-        counts = values.where(F.col("x").between(low, high)).groupBy(place).agg(F.count("*"), F.min("x"), F.max("x")).orderBy("bin").collect()
-        for _, c, a, b in counts:
-            if rank < c:
-                values, low, high = values.where(F.col("x").between(a, b)), a, b
-                break
-            rank -= c
-    return low
+    long = df.select(*by, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(list(by), list(cols), "_feature", "_value")
+    found = quantiles(long, [*by, "_feature"], [0.5], "_value").select(*by, "_feature", F.col("_q")[0].alias("_value"))
+    return found.groupBy(*by).pivot("_feature", list(cols)).agg(F.first("_value"))

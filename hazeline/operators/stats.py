@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hazeline.functions.scalar import trunc_ntz
+from hazeline.operators.quantiles import counted, of_counts, quantiles
 
 
 def long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -19,26 +20,31 @@ def long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "fe
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """n, min, max, median, range, mean, sample deviation of each column (and group); ``no_data`` if all are null."""
-    return long(df, by, cols).groupBy(*by, "feature").agg(*_described())
+    return _described(long(df, by, cols), [*by, "feature"])
 
 
 def describe_rollup(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """The same for each group and for all prefixes of ``by`` down to the first, as a rollup would give."""
-    sets = [tuple(by[:k]) for k in range(1, len(by) + 1)]
+    """The same for each group and for all prefixes of ``by`` down to the first, as a rollup would give, in one pass over ``df``."""
     values = long(df, by, cols)
-    out = None
-    for keys in sets:
-        part = values.groupBy(*keys, "feature").agg(*_described())
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def _described() -> list:
-    v = F.col("value")
-    return [
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("range"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), (F.count(v) == 0).alias("no_data"),
-    ]
+    level = F.explode(F.sequence(F.lit(1), F.lit(len(by)))).alias("_level")
+    each = values.select(level, *by, "feature", "value")
+    each = each.select("_level", *(F.when(F.col("_level") > i, F.col(c)).alias(c) for i, c in enumerate(by)), "feature", "value")
+    return _described(each, ["_level", *by, "feature"]).drop("_level")
+
+
+def _described(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All figures come from counts of distinct values: one scan, and no task that holds a group."""
+    counts = counted(values, keys)
+    n = F.when(F.col("_v").isNotNull(), F.col("_n"))
+    sums = counts.groupBy("_k").agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_n")) / F.sum(n)).alias("mean")
+    )
+    away = counts.join(sums.select("_k", "mean"), "_k").groupBy("_k").agg(F.sum((F.col("_v") - F.col("mean")) ** 2 * F.col("_n")).alias("_squares"))
+    out = sums.join(away, "_k").join(of_counts(counts, [0.5]), "_k")
+    return out.select(
+        *(F.col(f"_k.{c}").alias(c) for c in keys), "n", "min", "max", F.col("_q")[0].alias("median"), (F.col("max") - F.col("min")).alias("range"), "mean",
+        F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("std"), (F.col("n") == 0).alias("no_data"),
+    )
 
 
 def histogram(df: DataFrame, col: str, name: str = "code") -> DataFrame:
@@ -98,7 +104,7 @@ def boxplot(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (the last values within 1.5 interquartile ranges) of each column and group."""
     values = long(df, by, cols).where(F.col("value").isNotNull())
     keys = [*by, "feature"]
-    q = values.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(values, keys, [0.25, 0.5, 0.75])
     q = q.select(*keys, *(F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = values.join(q, keys).where((F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -50,12 +51,35 @@ def test_medians_and_imputation(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(100.0, 1.0), (200.0, 2.5), (200.0, 2.5), (400.0, 4.0)]
 
 
-def test_quantiles_of_large_groups_agree(spark):
-    df = spark.range(2000).select((F.col("id") % 3).alias("g"), ((F.xxhash64("id") % 1000) / 7).alias("x"))
-    a = {r["g"]: r["x"] for r in quantiles.medians(df, ["x"], ["g"]).collect()}
-    b = {r["g"]: r["x"] for r in quantiles.medians(df, ["x"], ["g"], limit=10).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
-    assert quantiles.quantile(df.where("g = 9"), "x", 0.5) is None
+@pytest.mark.parametrize("bins", [1024, 2])
+def test_quantiles_agree_with_numpy(spark, monkeypatch, bins):
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    rng = np.random.default_rng(bins)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "spread": rng.standard_normal(501).tolist(), "ties": [1.0] * 50 + [2.0] * 51 + [7.5] * 3, "one": [4.25], "same": [3.0] * 9, "wide": [-1e308, 1e308, 0.0, 5e-324],
+        "far": [999999.0, *rng.random(40).tolist()], "ends": [inf, -inf, 1.0, 2.0, 3.0], None: [1.0, None, 2.0, nan], "none": [None, None],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, value double")
+    got = {r["g"]: r["_q"] for r in quantiles.quantiles(df, ["g"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert got.keys() == groups.keys() and got["none"] == [None] * 5
+    for g, xs in groups.items():
+        xs = sorted(x for x in xs if x is not None and x == x)
+        for p, q in zip([0.0, 0.25, 0.5, 0.9, 1.0], got[g], strict=True):
+            if xs:
+                at = p * (len(xs) - 1)
+                low, high = xs[int(np.floor(at))], xs[int(np.ceil(at))]
+                want = low if low == high else low + (high - low) * (at - float(np.floor(at)))
+                assert q == want or abs(q - want) <= 1e-12 * max(1, abs(q)), (g, p)
+    assert quantiles.quantiles(df.limit(0), ["g"], [0.5]).count() == 0
+    assert {r["g"]: r["value"] for r in quantiles.medians(df, ["value"], ["g"]).collect()}["ties"] == 2.0
+
+
+def test_describe_rollup_reads_its_input_once(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, None), (None, 1, 6.0)], "location string, year int, x double")
+    out = {(r["location"], r["year"]): r for r in stats.describe_rollup(df, ["x"], ["location", "year"]).collect()}
+    assert out["a", None]["n"] == 2 and out["a", None]["median"] == 3.0 and abs(out["a", 1]["std"] - 2**0.5) < 1e-12 and out["a", 2]["no_data"]
+    assert out["a", 2]["median"] is None and len(out) == 5
 
 
 def test_lags_are_null_at_the_start_and_survive_blocks(spark, monkeypatch):

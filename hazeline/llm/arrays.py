@@ -33,6 +33,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eights_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
+def _steps(eights: np.ndarray, starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which strings, their next eight bytes or what is left of them), step by step."""
+    own, at, left = np.arange(len(starts)), starts, size
+    while len(own):
+        part = eights[at]
+        short = left < 8
+        part[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+        yield own, part
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings data[start:end], eight bytes a step.
+
+    Each step is mixed, so no family of strings collides by its form, as the
+    words of Thue and Morse do under polynomials modulo 2**64.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(0x8CB92BA72F3D8DD7))
+    for own, part in _steps(eights_of(data), starts, size):
+        out[own] = mix((out[own] ^ part) * U64(0xD6E8FEB86659FD93) + U64(0x589965CC75374CC3))
+    return out
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each string equals, byte for byte, the one numbered ``other``."""
+    eights, size = eights_of(data), ends - starts
+    out = size == size[other]
+    own = np.flatnonzero(out & (other != np.arange(len(other))))
+    mine, its = (_steps(eights, starts[which], size[own]) for which in (own, other[own]))
+    for (which, a), (_, b) in zip(mine, its, strict=True):
+        out[own[which[a != b]]] = False
+    return out
+
+
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
     """Prefix sums of (code+1)*base**i; spans are hashed from these in O(1)."""
     up, _ = powers(len(codes) + 1)

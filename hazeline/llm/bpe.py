@@ -10,17 +10,20 @@ once the pairs across both of its edges do. Decoding concatenates up the tree.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 from itertools import chain
 
 import numpy as np
 
-from hazeline.llm.arrays import prefix_sums, ranges, span_hashes
+from hazeline.llm.arrays import ranges, same_words, word_hashes
 
 #: Entries kept per memo before it is emptied; bounds a worker's memory.
 MEMO = 200_000
 #: Longest piece, in bytes, whose encoding is kept: halves of words recur far more than words.
 HALF = 8
+#: Pieces from which encodings are kept again, as halves of long runs recur, and the bytes of these that are kept together.
+LONG, LONG_KEPT = 256, 32 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,32 +40,44 @@ class MonoidBpe:
         self._pieces: dict[bytes, tuple[int, ...]] = {}
         self._windows: dict[bytes, tuple[int, ...]] = {}
         self._seams: dict[tuple[int, int], tuple[int, ...]] = {}
+        self._kept = 0
 
     def _window(self, data: bytes) -> tuple[int, ...]:
-        """Merge the lowest-ranked adjacent pair until none is left (only seams' short windows come here)."""
+        """Merge the lowest-ranked adjacent pair, the leftmost first, until none is left (only seams' windows come here)."""
         found = self._windows.get(data)
         if found is None:
-            whole = self.ranks.get(data)
-            if whole is not None and len(data) == 1:
-                return (whole,)
-            parts = [data[i : i + 1] for i in range(len(data))]
-            get = self.ranks.get
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            found = tuple(self.ranks[p] for p in parts)
+            found = self._merged(data)
             if len(data) <= 64:
                 if len(self._windows) >= MEMO:
                     self._windows.clear()
                 self._windows[data] = found
         return found
 
+    def _merged(self, data: bytes) -> tuple[int, ...]:
+        get, n = self.ranks.get, len(data)
+        stop = list(range(1, n + 1))  # end of the part that starts here; 0 once it is merged into another
+        before = list(range(-1, n - 1))
+        pairs = [(r, i) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
+        heapq.heapify(pairs)
+        while pairs:
+            r, i = heapq.heappop(pairs)
+            j = stop[i]
+            if not j or j == n or get(data[i : (k := stop[j])]) != r:
+                continue  # one of the two parts has changed since
+            stop[i], stop[j] = k, 0
+            if k < n:
+                before[k] = i
+                if (r := get(data[i : stop[k]])) is not None:
+                    heapq.heappush(pairs, (r, i))
+            h = before[i]
+            if h >= 0 and (r := get(data[h:k])) is not None:
+                heapq.heappush(pairs, (r, h))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : stop[i]]])
+            i = stop[i]
+        return tuple(out)
+
     def seam(self, a: int, b: int) -> tuple[int, ...]:
         """What the adjacent pair (a, b) re-encodes to; the pair stays if that is (a, b)."""
         found = self._seams.get((a, b))
@@ -93,12 +108,19 @@ class MonoidBpe:
             return (self.ranks[piece],) if piece else ()
         found = self._pieces.get(piece)
         if found is None:
-            half = len(piece) // 2
+            # a power of two, so that long runs of one sign or of a short pattern fall into equal pieces and stable seams
+            half = 1 << (len(piece) - 1).bit_length() - 1
             found = self.join(self.encode(piece[:half]), self.encode(piece[half:]))
             if len(piece) <= HALF:
                 if len(self._pieces) >= MEMO:
                     self._pieces.clear()
                 self._pieces[piece] = found
+            elif len(piece) >= LONG:
+                self._kept += len(piece)
+                if self._kept > LONG_KEPT:
+                    self._pieces.clear()
+                    self._kept = len(piece)
+                self._pieces[piece] = found
         return found
 
     def decode(self, ids) -> bytes:
@@ -168,7 +190,7 @@ def pretoken_starts(codes: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 
 
 class BatchEncoder:
-    """Ids of many whole texts at once: words are cut and hashed by numpy, each new word goes to ``encode_word``."""
+    """Ids of many whole texts at once: numpy cuts the words and finds equal ones, each new word goes to ``encode_word``."""
 
     def __init__(self, encode_word, memo: int = MEMO):
         self.encode_word, self.memo, self.known = encode_word, memo, {}
@@ -183,17 +205,17 @@ class BatchEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(codes))
-        words, where, inverse = np.unique(span_hashes(prefix_sums(codes), starts, ends), return_index=True, return_inverse=True)
+        where, inverse = self._distinct(codes, starts, ends)
         known, entries = self.known, []
         if len(known) > self.memo:
             known.clear()
-        spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
-        for h, (a, b) in zip(words.tolist(), spans, strict=True):
-            e = known.get(h)
+        for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True):
+            word = joined[a:b]
+            e = known.get(word)
             if e is None:
-                e = self.encode_word(joined[a:b])
+                e = self.encode_word(word)
                 if b - a <= 24:
-                    known[h] = e
+                    known[word] = e
             entries.append(e)
         lengths = np.fromiter(map(len, entries), np.int64, len(entries))
         flat = np.fromiter(chain.from_iterable(entries), np.uint32, int(lengths.sum()))
@@ -203,6 +225,16 @@ class BatchEncoder:
         offsets = done[np.searchsorted(starts, np.append(first, len(codes)))]
         return ids, offsets
 
+    @staticmethod
+    def _distinct(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First places of the distinct words, and each word's number among them; hashes propose, the words themselves decide."""
+        wide = next(k for k in (np.uint8, np.uint16, np.uint32) if codes.max() <= np.iinfo(k).max)
+        data, size = codes.astype(wide).view(np.uint8), np.dtype(wide).itemsize
+        _, where, inverse = np.unique(word_hashes(data, starts * size, ends * size), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~same_words(data, starts * size, ends * size, where[inverse]))
+        inverse[odd] = len(where) + np.arange(len(odd))
+        return np.append(where, odd), inverse
+
 
 _encoders: dict[tuple[str, int], MonoidBpe] = {}
 

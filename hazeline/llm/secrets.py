@@ -2,8 +2,8 @@
 
 Patterns propose candidates. Every candidate value is hashed, and the hashes
 are counted by distinct repositories (documents) and owners (sources): a value
-that many owners hold is a copied example, one that a single owner holds and
-that looks random is live. Live values of the wide pattern add spans to those
+that several owners hold, or very many repositories of one owner, is a copied
+example; one that few hold and that looks random is live. Live values of the wide pattern add spans to those
 of the base patterns, which always stay.
 """
 
@@ -31,8 +31,8 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Wide candidates: runs of 20 or more signs of keys, with at least this many bits of entropy a sign.
 WIDE = r"(?a:(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2})"
 MIN_ENTROPY = 3.2
-#: Owners from which on a value counts as a copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, and repositories of any owners, from which on a value counts as a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 25
 
 _ASSIGN, _ACCESS, _HEX, _WIDE = re.compile(ASSIGN), re.compile(ACCESS), re.compile(r"[0-9a-f]{32,}"), re.compile(WIDE)
 _HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
@@ -87,7 +87,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return source.mapInPandas(run, f"id string, owner string, found {_FOUND}")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """Secrets of each row: id, n_assign, n_access, n_hex, base_sha256, spans, found, n_live, n_example.
 
     ``found`` is an array of (start, kind, end, value digest, owners,
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     held = each.groupBy("value", "owner").agg(F.count_distinct(F.coalesce("id", F.lit(""))).alias("repositories"))
     held = held.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("repositories").alias("repositories"))
     held = spool(held, "ownership")  # the join below can then be split where one value is frequent
-    live = (F.col("owners") < example_owners).alias("live")
+    live = ((F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)).alias("live")
     judged = each.join(held, "value").select("row", F.struct("start", "kind", "end", "value", "owners", "repositories", live).alias("s"))
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("found"))
     kept = F.filter("found", lambda s: (s["kind"] < 3) | s["live"])
@@ -132,12 +132,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """``docs`` with the values of all spans but copied examples of the wide pattern replaced by ``mask``.
 
     Rows and columns stay; ``n_chars``, if there, is counted again for changed
-    texts. Null texts stay null.
+    texts. Null texts stay null, null ids and owners stay, repeated rows are
+    all changed alike, texts of any length are scanned whole, and an empty
+    table gives an empty one. Overlapping spans are blanked together.
     """
     others = [c for c in docs.columns if c != text_col]
     keys = [F.xxhash64(docs[id_col], docs[text_col], docs[owner_col]), F.xxhash64(docs[owner_col], docs[text_col], docs[id_col])]
     keyed = docs.withColumn("hazeline_key", F.concat_ws(":", *keys))
-    spans = scan(keyed.select(F.col("hazeline_key"), keyed[text_col], keyed[owner_col]), "hazeline_key", text_col, owner_col, EXAMPLE_OWNERS)
+    spans = scan(keyed.select(F.col("hazeline_key"), keyed[text_col], keyed[owner_col]), "hazeline_key", text_col, owner_col)
     spans = spans.where("spans != ''").select("hazeline_key", F.col("found").alias("hazeline_found")).dropDuplicates(["hazeline_key"])
 
     def blank(text: pd.Series, found: pd.Series) -> pd.Series:

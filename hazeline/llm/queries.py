@@ -11,6 +11,9 @@ from hazeline.llm import ann, bpe_codec, jaccard, licences, packing, secrets, sh
 #: Where the vocabulary files lie; the installed package knows if this is None.
 TOKENIZERS: str | None = None
 
+#: Bytes of one shard of documents.
+SHARD_BYTES = 1 << 20
+
 
 def tokenizer_file(name: str) -> str:
     if TOKENIZERS:
@@ -25,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removals(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+    return suffix_dedup.removals(_table(spark, sf_dir, "documents")).drop("starts", "ends")  # the kept text comes last
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), cols=["text"])
+    return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +86,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.KNOWN.items())
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.spelled())
+    whole = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.DIGESTS.items())
     digest = lambda t: f"sha256({licences.canonical_sql(t)})"
     return {
+        "op4_extendible_sharding": sharding.shard_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], SHARD_BYTES),
         "op7_licence_scan": f"""
-            WITH known AS (SELECT {digest("t")} AS canonical_sha256, min(n) AS licence FROM (VALUES {rows}) AS v(n, t) GROUP BY 1),
+            WITH every AS (SELECT n, {digest("t")} AS h FROM (VALUES {rows}) AS v(n, t) UNION ALL SELECT n, h FROM (VALUES {whole}) AS w(n, h)),
+                 known AS (SELECT h AS canonical_sha256, min(n) AS licence FROM every GROUP BY h),
                  found AS (SELECT doc_id, {digest("coalesce(text, '')")} AS canonical_sha256 FROM documents)
             SELECT doc_id, canonical_sha256, licence FROM found LEFT JOIN known USING (canonical_sha256)""",
     }

@@ -41,20 +41,11 @@ def null_above(value: Column, limit) -> Column:
     return F.when(value <= F.lit(limit), value)
 
 
-def minutes_between(a: Column, b: Column) -> Column:
-    """Minutes from ``b`` to ``a``, both zone-less times."""
-    return micros(a, b) / F.lit(6e7)
-
-
 def micros(a: Column, b: Column) -> Column:
     """Microseconds from ``b`` to ``a``, both zone-less times."""
     return F.timestamp_diff("MICROSECOND", b, a)
 
 
-def hour_of(time: Column) -> Column:
-    return trunc_ntz("hour", time)
-
-
 def trunc_ntz(unit: str, time: Column) -> Column:
     """date_trunc that keeps zone-less times zone-less."""
     return F.date_trunc(unit, time).cast("timestamp_ntz")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazeline.functions.scalar import null_above, null_if
 from hazeline.operators.quantiles import medians
-from hazeline.schema import MISSING, VISIBILITY_LIMIT
+from hazeline.schema import VISIBILITY_LIMIT
 
 
 def sentinel_to_null(df: DataFrame, sentinels: dict[str, float]) -> DataFrame:
@@ -40,7 +40,3 @@ def impute_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), fi
 
 def drop_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.dropna("any", subset=list(cols) if cols else None)
-
-
-def clean_air(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return sentinel_to_null(df, dict.fromkeys(cols, MISSING))

@@ -6,24 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.functions import scalar as fn
 from hazeline.operators import asof, clean, cluster, features, metrics, stats, variants
 from hazeline.operators.positions import numbered
 from hazeline.plans import views
 from hazeline.plans.views import with_views
-from hazeline.schema import feature_cols
+from hazeline.schema import MISSING, existing, feature_cols
+from hazeline.sources import archive, files, report
 from hazeline.sources.files import literal_table
+from hazeline.sources.shared import fresh_path, spool
+from hazeline.streaming import hourly
 
 TEST_YEAR = 2000
 FEATURES = ["quantity", "price", "tax"]
 CATEGORIES = {"quantity": "volume", "price": "volume", "tax": "charge"}
-#: An elbow curve, and metrics of two models, as literal tables.
+#: An elbow curve and gains of three features, as literal tables.
 INERTIAS = {3: 900.0, 4: 700.0, 5: 560.0, 6: 480.0, 7: 430.0, 8: 395.0, 9: 370.0}
-PUBLISHED = {
-    "logistic": {"without_aqi": {"loc_a": 0.1848, "loc_b": 0.1657, "loc_c": 0.2194}, "with_aqi": {"loc_a": 0.2736, "loc_b": 0.2215, "loc_c": 0.2442}},
-    "forest": {"without_aqi": {"loc_a": 0.2397, "loc_b": 0.1970, "loc_c": 0.2476}, "with_aqi": {"loc_a": 0.2816, "loc_b": 0.1343, "loc_c": 0.3404}},
-}
 GAINS = {"loc_a": {"quantity": 3.0, "price": 1.0, "tax": 0.5}, "loc_b": {"quantity": 2.0, "price": 2.5, "tax": 0.0}}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,103 @@ def dropna_any(spark, d):
     return clean.drop_missing(views.hist(spark, d), ["gappy", "price"]).select("k", "code", "gappy")
 
 
+@query("SELECT p_partkey, p_size FROM part")
+def scan_existing(spark, d):
+    """Of the columns wanted, those that the table has."""
+    t = views.table(spark, d, "part")
+    return t.select(*existing(t, ["p_partkey", "p_colour", "p_size"]))
+
+
+# --- sources and sinks: written to the shared folder and read again
+
+
+_CSV = "location, k, code, price, gappy, time"
+
+
+@query(f"SELECT {_CSV.replace('time', 'CAST(time AS TIMESTAMP) AS time')} FROM hist", "hist")
+def csv_roundtrip(spark, d):
+    """One folder of CSV files for each location, with nulls and times, read by a fixed schema."""
+    h = views.hist(spark, d).select("location", "k", "code", "price", "gappy", F.col("time").cast("timestamp_ntz").alias("time"))
+    path = fresh_path(spark, "csv")
+    files.write_csv(h, path)
+    kept = T.StructType([f for f in h.schema if f.name != "location"])
+    return files.read_csv(spark, path, T.StructType([*kept, T.StructField("location", T.StringType())])).select(*_CSV.split(", "))
+
+
+@query("SELECT location, count(*) AS n, sum(code) AS codes FROM hist GROUP BY 1", "hist")
+def csv_by_file_name(spark, d):
+    """One file for each location, which only the file's name tells."""
+    h, path = views.hist(spark, d).select("location", "k", "code"), fresh_path(spark, "named")
+    named = h.select(F.concat(F.lit("location_"), F.replace("location", F.lit(" "), F.lit("-")), F.lit("_rows")).alias("name"), "k", "code")
+    files.write_csv(named, path, by=["name"])
+    kept = T.StructType([T.StructField("location", T.StringType()), h.schema["k"], h.schema["code"]])
+    rows = files.read_located(spark, f"{path}/*", kept, name=r"location_([\w-]+?)_rows", part="path")
+    return rows.groupBy(F.replace("location", F.lit("-"), F.lit(" ")).alias("location")).agg(F.count("*").alias("n"), F.sum("code").alias("codes"))
+
+
+@query(
+    """, combined AS (SELECT o.location, o.time, o.temp, o.dew, a.pm10 FROM obs o LEFT JOIN aqi a USING (time))
+    SELECT 'without_aqi' AS variant, count(*) AS n, count(DISTINCT location) AS locations FROM combined
+    UNION ALL SELECT v, count(*), count(DISTINCT location) FROM combined, (VALUES ('with_aqi'), ('without_aqi_reduced')) AS t(v) WHERE pm10 IS NOT NULL GROUP BY 1""",
+    "obs aqi",
+)
+def fan_out_variants(spark, d):
+    """Each variant in a folder of its own, split by location, from one reading of the source."""
+    combined, path = _combined(spark, d), fresh_path(spark, "variants")
+    parts = variants.variants(combined, ["pm10"])
+    files.fan_out(parts, path, combined)
+    out = None
+    for name in parts:
+        n = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("variant"), F.count("*").alias("n"), F.count_distinct("location").alias("locations"))
+        out = n if out is None else out.unionByName(n)
+    return out.select("variant", "n", "locations")
+
+
+@query("SELECT o_custkey AS key FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT s_suppkey FROM supplier")
+def keys_in_all_tables(spark, d):
+    """Keys that every table has; others are skipped."""
+    o, c, s = (views.table(spark, d, t) for t in ("orders", "customer", "supplier"))
+    return files.locations_with_all([o.select(F.col("o_custkey").alias("key")), c.where("c_acctbal > 0").select(F.col("c_custkey").alias("key")), s.select(F.col("s_suppkey").alias("key"))], "key")
+
+
+@query("SELECT location, time, temp, CAST(NULL AS DOUBLE) AS rain FROM obs", "obs")
+def archive_answers(spark, d):
+    """Hourly rows from JSON answers, one for each location and day; a variable that they lack is null."""
+    o = views.obs(spark, d).select("location", F.to_date("time").alias("day"), F.struct(F.date_format("time", "yyyy-MM-dd'T'HH:mm").alias("at"), "temp").alias("x"))
+    days = o.groupBy("location", "day").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    body = F.to_json(F.struct(F.struct(F.col("x.at").alias("time"), F.col("x.temp").alias("temp")).alias("hourly")))
+    return archive.hourly_rows(days.select("location", body.alias("body")), ["temp", "rain"])
+
+
+_TITLE = "replace(location[1:1] || lower(location[2:]), ' e', ' E')"
+
+
+@query(
+    """, c AS (SELECT location, count(*) FILTER (WHERE score >= 0.75 AND fog = 1) AS tp, count(*) FILTER (WHERE score >= 0.75 AND fog = 0) AS fp,
+        count(*) FILTER (WHERE score < 0.75 AND fog = 1) AS fn FROM hist GROUP BY 1),
+    m AS (SELECT location, 'precision' AS metric, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS v FROM c UNION ALL SELECT location, 'recall', CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END FROM c)
+    SELECT location, '' AS k, """
+    + _TITLE
+    + """ || ' - all (high)' AS line FROM c UNION ALL SELECT location, 'test ' || metric, printf('  %-24s%12.4f', 'test ' || metric, v) FROM m""",
+    "hist",
+)
+def report_lines(spark, d):
+    """Lines of a text report: a head for each location, numbers with four digits."""
+    e = metrics.evaluate(views.hist(spark, d), 0.75, ["location"]).select("location", "precision", "recall").unpivot(["location"], ["precision", "recall"], "metric", "value")
+    flat = e.select("location", F.lit("all").alias("variant"), F.lit("high").alias("model"), F.lit("test").alias("split"), "metric", "value")
+    return report.metric_lines(flat).select("location", "k", "line")
+
+
+@query(f"SELECT event_type AS location, date_trunc('hour', ts) AS time, {q6('avg(value)')} AS temp, min(value) AS dew, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_stream(spark, d):
+    """The hourly series as a stream over the events: file source, windows, and all hours written after each batch."""
+    kind = views.table(spark, d, "events").schema
+    events = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
+    path = fresh_path(spark, "hours")
+    hourly.start_complete(events, path, fresh_path(spark, "hours-state")).awaitTermination()
+    return rounded(spark.read.parquet(path).withColumn("time", F.col("time").cast("timestamp_ntz")), "temp")
+
+
 # --- scalar functions
 
 
@@ -154,8 +251,8 @@ def sentinel_drop(spark, d):
 
 @query("SELECT k, code, CASE WHEN code <> 3 THEN price END AS price FROM hist", "hist")
 def sentinel_to_null(spark, d):
-    t = views.hist(spark, d).select("k", "code", F.when(F.col("code") == 3, F.lit(-9999.0)).otherwise(F.col("price")).alias("price"))
-    return clean.sentinel_to_null(t, {"price": -9999.0})
+    t = views.hist(spark, d).select("k", "code", F.when(F.col("code") == 3, F.lit(float(MISSING))).otherwise(F.col("price")).alias("price"))
+    return clean.sentinel_to_null(t, {"price": float(MISSING)})
 
 
 @query("SELECT h.k, h.code, coalesce(h.gappy, m.m) AS gappy FROM hist h JOIN (SELECT location, median(gappy) AS m FROM hist GROUP BY 1) m USING (location)", "hist")
@@ -397,9 +494,7 @@ def date_range(spark, d):
 
 @query("SELECT count(*) AS rows, count(*) FILTER (WHERE fog = 1) AS fog, count(*) FILTER (WHERE gappy IS NULL) AS missing FROM hist", "hist")
 def counters(spark, d):
-    from hazeline.sources.report import counters as count
-
-    return count(views.hist(spark, d), fog=F.col("fog") == 1, missing=F.col("gappy").isNull())
+    return report.counters(views.hist(spark, d), fog=F.col("fog") == 1, missing=F.col("gappy").isNull())
 
 
 _YEARLY = f"SELECT CAST(year(time) AS INT) AS year, count(fog) AS n, CAST(sum(fog) AS BIGINT) AS positives, {{x}} AS rate_pct FROM hist WHERE year(time) < 2001 GROUP BY 1"
@@ -579,24 +674,49 @@ def blend_scores(spark, d):
     return views.hist(spark, d).select("k", "code", r6(metrics.blend({"score": 0.1, "tax": 0.9})).alias("blended"))
 
 
-_PUBLISHED = "(VALUES " + ", ".join(f"('{m}', '{v}', '{x}', {y})" for m, vs in PUBLISHED.items() for v, xs in vs.items() for x, y in xs.items()) + ") AS t(model, variant, location, value)"
+#: F1 of two thresholds ("models") over two sets of rows ("variants") at each location.
+_F1 = f""", rule AS (SELECT * FROM (VALUES ('low', CAST(0.55 AS DOUBLE)), ('high', CAST(0.75 AS DOUBLE))) AS t(model, threshold)), part AS (SELECT * FROM (VALUES ('all'), ('complete')) AS t(variant)),
+    c AS (SELECT model, variant, location, {_COUNTS.format(p='score >= threshold')} FROM hist, rule, part WHERE variant = 'all' OR gappy IS NOT NULL GROUP BY 1, 2, 3),
+    flat AS (SELECT model, variant, location, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS value FROM c)"""
 
 
-@query(f"SELECT model, variant, {q6('avg(CAST(value AS DOUBLE))')} AS value FROM {_PUBLISHED} GROUP BY 1, 2")
+def _flat_f1(spark, d):
+    h = views.hist(spark, d).select("location", "score", "fog", "gappy")
+    out = None
+    for model, threshold in (("low", 0.55), ("high", 0.75)):
+        for variant, rows in (("all", h), ("complete", clean.drop_missing(h, ["gappy"]))):
+            f1 = metrics.evaluate(rows, threshold, ["location"]).select(F.lit(model).alias("model"), F.lit(variant).alias("variant"), "location", F.col("f1").alias("value"))
+            out = f1 if out is None else out.unionByName(f1)
+    return out
+
+
+@query(_F1 + f" SELECT model, variant, {q6('avg(value)')} AS value FROM flat GROUP BY 1, 2", "hist")
 def metric_average(spark, d):
-    t = literal_table(spark, PUBLISHED, ["model", "variant", "location"])
-    return rounded(metrics.average(t, ["model", "variant"]), "value")
+    return rounded(metrics.average(_flat_f1(spark, d), ["model", "variant"]), "value")
 
 
-@query(f"SELECT location, {q6('max(CASE WHEN variant = $$with_aqi$$ THEN CAST(value AS DOUBLE) END) - max(CASE WHEN variant = $$without_aqi$$ THEN CAST(value AS DOUBLE) END)')} AS difference FROM {_PUBLISHED} WHERE model = 'forest' GROUP BY 1")
+@query(_F1 + f" SELECT location, {q6('max(CASE WHEN variant = $$complete$$ THEN value END) - max(CASE WHEN variant = $$all$$ THEN value END)')} AS difference FROM flat WHERE model = 'high' GROUP BY 1", "hist")
 def metric_difference(spark, d):
-    t = literal_table(spark, PUBLISHED, ["model", "variant", "location"]).where("model = 'forest'")
-    return rounded(stats.differences(t, "location", "variant", "value", "with_aqi", "without_aqi"), "difference")
+    t = _flat_f1(spark, d).where("model = 'high'")
+    return rounded(stats.differences(t, "location", "variant", "value", "complete", "all"), "difference")
 
 
 _GAINS = "(VALUES " + ", ".join(f"('{x}', '{f}', {y})" for x, fs in GAINS.items() for f, y in fs.items()) + ") AS t(location, feature, value)"
 
 
+_SHARES = f"s AS (SELECT location, feature, CAST(value AS DOUBLE) / sum(CAST(value AS DOUBLE)) OVER (PARTITION BY location) * 100 AS p FROM {_GAINS})"
+
+
+@query(f"WITH {_SHARES} SELECT feature, {q6('sum(CASE location WHEN $$loc_a$$ THEN p / 6.0 WHEN $$loc_b$$ THEN p * 2 / 6.0 ELSE p / 2.0 END)')} AS importance_pct FROM (SELECT * FROM s UNION ALL SELECT 'loc_c', feature, p FROM s WHERE location = 'loc_a') GROUP BY 1")
+def importance_combined(spark, d):
+    """Importances of three models in one: normalised, weighted 1 to 2 to 3."""
+    from hazeline.operators import models
+
+    t = stats.percent_of_total(literal_table(spark, GAINS, ["location", "feature"]), "value", ["location"], name="importance_pct")
+    part = {m: t.where(F.col("location") == x) for m, x in (("logistic", "loc_a"), ("forest", "loc_b"), ("boosted", "loc_a"))}
+    return rounded(models.combined_importance(part), "importance_pct")
+
+
 @query(f"SELECT feature, {q6('avg(p)')} AS importance_pct FROM (SELECT feature, CAST(value AS DOUBLE) / sum(CAST(value AS DOUBLE)) OVER (PARTITION BY location) * 100 AS p FROM {_GAINS}) GROUP BY 1")
 def importance_average(spark, d):
     t = stats.percent_of_total(literal_table(spark, GAINS, ["location", "feature"]), "value", ["location"])
@@ -653,7 +773,8 @@ def elbow_second_difference(spark, d):
 
 
 def _split(spark, d):
-    h = views.hist(spark, d).select("location", "time", "k", "code", *FEATURES, "fog")
+    # written once: scaling, weights and the fit all read it
+    h = spool(views.hist(spark, d).select("location", "time", "k", "code", *FEATURES, "fog"), "history")
     return variants.temporal_split(h, TEST_YEAR)
 
 
@@ -700,8 +821,33 @@ def model_importance(spark, d):
     return models.combined_importance(parts)
 
 
+def _experiment(spark, d):
+    from hazeline.operators import experiments, models
+
+    h = spool(views.hist(spark, d).select("location", "time", *FEATURES, "gappy", "fog"), "history")
+    parts = variants.variants(h, ["gappy"])
+    cols = {variants.WITHOUT: FEATURES, variants.WITH: [*FEATURES, "gappy"], variants.REDUCED: FEATURES}
+    fits = {"logistic": lambda train, names: models.logistic(train, names, max_iter=50)}
+    return experiments.run(parts, cols, fits, fn.in_year(F.col("time"), TEST_YEAR))
+
+
+@query()
+def experiment_metrics(spark, d):
+    """A model for each location and variant, and its metrics on the test year."""
+    return _experiment(spark, d)[0]
+
+
+@query()
+def experiment_averages(spark, d):
+    """The same metrics, and the importances, averaged over locations."""
+    flat, told = _experiment(spark, d)
+    means = metrics.average(flat).select("model", "variant", F.concat(F.lit("metric "), "metric").alias("name"), "value")
+    gains = told.groupBy("model", "variant", F.concat(F.lit("importance "), "feature").alias("name")).agg(F.avg("importance_pct").alias("value"))
+    return means.unionByName(gains.select(*means.columns))
+
+
 def _hourly(spark, d):
-    rows = views.obs(spark, d).withColumn("fog", (F.col("temp") < 45).cast("int"))
+    rows = spool(views.obs(spark, d).withColumn("fog", (F.col("temp") < 45).cast("int")), "hours")
     cut = F.lit("2024-01-24 00:00:00").cast("timestamp_ntz")
     return rows.where(F.col("time") < cut), rows.where(F.col("time") >= cut)
 
@@ -749,13 +895,27 @@ def feature_pipeline(spark: SparkSession, d: str) -> DataFrame:
     rows = features.previous_night_low(rows, "temp")
     # the reports of one station serve all locations
     seen = views.seen(spark, d).where("vis <= 999000")
-    joined = asof.nearest(rows, seen, ["vis"], 30, by=(), order=["seq"]).dropna(subset=["vis"])
+    joined = asof.nearest(rows, seen, ["vis"], 30, by=(), order=["seq"], bucket_hours=1).dropna(subset=["vis"])
     out = joined.withColumn("fog", fn.fog_label(F.col("vis")))
     return out.groupBy("location", "fog").agg(
         F.count("*").alias("n"), r6(F.avg("cooling_rate_6h")).alias("mean_cooling_6h"), r6(F.avg("previous_night_low")).alias("mean_night_low")
     )
 
 
-@query()
+@query(
+    """, day AS (SELECT location, CAST(time AS DATE) AS d, min(CASE WHEN hour(time) >= 18 THEN temp END) AS e, min(CASE WHEN hour(time) < 6 THEN temp END) AS m FROM obs GROUP BY 1, 2),
+    low AS (SELECT location, d, CASE WHEN row_number() OVER w > 1 THEN least(lag(e) OVER w, m) END AS low FROM day WINDOW w AS (PARTITION BY location ORDER BY d)),
+    rates AS (SELECT location, time, (temp - lag(temp, 6) OVER (PARTITION BY location ORDER BY time)) / 6 AS rate FROM obs),
+    l AS (SELECT DISTINCT time FROM obs), r AS (SELECT seq, time, vis FROM seen WHERE vis <= 999000),
+    b AS (SELECT l.time, x.time AS t, x.vis FROM l LEFT JOIN LATERAL (SELECT * FROM r WHERE r.time <= l.time ORDER BY r.time DESC, r.seq DESC LIMIT 1) x ON true),
+    f AS (SELECT l.time, x.time AS t, x.vis FROM l LEFT JOIN LATERAL (SELECT * FROM r WHERE r.time >= l.time ORDER BY r.time, r.seq LIMIT 1) x ON true),
+    g AS (SELECT b.time, b.vis AS bv, f.vis AS fv, epoch_us(b.time) - epoch_us(b.t) AS db, epoch_us(f.t) - epoch_us(b.time) AS df FROM b JOIN f ON b.time = f.time),
+    near AS (SELECT time, CASE WHEN db IS NOT NULL AND (df IS NULL OR db <= df) THEN bv ELSE fv END AS vis FROM g
+             WHERE CASE WHEN db IS NOT NULL AND (df IS NULL OR db <= df) THEN db ELSE df END <= 1800000000)
+    SELECT rates.location, CASE WHEN vis < 1610 THEN 1 ELSE 0 END AS fog, count(*) AS n, """
+    + f"{q6('avg(rate)')} AS mean_cooling_6h, {q6('avg(low)')} AS mean_night_low "
+    + """FROM rates JOIN near ON rates.time = near.time JOIN low ON low.location = rates.location AND low.d = CAST(rates.time AS DATE) GROUP BY 1, 2""",
+    "obs seen",
+)
 def flagship_features(spark, d):
     return feature_pipeline(spark, d)

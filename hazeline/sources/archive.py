@@ -1,16 +1,18 @@
 """Hourly archive answers (JSON with one array for each variable) as rows, and an HTTP source for them.
 
 ``hourly_rows`` works on any column of answers, so tests and backfills read
-files; the data source fetches one (location, year) in each task.
+files; the data source fetches each (location, year) by HTTP.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import time as clock
 import urllib.parse
 import urllib.request
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,41 +37,60 @@ def _time(text: Column) -> Column:
     return F.to_timestamp_ntz(F.replace(text, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm"))
 
 
-class YearPart(InputPartition):
-    def __init__(self, location: str, latitude: str, longitude: str, year: int):
-        super().__init__(f"{location}/{year}")
-        self.location, self.latitude, self.longitude, self.year = location, latitude, longitude, year
+class YearsPart(InputPartition):
+    """The (place, year) requests that one task makes, one after another."""
+
+    def __init__(self, requests: list[tuple[str, str, str, int]]):
+        super().__init__([f"{place}/{year}" for place, _, _, year in requests])
+        self.requests = requests
 
 
 class ArchiveReader(DataSourceReader):
+    """Options: url, places ("name:lat:lon;..."), years ("1980-2025"), zone, pause, tasks, on_error.
+
+    ``pause`` seconds pass between requests of the whole job: with ``tasks``
+    parallel tasks, 1 by default, each waits that many times as long. A year
+    that can't be had or read fails the job if ``on_error`` is "fail"; by
+    default it is skipped with a warning in the task's log.
+    """
+
     def __init__(self, schema: T.StructType, options: dict):
         self.variables = [f.name for f in schema.fields if f.name not in ("location", "time")]
         self.options = dict(options)
+        self.tasks = int(self.options.get("tasks", 1))
 
-    def partitions(self) -> list[YearPart]:
-        """options: url, places ("name:lat:lon;..."), years ("1980-2025"), zone."""
+    def partitions(self) -> list[YearsPart]:
         first, _, last = self.options["years"].partition("-")
         places = [p.split(":") for p in self.options["places"].split(";")]
-        return [YearPart(*p, year) for p in places for year in range(int(first), int(last or first) + 1)]
-
-    def read(self, part: YearPart):
-        from datetime import datetime
-
+        every = [(*p, year) for p in places for year in range(int(first), int(last or first) + 1)]
+        return [YearsPart(every[i :: self.tasks]) for i in range(min(self.tasks, len(every)))]
+
+    def read(self, part: YearsPart):
+        for place, latitude, longitude, year in part.requests:
+            try:
+                rows = list(self.rows(place, self.fetch(latitude, longitude, year)))
+            except (OSError, ValueError, TypeError, AttributeError) as e:  # no answer, or none in the form agreed
+                if self.options.get("on_error", "skip") == "fail":
+                    raise
+                logging.getLogger(__name__).warning("%s in %d is skipped: %s", place, year, e)
+                continue
+            finally:
+                clock.sleep(float(self.options.get("pause", PAUSE_S)) * self.tasks)
+            yield from rows
+
+    def fetch(self, latitude: str, longitude: str, year: int) -> dict:
         query = {
-            "latitude": part.latitude, "longitude": part.longitude, "start_date": f"{part.year}-01-01", "end_date": f"{part.year}-12-31",
+            "latitude": latitude, "longitude": longitude, "start_date": f"{year}-01-01", "end_date": f"{year}-12-31",
             "hourly": ",".join(self.variables), "timezone": self.options.get("zone", "America/Los_Angeles"),
         }
-        try:
-            with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(query)}", timeout=TIMEOUT_S) as answer:
-                hourly = json.load(answer).get("hourly", {})
-        except OSError:  # a year that can't be had is skipped
-            return
-        finally:
-            clock.sleep(float(self.options.get("pause", PAUSE_S)))
+        with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(query)}", timeout=TIMEOUT_S) as answer:
+            return json.load(answer).get("hourly") or {}
+
+    def rows(self, place: str, hourly: dict):
         times = hourly.get("time") or []
         columns = [hourly.get(v) or [None] * len(times) for v in self.variables]
         for i, t in enumerate(times):
-            yield (part.location, datetime.fromisoformat(t), *(None if c[i] is None else float(c[i]) for c in columns))
+            yield (place, datetime.fromisoformat(t), *(None if c[i] is None else float(c[i]) for c in columns))
 
 
 class HourlyArchive(DataSource):

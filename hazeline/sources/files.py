@@ -16,11 +16,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, t
     return spark.read.schema(schema).option("header", True).option("timestampNTZFormat", time_format).option("enforceSchema", False).csv(path)
 
 
-def read_located(spark: SparkSession, pattern: str, schema: T.StructType, name: str = r"location_(\w+?)_", time_format: str = TIME_FORMAT) -> DataFrame:
-    """All files of a glob, the location taken from each file's name."""
+def read_located(spark: SparkSession, pattern: str, schema: T.StructType, name: str = r"location_(\w+?)_", time_format: str = TIME_FORMAT, part: str = "name") -> DataFrame:
+    """All files of a glob, the location taken from each file's name (or its whole path: part="path")."""
     rest = T.StructType([f for f in schema if f.name != "location"])
     df = read_csv(spark, pattern, rest, time_format)
-    return df.select(F.regexp_extract(F.col("_metadata.file_name"), name, 1).alias("location"), *rest.names)
+    return df.select(F.regexp_extract(F.col(f"_metadata.file_{part}"), name, 1).alias("location"), *rest.names)
 
 
 def locations_with_all(tables: Sequence[DataFrame], key: str = "location") -> DataFrame:

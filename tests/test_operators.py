@@ -1,6 +1,10 @@
 """Small fixtures for the semantic traps of the domain."""
 
 import datetime as dt
+import http.server
+import json
+import threading
+import urllib.parse
 
 import numpy as np
 import pandas as pd
@@ -250,8 +254,45 @@ def test_archive_answers(spark):
     df = spark.createDataFrame([("x", body), ("y", '{"hourly": {}}')], "location string, body string")
     rows = archive.hourly_rows(df, ["pm10", "dust"]).orderBy("time").collect()
     assert [tuple(r) for r in rows] == [("x", t("01 00:00"), 1.5, None), ("x", t("01 01:00"), None, None)]
-    parts = archive.ArchiveReader(schema.AIR_LAYER, {"years": "2020-2021", "places": "a:1:2;b:3:4"}).partitions()
-    assert [(p.location, p.year) for p in parts] == [("a", 2020), ("a", 2021), ("b", 2020), ("b", 2021)]
+    reader = lambda tasks: archive.ArchiveReader(schema.AIR_LAYER, {"years": "2020-2021", "places": "a:1:2;b:3:4", "tasks": tasks})
+    assert [[r[0] + str(r[3]) for r in p.requests] for p in reader("1").partitions()] == [["a2020", "a2021", "b2020", "b2021"]]
+    assert [[r[0] + str(r[3]) for r in p.requests] for p in reader("9").partitions()] == [["a2020"], ["a2021"], ["b2020"], ["b2021"]]
+
+
+@pytest.fixture
+def server():
+    """An archive that answers like the real one, fails for 2021 and answers no JSON for 2022."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(self.path).query))
+            year = asked["start_date"][:4]
+            self.send_response(500 if year == "2021" else 200)
+            self.end_headers()
+            hours = {"time": [f"{year}-01-01T00:00", f"{year}-01-01T01:00"], "pm10": [float(asked["latitude"]), None]}
+            self.wfile.write(b"no json" if year == "2022" else json.dumps({} if year == "2023" else {"hourly": hours}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    found = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=found.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{found.server_port}/archive"
+    found.shutdown()
+
+
+def test_archive_source(spark, server):
+    spark.dataSource.register(archive.HourlyArchive)
+    kind = "location string, time timestamp_ntz, pm10 double, dust double"
+    options = {"url": server, "places": "a:1.5:2;b:3:4", "pause": "0", "tasks": "2"}
+    rows = lambda years, **more: spark.read.format("hourly_archive").schema(kind).options(**options, years=years, **more).load()
+    found = sorted(tuple(r) for r in rows("2019-2023").collect())
+    at = [dt.datetime(y, 1, 1, h) for y in (2019, 2020) for h in (0, 1)]
+    assert found == [(x, w, v if w.hour == 0 else None, None) for x, v in (("a", 1.5), ("b", 3.0)) for w in at]
+    assert rows("2023").count() == 0 and rows("2023").schema == rows("2019").schema
+    for year in ("2021", "2022"):
+        with pytest.raises(Exception, match="HTTP Error 500|Expecting value"):
+            rows(year, on_error="fail").collect()
 
 
 def test_reports(spark, tmp_path):

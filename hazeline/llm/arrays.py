@@ -75,21 +75,6 @@ def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     return out
 
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of (code+1)*base**i; spans are hashed from these in O(1)."""
-    up, _ = powers(len(codes) + 1)
-    out = np.zeros(len(codes) + 1, U64)
-    np.cumsum((codes.astype(U64) + U64(1)) * up[:-1], out=out[1:])
-    return out
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end]; equal content gives equal hashes wherever it lies."""
-    _, down = powers(len(sums))
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix(raw ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
-
-
 def chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of texts of at most ``limit`` characters together; one longer text stands alone."""
     i, total = 0, 0

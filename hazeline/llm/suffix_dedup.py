@@ -1,14 +1,16 @@
 """Operator 1: exact removal of repeated byte strings by suffix arrays.
 
-Every window of ``length`` bytes picks an anchor, the k-gram of least hash in
-it, so equal windows pick equal anchors at equal distances. Anchors seen once
-in the corpus are dropped; the surroundings of the others (each anchor's own
-windows) are brought together by anchor and each distinct one is kept once with
-its count. In a task, what lies right of the anchors, and what lies left of
-them read backwards, is cut into blocks; the suffix array of all blocks, built
-by linear grouping, gives both orders. A window at distance t before its anchor
-repeats exactly if its left t bytes and its right length - t bytes are shared
-with another one: runs of the two orders whose neighbours agree that far.
+Every window of ``length`` bytes picks an anchor (its gram of least hash), so
+equal windows pick equal anchors at equal distances. Anchors that occur once
+are dropped; of the others, each distinct surroundings (all windows of the
+anchor) are taken once, with their count. Windows fall into bands of near
+distances. All windows of a band share their core, the bytes that lie in each of
+them, so equal windows meet by core. A core in a single distinct string is
+decided by its count. The strings of any other core meet in one task, where the
+core itself shrinks to one symbol: the suffix array of all symbols there, built
+by linear grouping, brings equal windows together, and suffixes that agree with
+their neighbour in a whole window are the repeats. A core that very many distinct strings hold is dealt out in
+narrower bands, whose cores are longer, until few strings share one.
 """
 
 from __future__ import annotations
@@ -20,34 +22,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.arrays import chunks, mix, powers, prefix_sums, span_hashes
+from hazeline.llm.arrays import chunks, eights_of, mix, powers
 from hazeline.llm.runtime import drop_spool, partitions, row_keys, spool, text_column, whole_groups
 from hazeline.llm.suffix_array import suffix_array
 
 LENGTH = 400
-#: Distinct surroundings of one anchor from which its windows are counted by digest instead, spread over all tasks.
-HOT = 20_000
-#: Bytes hashed at a time, and surroundings sorted at a time.
-CHUNK, SORTED = 1 << 20, 6000
+#: Bands that the distances from an anchor are cut into at first.
+BANDS = 4
+#: Distinct strings of one core that meet in a task; cores of more get narrower bands.
+MANY = 256
+#: Bytes hashed at a time, and strings whose suffixes are sorted at a time.
+CHUNK, SORTED = 1 << 20, 800
 #: A longer text is hashed in pieces; anchors' places then fit the low bits of their sort keys.
 PIECE, PLACE_BITS = 8 << 20, 24
-BLOCK = 32
 
 
 def gram_of(length: int) -> int:
     return max(1, length // 4)
 
 
+def reach(length: int) -> int:
+    """Distances that a window may have to its anchor."""
+    return length - gram_of(length) + 1
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Anchors of texts laid end to end: text index, place, first window, windows, hash, and digest of the surroundings."""
+    """Anchors of texts laid end to end: text index, place, first window, windows, hash, and digest of the surroundings.
+
+    Hashes are polynomials over the mixed bits of each eight bytes on end.
+    """
     n, k = len(data), gram_of(length)
-    w = length - k + 1
+    w = reach(length)
     if n < length:
         return {c: np.zeros(0, np.int64) for c in ("text", "place", "first", "windows", "gram", "around")}
-    sums = prefix_sums(data)
-    _, down = powers(n + 1)
+    up, down = powers(n + 1)
+    wide = min(8, k)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(eights_of(data)[:n] & np.uint64((1 << 8 * wide) - 1)) * up[:n], out=sums[1:])
     m = n - k + 1
-    gram = mix((sums[k:] - sums[:-k]) * down[:m])
+    gram = mix((sums[k - wide + 1 : n - wide + 2] - sums[:m]) * down[:m])
     low = np.uint64((1 << PLACE_BITS) - 1)
     keys = np.full(-(-m // w) * w, ~np.uint64(0), np.uint64)
     keys[:m] = (gram & ~low) | np.arange(m, dtype=np.uint64)
@@ -65,11 +78,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
     stop = np.append(np.flatnonzero(valid[:-1] & (fresh[1:] | ~valid[1:])) + 1, count) if count > 1 else np.array([count])
     stop = stop[: len(first)]
     place = least[first]
-    windows = stop - first
-    around = mix(span_hashes(sums, first, stop - 1 + length) + (place - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    span = (sums[stop + length - wide] - sums[first]) * down[first]
+    shape = (place - first).astype(np.uint64) << np.uint64(32) | (stop - first).astype(np.uint64)
     return {
-        "text": np.searchsorted(ends, first, "right"), "place": place, "first": first, "windows": windows,
-        "gram": gram[place].view(np.int64), "around": around.view(np.int64),
+        "text": np.searchsorted(ends, first, "right"), "place": place, "first": first, "windows": stop - first,
+        "gram": gram[place].view(np.int64), "around": mix(mix(span) ^ shape).view(np.int64),
     }
 
 
@@ -91,114 +104,155 @@ def text_anchors(texts: list[bytes], length: int):
                 yield np.full(len(found["place"]), i), np.full(len(found["place"]), -at), data, found
 
 
-def orders(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each string in lexicographic order (zero bytes fill up blocks), by a suffix array of blocks."""
-    blocks = [-(-len(s) // BLOCK) for s in strings]
-    padded = b"".join(s.ljust(c * BLOCK, b"\0") for s, c in zip(strings, blocks, strict=True))
-    _, signs = np.unique(np.frombuffer(padded, f"S{BLOCK}"), return_inverse=True)
-    counts = np.array(blocks)
-    starts = np.cumsum(counts + 1) - (counts + 1)
-    symbols = np.ones(int(counts.sum()) + len(strings), np.int64)  # 1 ends a string
-    inside = np.ones(len(symbols), bool)
-    inside[starts + counts] = False
-    symbols[inside] = signs + 2
-    place = np.full(len(symbols), -1, np.int64)
-    place[starts] = np.arange(len(strings))
-    order = place[suffix_array(symbols)]
-    return order[order >= 0], starts
-
-
-def agreeing(strings: list[bytes], order: np.ndarray) -> np.ndarray:
-    """Bytes in which each string of the order agrees with the one before it."""
-    width = max(1, max(map(len, strings)))
-    table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(-1, width)[order]
-    out = np.zeros(len(strings), np.int64)
-    for a in range(1, len(strings), 2048):
-        b = min(len(strings), a + 2048)
-        differ = table[a:b] != table[a - 1 : b - 1]
-        out[a:b] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return out
+def bands(top: int, windows: int, size: int, low: int = 0, high: int = 1 << 40):
+    """(band's first distance, farthest and nearest distance) of an anchor's windows within low..high, by bands of ``size``."""
+    nearest, farthest = max(top - windows + 1, low), min(top, high)
+    for u in range(low + (nearest - low) // size * size, farthest + 1, size):
+        yield u, min(farthest, u + size - 1, high), max(nearest, u)
 
 
-def repeated_windows(around: list[bytes], anchor: np.ndarray, windows: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """Which windows (row: surroundings, column: distance to the anchor) occur more than once; ``count``: of equal surroundings."""
-    m = len(around)
-    right = [s[a:] for s, a in zip(around, anchor.tolist(), strict=True)]
-    left = [s[:a][::-1] for s, a in zip(around, anchor.tolist(), strict=True)]
-    order, _ = orders(right + left)
-    right_order, left_order = order[order < m], order[order >= m] - m
-    right_agree, left_agree = agreeing(right, right_order), agreeing(left, left_order)
-    right_rank, left_rank = np.empty(m, np.int64), np.empty(m, np.int64)
-    right_rank[right_order] = left_rank[left_order] = np.arange(m)
-    least, most = anchor - windows + 1, anchor
-    out = np.zeros((m, int(most.max()) + 1), bool)
-    for t in range(max(0, int(least.min())), int(most.max()) + 1):
-        own = np.flatnonzero((least <= t) & (t <= most))
-        if len(own):
-            key = np.cumsum(right_agree < length - t)[right_rank[own]] * np.int64(m + 1) + np.cumsum(left_agree < t)[left_rank[own]]
-            _, which = np.unique(key, return_inverse=True)
-            out[own, t] = np.bincount(which, count[own])[which] > 1
+def shrunk(strings: list[bytes], offset: list[int], size: list[int], length: int) -> list[np.ndarray]:
+    """Strings as symbols of 2 and more, with the core (from ``offset``, for bands of ``size``) as one symbol of its own bytes' number."""
+    numbers: dict[bytes, int] = {}
+    out = []
+    for s, a, k in zip(strings, offset, size, strict=True):
+        b = a + length - k + 1
+        core = numbers.setdefault(s[a:b], 258 + len(numbers))
+        left, right = np.frombuffer(s, np.uint8, a), np.frombuffer(s, np.uint8, len(s) - b, b)
+        out.append(np.concatenate([left.astype(np.int64) + 2, [core], right.astype(np.int64) + 2]))
     return out
 
 
-def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first column, last column) of runs of set flags."""
-    edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, a = np.nonzero(edges == 1)
-    return row, a, np.nonzero(edges == -1)[1] - 1
-
+def repeated_windows(strings: list[np.ndarray], count: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """For each string: which of its suffixes start with ``size`` symbols (each string's own number) that occur again.
 
-def _repeats(around: DataFrame, length: int) -> DataFrame:
-    """gram, around, low, high: distances of windows that repeat; ``around`` has gram, around, n, anchor, windows, bytes."""
-
-    def flush(rows: pd.DataFrame):
-        rows = rows.drop_duplicates(["gram", "around"]).reset_index(drop=True)
-        flags = repeated_windows(rows["bytes"].tolist(), rows["anchor"].to_numpy(np.int64), rows["windows"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), length)
-        row, low, high = runs_of(flags)
-        if len(row):
-            cut = np.flatnonzero(np.diff(row, prepend=-1))
-            yield pd.DataFrame({
-                "gram": rows["gram"].to_numpy()[row[cut]], "around": rows["around"].to_numpy()[row[cut]],
-                "low": np.split(low.astype(np.int32), cut[1:]), "high": np.split(high.astype(np.int32), cut[1:]),
-            })
+    ``count`` tells how often each string occurs. Suffixes that start with the
+    same symbols are neighbours in the suffix array, so each is compared with
+    the one before it only.
+    """
+    lengths = np.array([len(s) for s in strings])
+    symbols = np.ones(int(lengths.sum()) + len(strings), np.int64)  # 1 ends a string
+    ends = np.cumsum(lengths + 1) - 1
+    inside = np.ones(len(symbols), bool)
+    inside[ends] = False
+    symbols[inside] = np.concatenate(strings)
+    owner = np.repeat(np.arange(len(strings)), lengths + 1)
+    order = suffix_array(symbols)
+    order = order[ends[owner[order]] - order >= size[owner[order]]]
+    need = size[owner[order]]
+    # neighbours that still agree, one symbol a step
+    alive, at = np.flatnonzero(need[1:] == need[:-1]) + 1, 0
+    same = np.zeros(len(order), bool)
+    while len(alive):
+        done = need[alive] == at
+        same[alive[done]] = True
+        alive = alive[~done]
+        alive = alive[symbols[order[alive] + at] == symbols[order[alive - 1] + at]]
+        at += 1
+    run = np.cumsum(~same) - 1
+    times = np.bincount(run, count[owner[order]], minlength=1)
+    out = np.zeros(len(symbols), bool)
+    out[order[times[run] > 1]] = True
+    return np.split(out[inside], np.cumsum(lengths)[:-1])
+
+
+_BAND = "gram long, around long, n long, low int, size int, top int, windows int, core long, s1 long, s2 long"
+
+
+def _banded(around: DataFrame, length: int, size: int) -> DataFrame:
+    """The windows of ``around`` (gram, around, n, top, windows, low, high, bytes) between low and high in bands of ``size``.
+
+    A row tells a band's first distance (low), its farthest window (top), how
+    many windows, the hash of its core, and the digest of its string.
+    """
 
     def run(batches):
-        for rows in whole_groups(batches, "gram", SORTED):
-            yield from flush(rows)
-
-    dealt = around.repartition(partitions(around.sparkSession), "gram").sortWithinPartitions("gram")
-    return dealt.mapInPandas(run, "gram long, around long, low array<int>, high array<int>")
-
+        for pdf in batches:
+            rows = []
+            for g, r, n, top, windows, a, b, data in zip(*(pdf[c].tolist() for c in ("gram", "around", "n", "top", "windows", "low", "high", "bytes")), strict=True):
+                for u, far, near in bands(top, windows, size, a, b):
+                    core = hashlib.blake2b(data[top - u : top - u - size + 1 + length], digest_size=8, key=f"{g}:{u}".encode()).digest()
+                    string = hashlib.blake2b(data[top - far : top - near + length], digest_size=16, key=f"{u - far}".encode()).digest()
+                    s = np.frombuffer(core + string, np.int64).tolist()
+                    rows.append((g, r, n, u, size, far, far - near + 1, *s))
+            yield pd.DataFrame(rows, columns=["gram", "around", "n", "low", "size", "top", "windows", "core", "s1", "s2"])
 
-def _hot_repeats(around: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many distinct surroundings: windows are counted by digest in all tasks."""
+    return around.select("gram", "around", "n", "top", "windows", "low", "high", "bytes").mapInPandas(run, _BAND)
 
-    def windows(batches):
-        for pdf in batches:
-            for g, r, n, anchor, count, data in zip(*(pdf[c] for c in ("gram", "around", "n", "anchor", "windows", "bytes")), strict=True):
-                digests = [hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in range(count)]
-                yield pd.DataFrame({"gram": g, "around": r, "n": n, "t": (anchor - np.arange(count)).astype(np.int32), "digest": digests})
 
-    each = around.dropDuplicates(["gram", "around"]).mapInPandas(windows, "gram long, around long, n long, t int, digest binary")
-    again = each.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
-    return each.join(again, "digest").groupBy("gram", "around").agg(F.collect_list("t").alias("low")).withColumn("high", F.col("low"))
+def _repeats(members: DataFrame, length: int) -> DataFrame:
+    """core, s1, s2, first, last: runs of windows of each string that occur again.
 
+    ``members`` has core, s1, s2, n, offset (of the core), size and bytes, each string once.
+    """
 
-def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, hot: int) -> DataFrame:
+    def run(batches):
+        for rows in whole_groups(batches, "core", SORTED):
+            size = rows["size"].to_numpy(np.int64)
+            strings = shrunk(rows["bytes"].tolist(), rows["offset"].tolist(), size.tolist(), length)
+            flags = repeated_windows(strings, rows["n"].to_numpy(np.int64), size)
+            which, first, last = [], [], []
+            for i, own in enumerate(flags):
+                edges = np.diff(np.pad(own, 1).astype(np.int8))
+                if (edges > 0).any():
+                    which.append(i)
+                    first.append(np.flatnonzero(edges > 0).astype(np.int32))
+                    last.append((np.flatnonzero(edges < 0) - 1).astype(np.int32))
+            if which:
+                yield pd.DataFrame({**{c: rows[c].to_numpy()[which] for c in ("core", "s1", "s2")}, "first": first, "last": last})
+
+    dealt = members.repartition(partitions(members.sparkSession), "core").sortWithinPartitions("core")
+    return dealt.mapInPandas(run, "core long, s1 long, s2 long, first array<int>, last array<int>")
+
+
+def _judged(around: DataFrame, length: int, many: int) -> DataFrame:
+    """gram, around, low, high: distances of windows of ``around`` (gram, around, n, top, windows, bytes) that repeat, in runs."""
+    size = -(-reach(length) // BANDS)
+    part = around.withColumn("low", F.lit(0)).withColumn("high", F.lit(reach(length)))
+    strings, decided = None, None
+    while True:
+        cut = spool(_banded(part, length, size), "bands")
+        once = cut.groupBy("core", "s1", "s2").agg(F.sum("n").alias("n"))
+        cores = spool(once.groupBy("core").agg(F.count("*").alias("strings"), F.sum("n").alias("times")), "cores")
+        here = cut.join(cores.where("strings = 1 and times > 1").select("core"), "core").select("gram", "around", (F.col("top") - F.col("windows") + 1).alias("low"), F.col("top").alias("high"))
+        several = cut.join(cores.where(f"strings > 1 and strings <= {many}").select("core"), "core")
+        decided = here if decided is None else decided.unionByName(here)
+        strings = several if strings is None else strings.unionByName(several)
+        large = cores.where(f"strings > {many}").select("core")
+        if size == 1 or not large.limit(1).count():
+            break
+        again = cut.join(large, "core").select("gram", "around", "low", (F.col("low") + size - 1).alias("high"))
+        part = around.join(again, ["gram", "around"])
+        size = -(-size // 2)
+    strings = spool(strings, "strings")
+    # one holder of each string, chosen by hash, so that bytes are read from all over
+    pick = F.xxhash64("gram", "around")
+    held = strings.groupBy("core", "s1", "s2").agg(F.sum("n").alias("n"), *(F.min_by(c, pick).alias(c) for c in ("gram", "around", "low", "size", "top", "windows")))
+    held = held.withColumnsRenamed({"top": "far", "windows": "own"}).withColumn("offset", F.col("far") - F.col("low"))
+    text = F.expr(f"substring(bytes, top - far + 1, own + {length - 1})").alias("bytes")
+    members = held.join(around.select("gram", "around", "top", "bytes"), ["gram", "around"]).select("core", "s1", "s2", "n", "offset", "size", text)
+    found = _repeats(members, length).withColumn("run", F.explode(F.arrays_zip("first", "last"))).select("core", "s1", "s2", "run.first", "run.last")
+    found = spool(found, "runs")
+    met = strings.join(found, ["core", "s1", "s2"]).select("gram", "around", (F.col("top") - F.col("last")).alias("low"), (F.col("top") - F.col("first")).alias("high"))
+    return decided.unionByName(met)
+
+
+def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, many: int) -> DataFrame:
     """``docs`` with hazeline_starts and hazeline_ends: arrays (null if none) of the byte ranges of repeated strings, overlaps included."""
     keyed = docs.withColumn("hazeline_text", text_column(docs, text_col))
     one, two = row_keys(keyed[id_col].cast("string"), keyed["hazeline_text"])
     keyed = keyed.select("*", one.alias("hazeline_k1"), two.alias("hazeline_k2"))
-    long = keyed.where(F.octet_length("hazeline_text") > 0)
+    long = keyed.where(F.octet_length("hazeline_text") >= length)
 
     def scan(batches):
         for pdf in batches:
             k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
             for index, begin, _, found in text_anchors([t.encode() for t in pdf["text"]], length):
-                yield pd.DataFrame({"k1": k1[index], "k2": k2[index], "place": found["place"] - begin, "gram": found["gram"], "around": found["around"]})
+                top, windows = (found["place"] - found["first"]).astype(np.int32), found["windows"].astype(np.int32)
+                yield pd.DataFrame({"k1": k1[index], "k2": k2[index], "place": found["place"] - begin, "top": top, "windows": windows, "gram": found["gram"], "around": found["around"]})
 
     texts = long.select(F.col("hazeline_k1").alias("k1"), F.col("hazeline_k2").alias("k2"), F.col("hazeline_text").alias("text"))
-    every = spool(texts.mapInPandas(scan, "k1 long, k2 long, place long, gram long, around long"), "anchors")
+    every = spool(texts.mapInPandas(scan, "k1 long, k2 long, place long, top int, windows int, gram long, around long"), "anchors")
     # written, so that both sides of the join come from shuffles that Spark can split where one anchor is frequent
     again = spool(every.groupBy("gram").count().where("count > 1").select("gram"), "repeated")
     seen = spool(every.join(again, "gram"), "repeated-anchors")
@@ -206,9 +260,12 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, hot: int)
 
     pick = F.xxhash64("k1", "k2", "place")
     distinct = seen.groupBy("gram", "around").agg(
-        F.count("*").alias("n"), *(F.min_by(c, pick).alias(c) for c in ("k1", "k2"))
+        F.count("*").alias("n"), F.min("top").alias("top"), F.min("windows").alias("windows"), *(F.min_by(c, pick).alias(c) for c in ("k1", "k2"))
     )
-    wanted = distinct.groupBy("k1", "k2").agg(F.collect_list("around").alias("around"), F.collect_list("n").alias("n"))
+    distinct = spool(distinct, "surroundings")
+    several = spool(distinct.groupBy("gram").count().withColumnRenamed("count", "kinds"), "kinds")
+    alone = distinct.join(several.where("kinds = 1"), "gram").select("gram", "around", (F.col("top") - F.col("windows") + 1).alias("low"), F.col("top").alias("high"))
+    wanted = distinct.join(several.where("kinds > 1").select("gram"), "gram").groupBy("k1", "k2").agg(F.collect_list("around").alias("around"), F.collect_list("n").alias("n"))
 
     def cut(batches):
         for pdf in batches:
@@ -227,16 +284,15 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, hot: int)
                 raw = data.tobytes()
                 yield pd.DataFrame({
                     "gram": found["gram"][hit], "around": found["around"][hit], "n": counts[at[hit]],
-                    "anchor": (place - first).astype(np.int32), "windows": windows.astype(np.int32),
+                    "top": (place - first).astype(np.int32), "windows": windows.astype(np.int32),
                     "bytes": [raw[a : a + w - 1 + length] for a, w in zip(first.tolist(), windows.tolist(), strict=True)],
                 })
 
-    around = wanted.join(texts, ["k1", "k2"]).select("text", "around", "n").mapInPandas(cut, "gram long, around long, n long, anchor int, windows int, bytes binary")
-    many = distinct.groupBy("gram").count().where(F.col("count") > hot).select("gram")
-    if many.limit(1).count():
-        found = _repeats(around.join(many, "gram", "left_anti"), length).unionByName(_hot_repeats(around.join(many, "gram", "left_semi"), length))
-    else:
-        found = _repeats(around, length)
+    around = wanted.join(texts, ["k1", "k2"]).select("text", "around", "n").mapInPandas(cut, "gram long, around long, n long, top int, windows int, bytes binary")
+    # a repeated row, or pieces of one text, may give the same surroundings again
+    around = spool(around.dropDuplicates(["gram", "around"]), "around")
+    found = alone.unionByName(_judged(around, length, many))
+    found = spool(found.groupBy("gram", "around").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "distances")
     spans = (
         seen.join(found, ["gram", "around"])
         .select("k1", "k2", F.expr("transform(high, t -> place - t)").alias("s"), F.expr(f"transform(low, t -> place - t + {length})").alias("e"))
@@ -264,8 +320,8 @@ def kept_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """What is repeated in each row: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends.
+def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+    """What is repeated in each row: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, text (what is kept).
 
     A byte goes if a string of ``length`` bytes over it also starts elsewhere,
     in this row or another, judged on the input. Null and shorter texts lose
@@ -280,26 +336,30 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
             for text, s, e in zip(pdf["hazeline_text"], pdf["hazeline_starts"], pdf["hazeline_ends"], strict=True):
                 data = text.encode()
                 a, b = merged(s, e)
-                rows.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(kept_bytes(data, a, b)).hexdigest(), a, b))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
+                kept = kept_bytes(data, a, b)
+                rows.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), a, b, kept.decode("utf-8", "ignore")))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "text"])
             yield out.assign(id=pdf["id"].to_numpy())
 
-    marked = _marked(source, length, "text", "id", hot).select(F.col("id").cast("string").alias("id"), "hazeline_text", "hazeline_starts", "hazeline_ends")
-    found = marked.mapInPandas(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, id string")
+    marked = _marked(source, length, "text", "id", many).select(F.col("id").cast("string").alias("id"), "hazeline_text", "hazeline_starts", "hazeline_ends")
+    found = marked.mapInPandas(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, text string, id string")
     kind = docs.schema[id_col].dataType
-    return found.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
+    return found.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "text")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """``docs`` without the repeated bytes (a character that loses a byte goes); all rows and columns stay.
 
-    ``n_chars``, if there, is counted again for changed texts; null texts stay null.
+    ``n_chars``, if there, is counted again for changed texts. Null texts stay
+    null and null ids stay; a repeated row repeats itself, so both lose all that
+    is long enough; texts of any length are searched whole; an empty table gives
+    an empty one.
     """
 
     def run(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([kept_bytes(t.encode(), *merged(s, e)).decode("utf-8", "ignore") if t is not None else None for t, s, e in zip(text, starts, ends, strict=True)])
 
-    marked = _marked(docs, length, text_col, id_col, hot)
+    marked = _marked(docs, length, text_col, id_col, many)
     cut = F.pandas_udf(run, "string")(F.col(text_col), F.col("hazeline_starts"), F.col("hazeline_ends"))
     same = F.col("hazeline_starts").isNull()
     out = marked.withColumn(text_col, F.when(same, F.col(text_col)).otherwise(cut))

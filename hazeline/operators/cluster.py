@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from hazeline.operators.stats import percent_of_total
 
 #: Numbers of clusters that the elbow is sought in.
 ELBOW = range(3, 21)
+#: Fits that run at the same time.
+PARALLEL = 8
 
 
 def _positions(df: DataFrame, vector: str, cluster: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -47,13 +51,13 @@ def davies_bouldin(df: DataFrame, vector: str = "embedding", cluster: str = "lab
 
 
 def silhouette(df: DataFrame, vector: str = "embedding", cluster: str = "label", key: str = "vec_id", sample: int = 5000) -> DataFrame:
-    """Mean Euclidean silhouette of at most ``sample`` rows, a fixed choice by hash; single rows of a cluster count 0.
+    """Mean Euclidean silhouette of at most ``sample`` rows, those of least MD5 of the key; single rows of a cluster count 0.
 
     The sample is the statistic's definition, so its size is bounded: blocks of
     it meet the whole sample in tasks of their own.
     """
     rows = df.select(F.col(key).alias("k"), F.col(cluster).cast("string").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    chosen = rows.orderBy(F.xxhash64("k"), "k").limit(sample)
+    chosen = rows.orderBy(F.md5(F.col("k").cast("string").cast("binary")), "k").limit(sample)
     every = chosen.toPandas()  # at most ``sample`` vectors
     points = np.stack(every["v"].to_numpy()) if len(every) else np.zeros((0, 1))
     names, code = np.unique(every["c"].to_numpy(str), return_inverse=True) if len(every) else (np.zeros(0), np.zeros(0, int))
@@ -89,22 +93,35 @@ def feature_variance_pct(df: DataFrame, vector: str = "embedding", cluster: str
 
 def kmeans(df: DataFrame, features: str, k: int = 8, restarts: int = 10, seed: int = 42, max_iter: int = 50):
     """(model, cost) of least cost over seeds seed, seed + 1, ...; the features are cached for the runs."""
+    return _least(df, features, [k], restarts, seed, max_iter)[k]
+
+
+def elbow_scan(df: DataFrame, features: str, ks=ELBOW, restarts: int = 10, seed: int = 42, max_iter: int = 50) -> DataFrame:
+    """k, inertia for each k."""
+    found = _least(df, features, list(ks), restarts, seed, max_iter)
+    return df.sparkSession.createDataFrame([(k, float(cost)) for k, (_, cost) in found.items()], "k int, inertia double")
+
+
+def _least(df: DataFrame, features: str, ks: list[int], restarts: int, seed: int, max_iter: int) -> dict:
+    """The (model, cost) of least cost for each k; fits are jobs of many short steps, so several run at a time."""
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
 
+    spark = df.sparkSession
     data = df.select(features).persist()
+
+    def fit(job: tuple[int, int]):
+        k, i = job
+        model = KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=max_iter).fit(data)
+        return k, model, model.summary.trainingCost
+
     try:
-        best = None
-        for i in range(restarts):
-            model = KMeans(featuresCol=features, k=k, seed=seed + i, maxIter=max_iter).fit(data)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = model, cost
+        data.count()
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            best: dict = {}
+            for k, model, cost in pool.map(inheritable_thread_target(spark)(fit), [(k, i) for k in ks for i in range(restarts)]):
+                if k not in best or cost < best[k][1]:
+                    best[k] = model, cost
         return best
     finally:
         data.unpersist()
-
-
-def elbow_scan(df: DataFrame, features: str, ks=ELBOW, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """k, inertia for each k."""
-    rows = [(k, float(kmeans(df, features, k, restarts, seed)[1])) for k in ks]
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")

@@ -204,19 +204,29 @@ def test_kmeans_queries_run_the_whole_job(spark, monkeypatch):
         def transform(self, df):
             return df.selectExpr("*", "0 AS prediction")
 
-    def fake(df, features, k=8, restarts=10, seed=42, max_iter=50):
-        calls.append((k, restarts, max_iter))
+    def fake(df, features, ks, restarts, seed, max_iter):
+        calls.append((ks, restarts, max_iter))
         # the rate of decrease falls most at 12
-        return Fitted(), 1e6 * 0.5 ** min(k, 11) * 0.99 ** max(0, k - 11)
+        return {k: (Fitted(), 1e6 * 0.5 ** min(k, 11) * 0.99 ** max(0, k - 11)) for k in ks}
 
-    monkeypatch.setattr(cluster, "kmeans", fake)
+    monkeypatch.setattr(cluster, "_least", fake)
     monkeypatch.setattr(catalogue.views, "table", lambda spark, d, name: spark.createDataFrame([(1, [0.0, 1.0])], "vec_id long, embedding array<float>"))
     queries = catalogue.queries()
     assert queries["kmeans_elbow"](spark, "").first()["k"] == 12
-    assert calls == [(k, 10, 50) for k in range(3, 21)]
+    assert calls == [([*range(3, 21)], 10, 50)]
     calls.clear()
     queries["kmeans_best_of_n"](spark, "").collect()
-    assert calls == [(8, 10, 50)]
+    assert calls == [([8], 10, 50)]
+
+
+def test_kmeans_keeps_the_best_of_its_restarts(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(float(x + dx), float(dx)) for x in (0, 50, 90, 300) for dx in range(5)]
+    df = spark.createDataFrame(rows, "x double, y double").select(array_to_vector(F.array("x", "y")).alias("features"))
+    model, cost = cluster.kmeans(df, "features", k=4, restarts=5)
+    assert len(model.clusterCenters()) == 4 and abs(cost - 4 * 2 * 10) < 1e-9
+    assert [r["k"] for r in cluster.elbow_scan(df, "features", range(2, 5), restarts=2).orderBy("k").collect()] == [2, 3, 4]
 
 
 def test_elbow(spark):

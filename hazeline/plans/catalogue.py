@@ -789,7 +789,7 @@ def model_logreg(spark, d):
     from hazeline.operators import models
 
     train, test = _split(spark, d)
-    fitted = models.logistic(features.standardize(train, FEATURES), FEATURES, max_iter=50)
+    fitted = models.logistic(features.standardize(train, FEATURES), FEATURES)
     return _evaluated(models.scored(fitted, models.assembled(features.standardize(test, FEATURES, fit=train), FEATURES)), "logistic", ["location"])
 
 
@@ -798,7 +798,7 @@ def model_rf(spark, d):
     from hazeline.operators import models
 
     train, test = _split(spark, d)
-    return _evaluated(models.scored(models.forest(train, FEATURES, trees=10, depth=6), models.assembled(test, FEATURES)), "forest", ["location"])
+    return _evaluated(models.scored(models.forest(train, FEATURES), models.assembled(test, FEATURES)), "forest", ["location"])
 
 
 @query()
@@ -806,7 +806,7 @@ def model_gbt(spark, d):
     from hazeline.operators import models
 
     train, test = _split(spark, d)
-    return _evaluated(models.scored(models.boosted(train, FEATURES, rounds=5, depth=4), models.assembled(test, FEATURES)), "boosted", ["location"])
+    return _evaluated(models.scored(models.boosted(train, FEATURES), models.assembled(test, FEATURES)), "boosted", ["location"])
 
 
 @query()
@@ -815,9 +815,9 @@ def model_importance(spark, d):
 
     train, _ = _split(spark, d)
     parts = {
-        "logistic": models.importance(models.logistic(features.standardize(train, FEATURES), FEATURES, max_iter=50), FEATURES, spark),
-        "forest": models.importance(models.forest(train, FEATURES, trees=5, depth=5), FEATURES, spark),
-        "boosted": models.importance(models.boosted(train, FEATURES, rounds=3, depth=4), FEATURES, spark),
+        "logistic": models.importance(models.logistic(features.standardize(train, FEATURES), FEATURES), FEATURES, spark),
+        "forest": models.importance(models.forest(train, FEATURES), FEATURES, spark),
+        "boosted": models.importance(models.boosted(train, FEATURES), FEATURES, spark),
     }
     return models.combined_importance(parts)
 
@@ -828,7 +828,7 @@ def _experiment(spark, d):
     h = spool(views.hist(spark, d).select("location", "time", *FEATURES, "gappy", "fog"), "history")
     parts = variants.variants(h, ["gappy"])
     cols = {variants.WITHOUT: FEATURES, variants.WITH: [*FEATURES, "gappy"], variants.REDUCED: FEATURES}
-    fits = {"logistic": lambda train, names: models.logistic(train, names, max_iter=50)}
+    fits = {"logistic": lambda train, names: models.logistic(train, names)}
     return experiments.run(parts, cols, fits, fn.in_year(F.col("time"), TEST_YEAR))
 
 
@@ -860,16 +860,27 @@ def model_sequence_mlp(spark, d):
     train, test = _hourly(spark, d)
     cols = ["temp", "dew"]
     a, b = features.standardize(train, cols), features.standardize(test, cols, fit=train)
-    net = models.sequence_net(models.flat_sequences(a, cols), 24 * len(cols), epochs=10, hidden=(16,))
+    net = models.sequence_net(models.flat_sequences(a, cols), 24 * len(cols))
     return _evaluated(models.scored(net, models.flat_sequences(b, cols)), "sequence", ["location"])
 
 
+@query()
+def model_sequence_importance(spark, d):
+    """Mean weight of each feature in the net's first layer, over the hours of a sequence."""
+    from hazeline.operators import models
+
+    train, _ = _hourly(spark, d)
+    cols = ["temp", "dew"]
+    net = models.sequence_net(models.flat_sequences(features.standardize(train, cols), cols), 24 * len(cols))
+    return models.importance(net, cols, spark)
+
+
 @query()
 def model_stacking(spark, d):
     from hazeline.operators import models
 
     train, test = _hourly(spark, d)
-    out, _ = models.stack(train, test, ["temp", "dew"], trees=5, rounds=2, epochs=5)
+    out, _ = models.stack(train, test, ["temp", "dew"])
     return out.select("location", "time", "fog", "p_logistic", "p_forest", "p_boosted", "p_sequence", "score")
 
 

@@ -190,6 +190,17 @@ def report_lines(spark, d):
     return report.metric_lines(flat).select("location", "k", "line")
 
 
+@query(
+    """, e AS (SELECT location, count(*) AS n, count(*) FILTER (WHERE fog = 1) AS pos FROM hist GROUP BY 1)
+    SELECT location AS k, printf('  %-24s%12d%12d%9.2f%%', """
+    + _TITLE
+    + ", n, pos, pos / n * 100) AS line FROM e",
+    "hist",
+)
+def report_balance(spark, d):
+    return report.balance_lines(views.hist(spark, d))
+
+
 @query(f"SELECT event_type AS location, date_trunc('hour', ts) AS time, {q6('avg(value)')} AS temp, min(value) AS dew, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_stream(spark, d):
     """The hourly series as a stream over the events: file source, windows, and all hours written after each batch."""
@@ -704,6 +715,17 @@ def metric_difference(spark, d):
 _GAINS = "(VALUES " + ", ".join(f"('{x}', '{f}', {y})" for x, fs in GAINS.items() for f, y in fs.items()) + ") AS t(location, feature, value)"
 
 
+@query(
+    _F1
+    + """, m AS (SELECT model, variant, avg(value) AS v, count(DISTINCT location) AS n FROM flat GROUP BY 1, 2),
+    b AS (SELECT *, first(v) OVER (PARTITION BY model ORDER BY variant) AS base, model || ' over ' || n || ' locations' AS section FROM m)
+    SELECT section, 'f1 ' || variant AS k, printf('  %-12s%-24s%12.4f%+12.4f', 'f1', variant, v, v - base) AS line FROM b UNION SELECT section, '', section FROM b""",
+    "hist",
+)
+def report_summary(spark, d):
+    return report.summary_lines(_flat_f1(spark, d).withColumn("metric", F.lit("f1")))
+
+
 _SHARES = f"s AS (SELECT location, feature, CAST(value AS DOUBLE) / sum(CAST(value AS DOUBLE)) OVER (PARTITION BY location) * 100 AS p FROM {_GAINS})"
 
 

@@ -310,6 +310,11 @@ def test_reports(spark, tmp_path):
     report.write_metrics(m, str(tmp_path / "m"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert lines[0] == "Location 6 - with_aqi (forest)" and lines[1].endswith("      0.2816")
+    assert lines[2] == "forest over 1 locations" and lines[3].split() == ["f1", "with_aqi", "0.2816", "+0.0000"]
+    labelled = spark.createDataFrame([("location_6", 1), ("location_6", 0)], "location string, fog int")
+    report.write_metrics(m, str(tmp_path / "all"), labelled, spark.createDataFrame([("location_6", 0.35, 0.5)], "location string, threshold double, f1 double"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "all")).collect()]
+    assert [x.split() for x in lines[:4]] == [["Class", "balance"], ["Location", "6", "2", "1", "50.00%"], ["Thresholds"], ["Location", "6", "0.35", "0.5000"]]
     i = spark.createDataFrame([("location_6", "with_aqi", "forest", "x", 1.0, 25.0), ("location_6", "with_aqi", "forest", "y", 3.0, 75.0)], schema.IMPORTANCE)
     report.write_importance(i, str(tmp_path / "i"))
     assert [r[0].split()[0] for r in spark.read.text(str(tmp_path / "i")).collect()][1:] == ["y", "x"]

@@ -3,8 +3,9 @@
 Each shard keeps its vectors in a ball tree. Queries go down the tree in
 blocks: each takes the child of higher bound (its product with the center plus
 its length times the radius) first, and leaves a node whose bound is under its
-current k-th score. The k-th scores that the first shard gives are shared with
-all others, which start from them.
+current k-th score. A query first searches the shard of highest bound; the k-th
+score found there goes with it to all other shards whose bound reaches it, and
+no others.
 """
 
 from __future__ import annotations
@@ -14,9 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.ann import usable
-from hazeline.llm.runtime import spool
-from hazeline.llm.vectors import SHARD_ROWS, best, crossed, matrix
+from hazeline.llm.vectors import in_two_rounds, matrix, places, usable
 
 LEAF = 256
 #: Largest component for which products of up to 2**11 components are exact as doubles.
@@ -92,48 +91,43 @@ class Search:
         self.floor[who] = np.maximum(self.floor[who], self.score[who, self.k - 1])
 
 
+def ball(points: np.ndarray) -> np.ndarray:
+    """Center and radius of a shard's rows, end to end."""
+    center = points.mean(axis=0)
+    return np.append(center, np.linalg.norm(points - center, axis=1).max() * (1 + 1e-9) + 1e-6)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score (long): the ``k`` largest inner products, ties to smaller ids; both: id, v (integers), n."""
-    total, asked = vectors.count(), queries.count()
+    """query_id, rank, vec_id, score (long): the ``k`` largest inner products, ties to smaller ids; both: ``vectors.usable`` of whole numbers."""
+
+    def under(asked: np.ndarray, told: pd.DataFrame) -> np.ndarray:
+        """The negative of the most that a product with a row of each shard can be."""
+        balls = matrix(told["told"])
+        most = asked @ balls[:, :-1].T + np.linalg.norm(asked, axis=1)[:, None] * balls[None, :, -1]
+        return -(most + np.abs(most) * 1e-9 + 1e-6)
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": np.zeros(0, np.int64), "query_row": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)}
-        if len(rows) and len(asked):
-            points, q = matrix(rows["v"]), matrix(asked["v"])
-            if max(np.abs(points).max(), np.abs(q).max()) > EXACT or points.shape[1] > 1 << 11:
-                points, q = (np.stack(x["v"].to_numpy()).astype(np.float64).astype(np.int64) for x in (rows, asked))
-            ids, names, own = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(), asked["n"].to_numpy()
-            place = np.empty(len(ids), np.int64)
-            place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            name_place = dict(zip(names.tolist(), place.tolist(), strict=True))
-            me = np.array([name_place.get(n, -1) for n in own.tolist()])
-            floor = asked["floor"].fillna(-np.inf).to_numpy(float) if "floor" in asked else np.full(len(q), -np.inf)
-            found = Search(BallTree(points), points, place, q, me, k, floor)
-            who, nth = np.nonzero(found.score > found.none)
-            row = found.row[who, nth]
-            out = {"query_id": asked["id"].to_numpy(np.int64)[who], "query_row": own[who], "vec_id": ids[row], "score": found.score[who, nth]}
-        return pd.DataFrame(out)
-
-    schema = "query_id long, query_row long, vec_id long, score long"
-    shards = max(1, -(-total // SHARD_ROWS))
-    if shards > 1:
-        # the k-th scores of one shard's rows bound all other shards' searches
-        one = vectors.where(F.pmod(F.xxhash64("id", "n"), F.lit(shards)) == 0)
-        first = best(crossed(one, queries, 1, asked, run, schema), k, nearest=False)
-        floors = first.where(F.col("rank") == k).select(F.col("query_row").alias("n"), F.col("score").cast("double").alias("floor"))
-        queries = queries.join(spool(floors, "floors"), "n", "left").select("id", "n", "v", "floor")
-    found = best(crossed(vectors, queries, total, asked, run, schema), k, nearest=False)
-    return found.select("query_id", "rank", "vec_id", "score")
+        points, q = matrix(rows["v"]), matrix(asked["v"])
+        if max(np.abs(points).max(), np.abs(q).max()) > EXACT or points.shape[1] > 1 << 11:
+            points, q = points.astype(np.int64), q.astype(np.int64)
+        ids, own = rows["id"].to_numpy(np.int64), asked["n"].to_numpy()
+        place, me = places(ids, rows["n"].to_numpy(), own)
+        found = Search(BallTree(points), points, place, q, me, k, -asked["limit"].to_numpy(float))
+        who, nth = np.nonzero(found.score > found.none)
+        return pd.DataFrame({"query_id": asked["id"].to_numpy(np.int64)[who], "query_row": own[who], "vec_id": ids[found.row[who, nth]], "score": -found.score[who, nth]})
+
+    # scores are negated between the rounds, so that smaller is better for both operators
+    found = in_two_rounds(vectors, queries, k, ball, under, run, "long")
+    return found.select("query_id", "rank", "vec_id", (-F.col("score")).alias("score"))
 
 
 def top_products(table: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` largest integer products of each row whose id is divisible by ``every``, components as floor(scale * x).
 
-    Rows that ``ann.usable`` leaves out take no part, but all-zero vectors do.
-    Fewer than ``k`` other rows give fewer results; repeated rows are rows of
+    Rows that ``vectors.usable`` leaves out take no part, but all-zero vectors
+    do. Fewer than ``k`` other rows give fewer results; repeated rows are rows of
     their own; an empty table gives an empty one. Components must stay within
     2**53 and scores within 64 bits.
     """
-    rows = usable(table, id_col, vector_col, zero=True)
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double")))
+    rows = usable(table, id_col, vector_col, zero=True, scale=scale)
     return search(rows, rows.where(F.pmod("id", F.lit(every)) == 0), k)

@@ -1,9 +1,10 @@
 """Exact quantiles with linear interpolation, for groups of any size, all groups and columns in one plan.
 
-Values are first counted (partly before the shuffle). The ranks wanted are then
-narrowed down by two histograms of bounded size for each group, and only the
-values of the bins that hold a rank are put in order. So no task holds a group,
-and nothing comes to the driver.
+A sketch of bounded size brackets each quantile's rank. In a second pass, values
+inside a bracket (a thousandth of a large group) are counted one by one, all
+others only by the gap between brackets that they lie in. A window over these
+few counts finds the ranks. So no task holds a group, and nothing comes to the
+driver. Should a sketch ever miss, the query fails; it never answers wrong.
 """
 
 from __future__ import annotations
@@ -14,74 +15,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 1024
+#: Of the sketch: its rank error is at most one in so many; brackets are a few times as wide.
+ACCURACY = 10_000
+MARGIN = 5 / ACCURACY
+#: Values up to which a group's bracket is all of it.
+WHOLE = 20_000
 
 
-def counted(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """_k (struct of the keys, so that null keys are groups, too), _v (double, null for NaN) and _n: how often each value occurs."""
+def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], value: str = "value", others: dict[str, Column] | None = None) -> DataFrame:
+    """The keys, ``others`` (aggregates by name) and _q, the quantiles ``ps`` (ascending) of each group; nulls and NaN are skipped.
+
+    In ``others``, _v is the value. Null keys are groups, too; a group without
+    values has null quantiles.
+    """
+    others = others or {}
     v = F.col(value).cast("double")
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
-    return values.select(key.alias("_k"), F.when(~F.isnan(v), v).alias("_v")).groupBy("_k", "_v").agg(F.count("*").alias("_n"))
-
-
-def _bin(low: Column, high: Column) -> Column:
-    """The bin of _v among BINS of equal width between ``low`` and ``high``; infinite values lie outside."""
-    place = F.try_divide(F.col("_v") / 2 - low / 2, high / 2 - low / 2) * BINS  # halves don't overflow
-    inside = F.coalesce(F.greatest(F.lit(0), F.least(F.floor(place), F.lit(BINS - 1))), F.lit(0))  # null without width
-    return F.when(F.col("_v") == float("inf"), F.lit(BINS)).when(F.col("_v") == float("-inf"), F.lit(-1)).otherwise(inside).cast("int")
-
-
-def _bounds() -> list[Column]:
-    finite = F.when(F.abs("_v") != float("inf"), F.col("_v"))
-    return [F.min(finite).alias("_low"), F.max(finite).alias("_high")]
-
-
-def of_counts(counts: DataFrame, ps: Sequence[float]) -> DataFrame:
-    """_k and _q (array: the quantile for each of ``ps``, null without values) of every group of ``counted``."""
-    total = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
-    groups = counts.groupBy("_k").agg(F.coalesce(total, F.lit(0)).alias("_total"), *_bounds())
-    seen = counts.where(F.col("_v").isNotNull())
+    rows = values.select(key.alias("_k"), F.when(~F.isnan(v), v).alias("_v"))
 
-    one = seen.join(groups, "_k").select("_k", "_v", "_n", _bin(F.col("_low"), F.col("_high")).alias("_a"))
-    first = one.groupBy("_k", "_a").agg(F.sum("_n").alias("_m"), *_bounds())
-    over = W.partitionBy("_k").orderBy("_a").rowsBetween(W.unboundedPreceding, -1)  # at most BINS + 2 rows
-    first = first.withColumn("_before", F.coalesce(F.sum("_m").over(over), F.lit(0)))
+    ends = [x for p in ps for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sketch = F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(ACCURACY))
+    groups = rows.groupBy("_k").agg(F.count("_v").alias("_total"), sketch.alias("_ends"), *(a.alias(n) for n, a in others.items()))
 
-    # ranks of both neighbours of each quantile
-    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in at))))
-    wanted = groups.where("_total > 0").select("_k", F.explode(ranks).alias("_rank"))
-    holds = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_m"))
-    near = first.join(wanted, "_k").where(holds).select("_k", "_a", "_low", "_high", "_before", "_rank")
+    def end(i: int) -> Column:
+        """The i-th end of the brackets: infinite at the ends of the range, and for small groups."""
+        open_ = float("inf") if i % 2 else float("-inf")
+        if ends[i] in (0.0, 1.0):
+            return F.lit(open_)
+        return F.when(F.col("_total") > WHOLE, F.col("_ends")[i]).otherwise(F.lit(open_))
 
-    bins = near.select("_k", "_a", "_low", "_high", F.col("_before").alias("_start")).distinct()
-    two = one.join(bins, ["_k", "_a"]).select("_k", "_a", "_v", "_n", "_start", _bin(F.col("_low"), F.col("_high")).alias("_b"))
-    second = two.groupBy("_k", "_a", "_b", "_start").agg(F.sum("_n").alias("_m"))
-    over = W.partitionBy("_k", "_a").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    second = second.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_m").over(over), F.lit(0)))
-    last = second.join(near.select("_k", "_a", "_rank"), ["_k", "_a"]).where(holds).select("_k", "_a", "_b", "_before", "_rank")
+    brackets = groups.select("_k", "_total", *(end(i).alias(f"_end{i}") for i in range(len(ends))), *others)
+    both = rows.join(brackets, "_k")
+    x = F.col("_v")
+    inside = [x.between(F.col(f"_end{2 * j}"), F.col(f"_end{2 * j + 1}")) for j in range(len(ps))]
+    held = F.when(sum((i.cast("int") for i in inside), F.lit(0)) > 0, x)
+    passed = sum((F.coalesce((F.col(f"_end{2 * j + 1}") < x).cast("int"), F.lit(0)) for j in range(len(ps))), F.lit(0))
+    carried = ["_total", *others]
+    counts = both.groupBy("_k", passed.alias("_gap"), held.alias("_w")).agg(F.count("_v").alias("_n"), *(F.first(c).alias(c) for c in carried))
 
-    # only values of bins that hold a rank are ordered
-    kept = two.join(last.select("_k", "_a", "_b", "_before").distinct(), ["_k", "_a", "_b"])
-    over = W.partitionBy("_k", "_a", "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    kept = kept.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(over), F.lit(0))).withColumnRenamed("_n", "_m")
-    found = kept.join(last.select("_k", "_a", "_b", "_rank"), ["_k", "_a", "_b"]).where(holds)
-    found = found.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    # what passed as many brackets and lies in none comes before what lies in the next one
+    order = W.partitionBy("_k").orderBy("_gap", F.col("_w").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    ranked = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
 
-    def quantile(x: Column) -> Column:
-        low, high = F.col("_at")[F.floor(x)], F.col("_at")[F.ceil(x)]
-        return F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x)))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_w")))
 
-    return groups.join(found, "_k", "left").select("_k", F.array(*map(quantile, at)).alias("_q"))
+    ranks = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
+    picked = [at(f(r)).alias(f"_{name}{j}") for j, r in enumerate(ranks) for name, f in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy("_k").agg(*picked, *(F.first(c).alias(c) for c in carried))
 
+    def quantile(j: int) -> Column:
+        low, high = F.col(f"_low{j}"), F.col(f"_high{j}")
+        between = F.when(low == high, low).otherwise(low + (high - low) * (ranks[j] - F.floor(ranks[j])))
+        missed = F.raise_error(F.lit("a sketch missed the rank of a quantile")).cast("double")
+        return F.when(F.col("_total") == 0, F.lit(None)).when(low.isNotNull() & high.isNotNull(), between).otherwise(missed)
 
-def quantiles(values: DataFrame, keys: Sequence[str], ps: Sequence[float], value: str = "value") -> DataFrame:
-    """The keys and _q: the quantiles ``ps`` of each group; nulls and NaN are skipped."""
-    return of_counts(counted(values, keys, value), ps).select(*(F.col(f"_k.{c}").alias(c) for c in keys), "_q")
+    return found.select(*(F.col(f"_k.{c}").alias(c) for c in keys), *others, F.array(*map(quantile, range(len(ps)))).alias("_q"))
 
 
 def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row (for each group) with the median of each column; nulls are skipped."""
     long = df.select(*by, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(list(by), list(cols), "_feature", "_value")
-    found = quantiles(long, [*by, "_feature"], [0.5], "_value").select(*by, "_feature", F.col("_q")[0].alias("_value"))
+    found = summarised(long, [*by, "_feature"], [0.5], "_value").select(*by, "_feature", F.col("_q")[0].alias("_value"))
     return found.groupBy(*by).pivot("_feature", list(cols)).agg(F.first("_value"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hazeline.functions.scalar import trunc_ntz
-from hazeline.operators.quantiles import counted, of_counts, quantiles
+from hazeline.operators.quantiles import summarised
 
 
 def long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -33,18 +33,11 @@ def describe_rollup(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> Da
 
 
 def _described(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All figures come from counts of distinct values: one scan, and no task that holds a group."""
-    counts = counted(values, keys)
-    n = F.when(F.col("_v").isNotNull(), F.col("_n"))
-    sums = counts.groupBy("_k").agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_n")) / F.sum(n)).alias("mean")
-    )
-    away = counts.join(sums.select("_k", "mean"), "_k").groupBy("_k").agg(F.sum((F.col("_v") - F.col("mean")) ** 2 * F.col("_n")).alias("_squares"))
-    out = sums.join(away, "_k").join(of_counts(counts, [0.5]), "_k")
-    return out.select(
-        *(F.col(f"_k.{c}").alias(c) for c in keys), "n", "min", "max", F.col("_q")[0].alias("median"), (F.col("max") - F.col("min")).alias("range"), "mean",
-        F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("std"), (F.col("n") == 0).alias("no_data"),
-    )
+    v = F.col("_v")
+    found = {
+        "n": F.count(v), "min": F.min(v), "max": F.max(v), "range": F.max(v) - F.min(v), "mean": F.avg(v), "std": F.stddev_samp(v), "no_data": F.count(v) == 0,
+    }
+    return summarised(values, keys, [0.5], others=found).select(*keys, "n", "min", "max", F.col("_q")[0].alias("median"), "range", "mean", "std", "no_data")
 
 
 def histogram(df: DataFrame, col: str, name: str = "code") -> DataFrame:
@@ -104,7 +97,7 @@ def boxplot(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (the last values within 1.5 interquartile ranges) of each column and group."""
     values = long(df, by, cols).where(F.col("value").isNotNull())
     keys = [*by, "feature"]
-    q = quantiles(values, keys, [0.25, 0.5, 0.75])
+    q = summarised(values, keys, [0.25, 0.5, 0.75])
     q = q.select(*keys, *(F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = values.join(q, keys).where((F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach))

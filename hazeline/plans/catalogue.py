@@ -63,6 +63,11 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in cols})
 
 
+def _kept(spark: SparkSession, d: str, *cols) -> DataFrame:
+    """Columns of ``hist``, written once for queries that read them several times: its joins run once."""
+    return spool(views.hist(spark, d).select(*cols), "history")
+
+
 # --- scans, projections, filters
 
 
@@ -268,7 +273,7 @@ def sentinel_to_null(spark, d):
 
 @query("SELECT h.k, h.code, coalesce(h.gappy, m.m) AS gappy FROM hist h JOIN (SELECT location, median(gappy) AS m FROM hist GROUP BY 1) m USING (location)", "hist")
 def impute_median_all(spark, d):
-    return clean.impute_median(views.hist(spark, d).select("location", "k", "code", "gappy"), ["gappy"], ["location"]).drop("location")
+    return clean.impute_median(_kept(spark, d, "location", "k", "code", "gappy"), ["gappy"], ["location"]).drop("location")
 
 
 # --- features
@@ -480,7 +485,7 @@ _TWO = "(SELECT {c}, 'gappy' AS feature, gappy AS v FROM hist UNION ALL SELECT {
 
 @query(f"SELECT feature, {_DESCRIBED} FROM {_TWO.format(c='location')} GROUP BY 1", "hist")
 def describe_overall(spark, d):
-    return rounded(stats.describe(views.hist(spark, d), ["gappy", "price"]), "range", "mean", "std")
+    return rounded(stats.describe(_kept(spark, d, "gappy", "price"), ["gappy", "price"]), "range", "mean", "std")
 
 
 @query(
@@ -489,7 +494,7 @@ def describe_overall(spark, d):
     "hist",
 )
 def describe_by_year_rollup(spark, d):
-    h = views.hist(spark, d).select("location", F.year("time").alias("year"), "gappy", "price")
+    h = _kept(spark, d, "location", F.year("time").alias("year"), "gappy", "price")
     return rounded(stats.describe_rollup(h, ["gappy", "price"], ["location", "year"]), "range", "mean", "std")
 
 
@@ -586,7 +591,7 @@ def corr_pivot(spark, d):
     "hist",
 )
 def boxplot_stats(spark, d):
-    return rounded(stats.boxplot(views.hist(spark, d), ["price"], ["location", "fog"]), "q1", "median", "q3")
+    return rounded(stats.boxplot(_kept(spark, d, "location", "fog", "price"), ["price"], ["location", "fog"]), "q1", "median", "q3")
 
 
 @query("SELECT 'supplier' AS kind, s_suppkey AS key, s_acctbal AS balance FROM supplier UNION ALL SELECT 'customer', c_custkey, c_acctbal FROM customer")
@@ -797,7 +802,7 @@ def elbow_second_difference(spark, d):
 
 def _split(spark, d):
     # written once: scaling, weights and the fit all read it
-    h = spool(views.hist(spark, d).select("location", "time", "k", "code", *FEATURES, "fog"), "history")
+    h = _kept(spark, d, "location", "time", "k", "code", *FEATURES, "fog")
     return variants.temporal_split(h, TEST_YEAR)
 
 
@@ -847,7 +852,7 @@ def model_importance(spark, d):
 def _experiment(spark, d):
     from hazeline.operators import experiments, models
 
-    h = spool(views.hist(spark, d).select("location", "time", *FEATURES, "gappy", "fog"), "history")
+    h = _kept(spark, d, "location", "time", *FEATURES, "gappy", "fog")
     parts = variants.variants(h, ["gappy"])
     cols = {variants.WITHOUT: FEATURES, variants.WITH: [*FEATURES, "gappy"], variants.REDUCED: FEATURES}
     fits = {"logistic": lambda train, names: models.logistic(train, names)}

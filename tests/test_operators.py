@@ -55,17 +55,19 @@ def test_medians_and_imputation(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(100.0, 1.0), (200.0, 2.5), (200.0, 2.5), (400.0, 4.0)]
 
 
-@pytest.mark.parametrize("bins", [1024, 2])
-def test_quantiles_agree_with_numpy(spark, monkeypatch, bins):
-    monkeypatch.setattr(quantiles, "BINS", bins)
-    rng = np.random.default_rng(bins)
+@pytest.mark.parametrize("whole", [20_000, 0])
+def test_quantiles_agree_with_numpy(spark, monkeypatch, whole):
+    """Large groups are bracketed by a sketch: here those of 30,000, and then all of over 2 values."""
+    monkeypatch.setattr(quantiles, "WHOLE", whole)
+    monkeypatch.setattr(quantiles, "MARGIN", 5 / quantiles.ACCURACY if whole else 0.3)
+    rng = np.random.default_rng(whole)
     inf, nan = float("inf"), float("nan")
     groups = {
-        "spread": rng.standard_normal(501).tolist(), "ties": [1.0] * 50 + [2.0] * 51 + [7.5] * 3, "one": [4.25], "same": [3.0] * 9, "wide": [-1e308, 1e308, 0.0, 5e-324],
+        "spread": rng.standard_normal(501).tolist(), "large": (rng.integers(0, 10**6, 30_000) / 7).tolist(), "few": rng.integers(0, 9, 30_000).astype(float).tolist(), "ties": [1.0] * 50 + [2.0] * 51 + [7.5] * 3, "one": [4.25], "same": [3.0] * 9, "wide": [-1e308, 1e308, 0.0, 5e-324],
         "far": [999999.0, *rng.random(40).tolist()], "ends": [inf, -inf, 1.0, 2.0, 3.0], None: [1.0, None, 2.0, nan], "none": [None, None],
     }
     df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, value double")
-    got = {r["g"]: r["_q"] for r in quantiles.quantiles(df, ["g"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    got = {r["g"]: r["_q"] for r in quantiles.summarised(df, ["g"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
     assert got.keys() == groups.keys() and got["none"] == [None] * 5
     for g, xs in groups.items():
         xs = sorted(x for x in xs if x is not None and x == x)
@@ -75,7 +77,7 @@ def test_quantiles_agree_with_numpy(spark, monkeypatch, bins):
                 low, high = xs[int(np.floor(at))], xs[int(np.ceil(at))]
                 want = low if low == high else low + (high - low) * (at - float(np.floor(at)))
                 assert q == want or abs(q - want) <= 1e-12 * max(1, abs(q)), (g, p)
-    assert quantiles.quantiles(df.limit(0), ["g"], [0.5]).count() == 0
+    assert quantiles.summarised(df.limit(0), ["g"], [0.5]).count() == 0
     assert {r["g"]: r["value"] for r in quantiles.medians(df, ["value"], ["g"]).collect()}["ties"] == 2.0
 
 

@@ -5,7 +5,8 @@ projected distance of a pair is its squared distance times a chi-square
 variable). Each shard indexes its projections in a kd-tree. A query takes the
 tree's leaves by growing projected distance and verifies their rows on the
 original vectors, until the chi-square test says that a row nearer than the
-current k-th can hardly lie beyond the projected distance reached.
+current k-th can hardly lie beyond the projected distance reached. The same
+test on the box of a whole shard keeps queries from shards that offer nothing.
 """
 
 from __future__ import annotations
@@ -18,14 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.runtime import spool
-from hazeline.llm.vectors import best, crossed, finite, matrix
+from hazeline.llm.vectors import AXES, directions, in_two_rounds, matrix, places, usable
 
-DIRECTIONS = 10
-LEAF = 256
+LEAF = 128
 #: Chance with which a nearer row would have been met before a query stops.
-SURE = 0.97
-SEED = 20240229
+SURE = 0.93
 
 
 def chi_square_below(x: float, m: int) -> float:
@@ -85,85 +83,76 @@ class KdTree:
                     heapq.heappush(heap, (away[c], c))
 
 
-def nearest(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, tree: KdTree, shadow: np.ndarray, project: np.ndarray, bound: float):
-    """For each query the (row, distance) of its ``k`` nearest found; ``own``: the query's row name, never a candidate; ``shadow``: projections."""
-    asked = queries @ project
-    for q, p, me in zip(queries, asked, own, strict=True):
+def nearest(index: np.ndarray, place: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, tree: KdTree, shadow: np.ndarray, bound: float, limit: np.ndarray, tally: list[int] | None = None):
+    """For each query the rows and distances of its ``k`` nearest found within ``limit``.
+
+    ``place``: each row's place by id; ``own``: that of the query's own row,
+    never a candidate; ``shadow``: projections; ``tally`` gathers how many leaves
+    are visited and rows verified.
+    """
+    asked = queries @ directions(index.shape[1])
+    for q, p, me, kth in zip(queries, asked, own, limit.tolist(), strict=True):
         rows, dist = np.zeros(0, np.int64), np.zeros(0)
-        kth = math.inf
         for away, leaf in tree.leaves(p):
             # beyond ``away`` a row at the k-th distance or less would be a chance of less than 1 - SURE
-            if len(rows) >= k and (away > bound * kth * kth if kth > 0 else away > 0):
+            if away > bound * kth * kth:
                 break
             if kth < math.inf:  # the same test for each row of the leaf
                 near = shadow[leaf] - p
                 leaf = leaf[np.einsum("ij,ij->i", near, near) <= bound * kth * kth]
+            if tally is not None:
+                tally[0] += 1
+                tally[1] += len(leaf)
             d = index[leaf] - q
             d = np.sqrt(np.einsum("ij,ij->i", d, d))
-            fit = (d <= kth) & (ids[leaf] != me)
+            fit = (d <= kth) & (place[leaf] != me)
             if fit.any():
                 rows, dist = np.append(rows, leaf[fit]), np.append(dist, d[fit])
                 if len(rows) > k:
-                    keep = np.lexsort((ids[rows], dist))[:k]
+                    keep = np.lexsort((place[rows], dist))[:k]
                     rows, dist = rows[keep], dist[keep]
                 if len(rows) >= k:
-                    kth = dist.max()
+                    kth = min(kth, dist.max())
         yield rows, dist
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, directions: int = DIRECTIONS, sure: float = SURE) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest ``k`` rows of ``vectors`` found for each row of ``queries`` (both: id, v, n).
+def box(points: np.ndarray) -> np.ndarray:
+    """Least and largest projections of a shard's rows, end to end."""
+    shadow = points @ directions(points.shape[1])
+    return np.concatenate([shadow.min(axis=0), shadow.max(axis=0)])
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sure: float = SURE) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest ``k`` rows of ``vectors`` found for each row of ``queries`` (both as ``usable`` gives them).
 
-    ``n`` tells equal ids apart; a query's own row is never its neighbour. Rows
-    of another dimension than the most frequent one take no part.
+    A query's own row is never its neighbour, rows of equal ids are told apart
+    by ``n``, ties go to smaller ids, and empty tables give an empty one.
     """
-    total, asked = vectors.count(), queries.count()
-    m = directions + directions % 2
-    bound = chi_square_quantile(sure, m)
+    bound = chi_square_quantile(sure, AXES)
+
+    def away(asked: np.ndarray, told: pd.DataFrame) -> np.ndarray:
+        """How near a row of each shard can be, as far as the test can tell."""
+        boxes, p = matrix(told["told"]), asked @ directions(asked.shape[1])
+        low, high = boxes[:, :AXES], boxes[:, AXES:]
+        return np.sqrt(np.stack([(np.maximum(np.maximum(low - x, x - high), 0) ** 2).sum(axis=1) for x in p]) / bound)
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "query_row": [], "vec_id": [], "score": []}
-        if len(rows) and len(asked):
-            index, q = matrix(rows["v"]), matrix(asked["v"])
-            project = np.random.default_rng(SEED).standard_normal((index.shape[1], m))
-            ids, names = rows["id"].to_numpy(), rows["n"].to_numpy()
-            shadow = index @ project
-            tree = KdTree(shadow)
-            own = asked["n"].to_numpy()
-            order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-            place = np.empty(len(ids), np.int64)
-            place[order] = np.arange(len(ids))
-            name_place = dict(zip(names.tolist(), place.tolist(), strict=True))
-            me = np.array([name_place.get(n, -1) for n in own.tolist()])
-            for i, (found, dist) in enumerate(nearest(index, place, q, me, k, tree, shadow, project, bound)):
-                out["query_id"] += [asked["id"].iloc[i]] * len(found)
-                out["query_row"] += [own[i]] * len(found)
-                out["vec_id"] += ids[found].tolist()
-                out["score"] += dist.tolist()
-        return pd.DataFrame(out)
-
-    found = crossed(vectors, queries, total, asked, run, "query_id long, query_row long, vec_id long, score double")
-    return best(found, k, nearest=True).select("query_id", "rank", "vec_id", "score")
-
-
-def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = False) -> DataFrame:
-    """id, v (array<double>), n (a number of its own) of the rows that take part, written to shared storage.
-
-    Null ids, null or empty vectors and ones with null, NaN or infinite
-    components take no part, nor all-zero ones unless ``zero``, nor ones whose
-    dimension isn't the most frequent one.
-    """
-    v = table[vector_col].cast("array<double>")
-    rows = table.select(table[id_col].cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & finite(F.col("v")))
-    if not zero:
-        rows = rows.where(F.exists("v", lambda x: x != 0))
-    rows = spool(rows.withColumn("n", F.monotonically_increasing_id()), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == sizes["d"]) if sizes else rows
+        index, q = matrix(rows["v"]), matrix(asked["v"])
+        shadow = index @ directions(index.shape[1])
+        ids, own = rows["id"].to_numpy(), asked["n"].to_numpy()
+        place, me = places(ids, rows["n"].to_numpy(), own)
+        found = [*nearest(index, place, q, me, k, KdTree(shadow), shadow, bound, asked["limit"].to_numpy(float))]
+        sizes = [len(r) for r, _ in found]
+        return pd.DataFrame({
+            "query_id": np.repeat(asked["id"].to_numpy(), sizes), "query_row": np.repeat(own, sizes),
+            "vec_id": ids[np.concatenate([r for r, _ in found])], "score": np.concatenate([d for _, d in found]),
+        })
+
+    return in_two_rounds(vectors, queries, k, box, away, run).select("query_id", "rank", "vec_id", "score")
 
 
 def knn(table: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` nearest of each row whose id is divisible by ``every``, by Euclidean distance; see ``usable`` for what takes part.
+    """The ``k`` nearest of each row whose id is divisible by ``every``, by Euclidean distance; see ``vectors.usable`` for what takes part.
 
     Fewer than ``k`` other rows give fewer results; repeated rows are rows of
     their own; an empty table gives an empty one.

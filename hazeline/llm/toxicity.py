@@ -1,12 +1,14 @@
 """Operator 9: toxicity by a weighted finite-state pattern grammar.
 
-Words become signs: insult, threat, target, negation, report, other. Small
-transducers read the signs of a clause: one keeps the scope of a negation, one
-whether speech is reported, one whether a person is addressed, and one emits
-the weight of an insult or threat. Their composition scores whole clauses, so
-the same word counts differently alone, addressed, negated or reported. Insult
-words and stems, their weights and the weights of the clause kinds are learned
-from a bounded sample of labelled rows.
+Words and marks become signs: insult, threat, target, negation, report, quote,
+clause end, other. Small transducers are composed, each reading what the one
+before it writes: one marks what is negated, one what is reported or quoted,
+one what is aimed at a person, one threats that a target follows, and one says
+at a clause's end whether it held a match. The weights lie on the transitions of
+the composed machine, so whole clauses are scored, and the same word counts
+differently alone, addressed, negated or reported. Insult words and stems, their
+weights and the weights of the clause kinds are learned from a bounded sample of
+labelled rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import product
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,41 +42,83 @@ THREATS = "kill hurt destroy beat attack burn murder punish töten schlagen tuer
 SEEDS = "idiot moron stupid scum trash loser pathetic disgusting worthless clown".split()
 SEED_WEIGHT = 4.0
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SIGNS = range(6)
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
-_QUOTES = '"“”«»'
+SIGNS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
+#: What the transducers write besides signs: insults by kind, threats that are aimed, and clauses that held a match.
+NEGATED, REPORTED, TARGETED, AIMED, CLAUSE = range(8, 13)
+SYMBOLS = range(13)
+_QUOTES, _ENDS = '"“”«»', ".!?;:\n"
+_TOKEN = re.compile(r"[^\W\d_]+|[" + _ENDS + _QUOTES + "]")
 
 
 class Transducer:
-    """Deterministic: ``step`` maps (state, sign) to (state, output); outputs of a composition are tuples."""
+    """Deterministic: ``step`` maps (state, symbol) to (state, symbol written); ``start`` is 0, and a clause's end leads back to it."""
 
-    def __init__(self, start: int, step: dict[tuple[int, int], tuple[int, tuple]]):
-        self.start, self.step = start, step
+    def __init__(self, states: int, step: dict[tuple[int, int], tuple[int, int]]):
+        self.states, self.step = states, step
 
-    @staticmethod
-    def compose(*parts: Transducer) -> Transducer:
-        """The product machine: all parts read the same sign, their outputs are joined."""
-        ids = {s: i for i, s in enumerate(product(*(sorted({q for q, _ in p.step}) for p in parts)))}
+    @classmethod
+    def of(cls, states: int, move) -> Transducer:
+        """From a rule ``move(state, symbol)``."""
+        return cls(states, {(q, s): move(q, s) for q in range(states) for s in SYMBOLS})
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes."""
         step = {}
-        for states, i in ids.items():
-            for sign in SIGNS:
-                moves = [p.step[q, sign] for p, q in zip(parts, states, strict=True)]
-                step[i, sign] = ids[tuple(m[0] for m in moves)], tuple(x for m in moves for x in m[1])
-        return Transducer(ids[tuple(p.start for p in parts)], step)
+        for (q, s), (q2, written) in self.step.items():
+            for r in range(other.states):
+                r2, out = other.step[r, written]
+                step[q * other.states + r, s] = q2 * other.states + r2, out
+        return Transducer(self.states * other.states, step)
 
 
-def _machine() -> Transducer:
-    # negation reaches three words; state: words left
-    negation = {(q, s): ((3 if s == NEGATION else max(0, q - 1)), (q > 0,)) for q in range(4) for s in SIGNS}
-    report = {(q, s): ((1 if s == REPORT else q), (q > 0,)) for q in range(2) for s in SIGNS}
-    target = {(q, s): ((1 if s == TARGET else q), (q > 0,)) for q in range(2) for s in SIGNS}
-    emit = {(0, s): (0, (s if s in (INSULT, THREAT) else OTHER,)) for s in SIGNS}
-    return Transducer.compose(Transducer(0, negation), Transducer(0, report), Transducer(0, target), Transducer(0, emit))
+def _negation(left: int, s: int) -> tuple[int, int]:
+    """A negation reaches over three signs; a negated threat is none."""
+    after = 0 if s == END else 3 if s == NEGATION else max(0, left - 1)
+    return after, {INSULT: NEGATED, THREAT: OTHER}.get(s, s) if left else s
+
+
+def _reported(state: int, s: int) -> tuple[int, int]:
+    """Speech is reported from a verb of saying on, and between quotes; state: 1 reported, 2 quoted."""
+    after = 0 if s == END else state | 1 if s == REPORT else state ^ 2 if s == QUOTE else state
+    return after, REPORTED if state and s == INSULT else s
+
+
+def _targeted(state: int, s: int) -> tuple[int, int]:
+    """What follows a person in the clause is aimed at them."""
+    after = 0 if s == END else 1 if s == TARGET else state
+    return after, {INSULT: TARGETED, THREAT: AIMED}.get(s, s) if state else s
+
+
+def _aimed(state: int, s: int) -> tuple[int, int]:
+    """A threat right before a person is aimed at them, too."""
+    return int(s == THREAT), AIMED if state and s == TARGET else s
+
+
+def _matched(state: int, s: int) -> tuple[int, int]:
+    """At its end, a clause that held an insult or an aimed threat is told."""
+    if s == END:
+        return 0, CLAUSE if state else OTHER
+    return int(state or s in (INSULT, NEGATED, REPORTED, TARGETED, AIMED)), s
 
 
-MACHINE = _machine()
 FEATURES = ("plain", "targeted", "negated", "reported", "threats", "strongest", "clauses", "density")
+#: The feature that a written symbol adds to, and whether by the weight of the term read or by one.
+_ADDS = {INSULT: ("plain", True), TARGETED: ("targeted", True), NEGATED: ("negated", True), REPORTED: ("reported", True), AIMED: ("threats", False), CLAUSE: ("clauses", False)}
+
+
+def _machine() -> dict[tuple[int, int], tuple[int, str | None, float, float]]:
+    """The composed grammar as (state, sign) to (state, feature, weight a unit of the term's weight, weight besides)."""
+    parts = [Transducer.of(n, f) for n, f in ((4, _negation), (4, _reported), (2, _targeted), (2, _aimed), (2, _matched))]
+    whole = reduce(Transducer.then, parts)
+    out = {}
+    for (q, s), (after, written) in whole.step.items():
+        if s in SIGNS:
+            feature, by_term = _ADDS.get(written, (None, False))
+            out[q, s] = after, feature, float(by_term), float(feature is not None and not by_term)
+    return out
+
+
+MACHINE = _machine()
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -86,7 +130,7 @@ class Grammar:
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
-        closed = ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT))
+        closed = ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (_QUOTES, QUOTE), (_ENDS, END))
         self.closed = {w: (sign, 0.0) for ws, sign in closed for w in ws}
         self.seen: dict[str, tuple[int, float]] = {}
 
@@ -103,37 +147,32 @@ class Grammar:
 
     def features(self, text: str) -> list[float]:
         """Sums of matched clauses' weights by kind; see FEATURES."""
-        tokens = _TOKEN.findall(text.lower())
-        sign, step, start = self.sign, MACHINE.step, MACHINE.start
-        signs = [sign(t) for t in tokens]
+        signs = [self.sign(t) for t in _TOKEN.findall(text.lower())]
+        return self.of_signs(signs)
+
+    @staticmethod
+    def of_signs(signs: list[tuple[int, float]]) -> list[float]:
+        """Runs the machine over the clauses that hold an insult or a threat; all others add nothing and lead back to its start."""
         out = dict.fromkeys(FEATURES, 0.0)
-        hits = [i for i, (s, _) in enumerate(signs) if s in (INSULT, THREAT)]
-        done = -1
-        for h in hits:
+        n, done = len(signs), -1
+        for h in [i for i, (s, _) in enumerate(signs) if s in (INSULT, THREAT)]:
             if h <= done:
                 continue
-            a = h
-            while a > 0 and tokens[a - 1] not in ".!?;:\n":
-                a -= 1
-            state, quoted, i, matched = start, False, a, False
-            while i < len(tokens) and tokens[i] not in ".!?;:\n":
-                s, w = signs[i]
-                if tokens[i] in _QUOTES:
-                    quoted = not quoted
-                state, (negated, reported, targeted, kind) = step[state, s]
-                if kind == INSULT:
-                    matched = True
-                    where = "negated" if negated else "reported" if reported or quoted else "targeted" if targeted else "plain"
-                    out[where] += w
-                    out["strongest"] = max(out["strongest"], w)
-                elif kind == THREAT and not negated and (targeted or i + 1 < len(tokens) and signs[i + 1][0] == TARGET):
-                    matched = True
-                    out["threats"] += 1
+            i = h
+            while i > 0 and signs[i - 1][0] != END:
+                i -= 1
+            state, s = 0, OTHER
+            while s != END:
+                s, w = signs[i] if i < n else (END, 0.0)
+                state, feature, by_term, besides = MACHINE[state, s]
+                if feature:
+                    out[feature] += by_term * w + besides
+                    if by_term:
+                        out["strongest"] = max(out["strongest"], w)
                 i += 1
-            out["clauses"] += matched
-            done = i
+            done = i - 1
         weight = out["plain"] + out["targeted"] + out["negated"] + out["reported"]
-        out["density"] = weight / math.sqrt(len(tokens) + 1)
+        out["density"] = weight / math.sqrt(n + 1)
         return [*(math.log1p(out[k]) for k in FEATURES)]
 
 
@@ -256,7 +295,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more; columns and other rows stay as they are."""
+    """``docs`` without the rows that score 0.5 or more; columns and other rows stay as they are.
+
+    Null and empty texts score as those without a match, null ids and repeated
+    rows stay or go by their text, texts of any length are read whole, and an
+    empty table gives an empty one.
+    """
     model = train(docs, labels, sample, id_col, text_col)
 
     def toxic(texts: pd.Series) -> pd.Series:

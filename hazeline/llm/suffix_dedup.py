@@ -205,8 +205,11 @@ def _repeats(members: DataFrame, length: int) -> DataFrame:
     return dealt.mapInPandas(run, "core long, s1 long, s2 long, first array<int>, last array<int>")
 
 
-def _judged(around: DataFrame, length: int, many: int) -> DataFrame:
-    """gram, around, low, high: distances of windows of ``around`` (gram, around, n, top, windows, bytes) that repeat, in runs."""
+def _judged(around: DataFrame, length: int, many: int, used: list[DataFrame]) -> DataFrame:
+    """gram, around, low, high: distances of windows of ``around`` (gram, around, n, top, windows, bytes) that repeat, in runs.
+
+    Tables written on the way are added to ``used``.
+    """
     size = -(-reach(length) // BANDS)
     part = around.withColumn("low", F.lit(0)).withColumn("high", F.lit(reach(length)))
     strings, decided = None, None
@@ -216,6 +219,7 @@ def _judged(around: DataFrame, length: int, many: int) -> DataFrame:
         cores = spool(once.groupBy("core").agg(F.count("*").alias("strings"), F.sum("n").alias("times")), "cores")
         here = cut.join(cores.where("strings = 1 and times > 1").select("core"), "core").select("gram", "around", (F.col("top") - F.col("windows") + 1).alias("low"), F.col("top").alias("high"))
         several = cut.join(cores.where(f"strings > 1 and strings <= {many}").select("core"), "core")
+        used += [cut, cores]
         decided = here if decided is None else decided.unionByName(here)
         strings = several if strings is None else strings.unionByName(several)
         large = cores.where(f"strings > {many}").select("core")
@@ -233,6 +237,7 @@ def _judged(around: DataFrame, length: int, many: int) -> DataFrame:
     members = held.join(around.select("gram", "around", "top", "bytes"), ["gram", "around"]).select("core", "s1", "s2", "n", "offset", "size", text)
     found = _repeats(members, length).withColumn("run", F.explode(F.arrays_zip("first", "last"))).select("core", "s1", "s2", "run.first", "run.last")
     found = spool(found, "runs")
+    used += [strings, found]
     met = strings.join(found, ["core", "s1", "s2"]).select("gram", "around", (F.col("top") - F.col("last")).alias("low"), (F.col("top") - F.col("first")).alias("high"))
     return decided.unionByName(met)
 
@@ -291,8 +296,11 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, many: int)
     around = wanted.join(texts, ["k1", "k2"]).select("text", "around", "n").mapInPandas(cut, "gram long, around long, n long, top int, windows int, bytes binary")
     # a repeated row, or pieces of one text, may give the same surroundings again
     around = spool(around.dropDuplicates(["gram", "around"]), "around")
-    found = alone.unionByName(_judged(around, length, many))
+    used = [again, distinct, several, around]
+    found = alone.unionByName(_judged(around, length, many, used))
     found = spool(found.groupBy("gram", "around").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "distances")
+    for table in used:  # what follows reads only the anchors and these distances
+        drop_spool(table)
     spans = (
         seen.join(found, ["gram", "around"])
         .select("k1", "k2", F.expr("transform(high, t -> place - t)").alias("s"), F.expr(f"transform(low, t -> place - t + {length})").alias("e"))

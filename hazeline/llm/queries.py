@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import ann, bpe_codec, jaccard, licences, packing, secrets, sharding, suffix_dedup, topk, toxicity
+from hazeline.llm import ann, bpe_codec, conversation_trie, divergence, jaccard, licences, packing, piece_codec, secrets, sharding, suffix_dedup, topk, toxicity
 
 #: Where the vocabulary files lie; the installed package knows if this is None.
 TOKENIZERS: str | None = None
@@ -75,6 +75,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_spread(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(_spread(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_spread(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -87,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_sentence_pieces": op11_sentence_pieces,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -97,6 +112,8 @@ def oracle_sql() -> dict[str, str]:
     digest = lambda t: f"sha256({licences.canonical_sql(t)})"
     return {
         "op4_extendible_sharding": sharding.shard_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], SHARD_BYTES),
+        "op12_conversation_trie": conversation_trie.trie_sql("conversations"),
+        "op13_source_divergence": divergence.audit_sql("documents"),
         "op7_licence_scan": f"""
             WITH every AS (SELECT n, {digest("t")} AS h FROM (VALUES {rows}) AS v(n, t) UNION ALL SELECT n, h FROM (VALUES {whole}) AS w(n, h)),
                  known AS (SELECT h AS canonical_sha256, min(n) AS licence FROM every GROUP BY h),

@@ -32,9 +32,11 @@ PRIOR, UNIT = 5, 1_000_000_000
 #: Candidates of a source.
 TOP = 50
 #: Leaves of a trie in memory; a fuller one is written out and a new one begun.
-LEAVES = 200_000
+LEAVES = 500_000
+#: Rows that walks are merged by (about).
+MERGED = 100_000
 #: Characters cut into terms at a time in a task.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 #: Sources of a tile, and kept counts of a slice of terms (both about): a task compares two tiles over a slice.
 TILE, SLICE = 256, 100_000
 #: Terms whose rates are compared at a time.
@@ -57,46 +59,70 @@ _PART, _LOWER = _byte_tables()
 
 
 class RadixTrie:
-    """Terms as paths of labelled edges; a node is [label, children by first byte or None, leaf or None].
+    """Terms as paths of labelled edges; a node is [label, children by first byte or None, leaf or -1].
 
-    A leaf maps a group's number to (occurrences << 32 | documents).
+    Leaves are numbered as they come. Their counters are columns: leaf, group,
+    occurrences, documents, added up from time to time.
     """
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
+        self.root: list = [b"", {}, -1]
         self.leaves = 0
+        self.counters: list[np.ndarray] = []
+        self.held = 0
 
-    def leaf(self, term: bytes) -> dict[int, int]:
-        """The leaf of a term, a new one if it had none."""
-        node, at = self.root, 0
-        while at < len(term):
+    def leaf(self, term: bytes) -> int:
+        """The number of a term's leaf, a new one if it had none."""
+        node, at, size = self.root, 0, len(term)
+        while at < size:
             if node[1] is None:
                 node[1] = {}
             child = node[1].get(term[at])
             if child is None:
+                node[1][term[at]] = [term[at:], None, self.leaves]
                 self.leaves += 1
-                child = node[1][term[at]] = [term[at:], None, {}]
-                return child[2]
+                return self.leaves - 1
             label = child[0]
             if not term.startswith(label, at):
                 same = next(k for k in range(1, len(label) + 1) if term[at + k : at + k + 1] != label[k : k + 1])
-                middle = [label[:same], {label[same]: child}, None]
+                middle = [label[:same], {label[same]: child}, -1]
                 child[0] = label[same:]
                 node[1][term[at]] = middle
                 child = middle
             node, at = child, at + len(child[0])
-        if node[2] is None:
+        if node[2] < 0:
+            node[2] = self.leaves
             self.leaves += 1
-            node[2] = {}
         return node[2]
 
-    def walk(self) -> Iterator[tuple[bytes, dict[int, int]]]:
+    def count(self, leaf: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        """Add to the counters of (leaf, group), which may repeat."""
+        self.counters.append(np.stack([leaf, group, n, docs]))
+        self.held += len(leaf)
+        if self.held > 4 * LEAVES and len(self.counters) > 1:
+            self.counters = [self.summed()]
+            self.held = self.counters[0].shape[1]
+
+    def summed(self, place: np.ndarray | None = None) -> np.ndarray:
+        """leaf, group, n, docs, one column for each (leaf, group), in the order of leaves or of their places."""
+        if not self.counters:
+            return np.zeros((4, 0), np.int64)
+        every = np.concatenate(self.counters, axis=1)
+        leaf = every[0] if place is None else place[every[0]]
+        groups = int(every[1].max(initial=0)) + 1
+        key = leaf * groups + every[1]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return np.stack([*np.divmod(key[first], groups), *(np.add.reduceat(every[k][order], first) for k in (2, 3))])
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
         """(term, leaf) in byte order."""
         open_ = [(self.root, b"")]
         while open_:
             node, before = open_.pop()
             path = before + node[0]
-            if node[2] is not None:
+            if node[2] >= 0:
                 yield path, node[2]
             if node[1]:
                 open_.extend((node[1][b], path) for b in sorted(node[1], reverse=True))
@@ -107,45 +133,35 @@ def _add(trie: RadixTrie, texts: list[str], groups: np.ndarray) -> None:
     parts = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     inside = _PART[data]
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return
     data = _LOWER[data]
     doc_ends = np.cumsum([len(p) + 1 for p in parts])
-    doc = np.searchsorted(doc_ends, starts, "right")
+    doc = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(starts, doc_ends), prepend=0))
     _, where, term = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
     odd = np.flatnonzero(~same_words(data, starts, ends, where[term]))  # equal hashes of unequal terms: counted apart, the trie joins them
     term[odd] = len(where) + np.arange(len(odd))
     where = np.append(where, odd)
-    # occurrences of each (term, document), then of each (term, group)
-    pair, n = np.unique(term * len(texts) + doc, return_counts=True)
-    of_term, of_group = np.divmod(pair, len(texts))
-    of_group = groups[of_group]
-    order = np.lexsort((of_group, of_term))
-    of_term, of_group, n = of_term[order], of_group[order], n[order]
-    first = np.flatnonzero(np.append(True, (of_term[1:] != of_term[:-1]) | (of_group[1:] != of_group[:-1])))
-    total, docs = np.add.reduceat(n, first), np.diff(np.append(first, len(n)))
-    raw, before, leaf = data.tobytes(), -1, {}
-    counted = zip(of_term[first].tolist(), of_group[first].tolist(), (total.astype(np.int64) << 32 | docs).tolist(), strict=True)
-    a, b = starts[where].tolist(), ends[where].tolist()
-    for t, g, count in counted:
-        if t != before:
-            leaf, before = trie.leaf(raw[a[t] : b[t]]), t
-        leaf[g] = leaf.get(g, 0) + count
+    pair, n = np.unique(term * len(texts) + doc, return_counts=True)  # a document's counts of its terms
+    of_term, of_doc = np.divmod(pair, len(texts))
+    raw, leaf = data.tobytes(), trie.leaf
+    cut = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
+    numbers = np.fromiter((leaf(raw[a:b]) for a, b in cut), np.int64, len(where))
+    trie.count(numbers[of_term], groups[of_doc], n, np.ones(len(n), np.int64))
 
 
 def _walked(trie: RadixTrie, names: list[tuple[str, str]]) -> pd.DataFrame:
-    terms, groups, counts = [], [], []
+    terms, leaves = [], []
     for term, leaf in trie.walk():
-        word = term.decode()
-        for g, count in leaf.items():
-            terms.append(word)
-            groups.append(g)
-            counts.append(count)
+        terms.append(term.decode())
+        leaves.append(leaf)
+    place = np.empty(len(leaves), np.int64)
+    place[leaves] = np.arange(len(leaves))
+    at, group, n, docs = trie.summed(place)
     langs, sources = (np.array([x[k] for x in names], object) for k in (0, 1))
-    g, packed = np.array(groups, np.int64), np.array(counts, np.int64)
-    return pd.DataFrame({"lang": langs[g], "source": sources[g], "term": terms, "n": packed >> 32, "docs": packed & 0xFFFFFFFF})
+    return pd.DataFrame({"lang": langs[group], "source": sources[group], "term": np.array(terms, object)[at], "n": n, "docs": docs})
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
@@ -172,23 +188,31 @@ def merged_counts(parts: DataFrame, least: int = LEAST) -> DataFrame:
     """The kept terms: lang, term, source, n, total (of the language), first (on one row for each term)."""
 
     def run(batches):
-        held = None
+        held: list[pd.DataFrame] = []
+        size = 0
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = (pdf["term"] == pdf["term"].iloc[-1]) & (pdf["lang"] == pdf["lang"].iloc[-1]) if len(pdf) else []
-            done, held = (pdf[~last], pdf[last]) if len(pdf) else (pdf, None)
-            if held is not None and len(held) > len(done):  # a term of many partial counts: add up what is there
-                held = held.groupby(["lang", "term", "source"], as_index=False, sort=False)[["n", "docs"]].sum()
-            if len(done):
-                yield kept(done)
-        if held is not None and len(held):
-            yield kept(held)
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            size += len(pdf)
+            if size < MERGED:
+                continue
+            every = pd.concat(held, ignore_index=True)
+            last = ((every["term"] == every["term"].iloc[-1]) & (every["lang"] == every["lang"].iloc[-1])).to_numpy()
+            if not last.all():
+                yield kept(every[~last])
+            every = every[last]
+            if len(every) > MERGED // 2:  # a term of many partial counts: add up what is there
+                every = every.groupby(["lang", "term", "source"], as_index=False, sort=False)[["n", "docs"]].sum()
+            held, size = [every], len(every)
+        if held:
+            yield kept(pd.concat(held, ignore_index=True))
 
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = np.append(True, ((pdf["term"].to_numpy()[1:] != pdf["term"].to_numpy()[:-1]) | (pdf["lang"].to_numpy()[1:] != pdf["lang"].to_numpy()[:-1])))
-        number = np.cumsum(new) - 1
-        docs = np.bincount(number, pdf["docs"].to_numpy(np.float64)).astype(np.int64)
-        out = pdf[docs[number] >= least]
+        term, lang = pdf["term"].to_numpy(object), pdf["lang"].to_numpy(object)
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])))
+        docs = np.add.reduceat(pdf["docs"].to_numpy(np.int64), first)
+        out = pdf[np.repeat(docs >= least, np.diff(np.append(first, len(pdf))))]
         out = out.groupby(["lang", "term", "source"], as_index=False, sort=False)["n"].sum()
         out["total"] = out.groupby(["lang", "term"], sort=False)["n"].transform("sum")
         out["first"] = ~out.duplicated(["lang", "term"])

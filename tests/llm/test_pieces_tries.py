@@ -192,15 +192,20 @@ def brute_audit(docs, least, top):
     return sorted(out, key=str)
 
 
+def counters(trie):
+    found = trie.summed().T.tolist()
+    return [(term, {g: (n, d) for t, g, n, d in found if t == leaf}) for term, leaf in trie.walk()]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text("abé", max_size=5), st.integers(0, 2)), max_size=40))
 def test_radix_trie(added):
-    trie, want = divergence.RadixTrie(), defaultdict(Counter)
+    trie, want = divergence.RadixTrie(), defaultdict(dict)
     for term, group in added:
-        leaf = trie.leaf(term.encode())
-        leaf[group] = leaf.get(group, 0) + 1
-        want[term.encode()][group] += 1
-    assert list(trie.walk()) == sorted(want.items()) and trie.leaves == len(want)
+        trie.count(*(np.array([x]) for x in (trie.leaf(term.encode()), group, 2, 1)))
+        n, d = want[term.encode()].get(group, (0, 0))
+        want[term.encode()][group] = n + 2, d + 1
+    assert counters(trie) == sorted(want.items()) and trie.leaves == len(want)
 
 
 def some_docs(seed):
@@ -212,7 +217,7 @@ def some_docs(seed):
 
 @pytest.mark.parametrize(("least", "tile", "slice_", "leaves", "chunk"), [(3, 256, 100_000, 200_000, 1 << 21), (2, 1, 7, 5, 100), (1, 2, 50, 1, 1), (10_000, 256, 100_000, 9, 10)])
 def test_divergence(spark, monkeypatch, least, tile, slice_, leaves, chunk):
-    for name, value in (("SLICE", slice_), ("LEAVES", leaves), ("CHUNK", chunk), ("ROWS", 3)):
+    for name, value in (("SLICE", slice_), ("LEAVES", leaves), ("CHUNK", chunk), ("ROWS", 3), ("MERGED", leaves)):
         monkeypatch.setattr(divergence, name, value)
     docs = some_docs(least)
     df = spark.createDataFrame([(k % 50, *d, "x", 1, "y") for k, d in enumerate(docs)], DOC)
@@ -229,4 +234,4 @@ def test_colliding_hashes_of_terms(monkeypatch):
     monkeypatch.setattr(divergence, "word_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
     trie = divergence.RadixTrie()
     divergence._add(trie, ["b a b", "c b"], np.array([0, 1]))
-    assert list(trie.walk()) == [(b"a", {0: 1 << 32 | 1}), (b"b", {0: 2 << 32 | 1, 1: 1 << 32 | 1}), (b"c", {1: 1 << 32 | 1})]
+    assert counters(trie) == [(b"a", {0: (1, 1)}), (b"b", {0: (2, 1), 1: (1, 1)}), (b"c", {1: (1, 1)})]

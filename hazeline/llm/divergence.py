@@ -83,13 +83,14 @@ class RadixTrie:
                 self.leaves += 1
                 return self.leaves - 1
             label = child[0]
-            if not term.startswith(label, at):
+            if len(label) > 1 and not term.startswith(label, at):
                 same = next(k for k in range(1, len(label) + 1) if term[at + k : at + k + 1] != label[k : k + 1])
                 middle = [label[:same], {label[same]: child}, -1]
                 child[0] = label[same:]
                 node[1][term[at]] = middle
                 child = middle
-            node, at = child, at + len(child[0])
+            node = child
+            at += len(node[0])
         if node[2] < 0:
             node[2] = self.leaves
             self.leaves += 1
@@ -147,8 +148,10 @@ def _add(trie: RadixTrie, texts: list[str], groups: np.ndarray) -> None:
     pair, n = np.unique(term * len(texts) + doc, return_counts=True)  # a document's counts of its terms
     of_term, of_doc = np.divmod(pair, len(texts))
     raw, leaf = data.tobytes(), trie.leaf
-    cut = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
-    numbers = np.fromiter((leaf(raw[a:b]) for a, b in cut), np.int64, len(where))
+    words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+    numbers = np.empty(len(words), np.int64)
+    order = sorted(range(len(words)), key=words.__getitem__)  # neighbours share their paths
+    numbers[order] = [leaf(words[k]) for k in order]
     trie.count(numbers[of_term], groups[of_doc], n, np.ones(len(n), np.int64))
 
 

@@ -1,7 +1,8 @@
 """One model for each location and dataset variant, with metrics and importances as flat tables.
 
-Locations and variants are few and named by the caller's tables; each fit is a
-distributed job over that location's rows alone, and several run at a time.
+Logistic models of all locations and variants are fitted together, in as many
+jobs as one takes (``run_logistic``). Other models (``run``) are distributed
+jobs over a location's rows alone, and several run at a time.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.operators import metrics, models
+from hazeline.operators import grouped, metrics, models
 from hazeline.operators.features import standardize
+from hazeline.operators.stats import percent_of_total
 from hazeline.operators.variants import large_enough
+from hazeline.sources.shared import spool
 
 #: Fits that run at the same time.
 PARALLEL = 4
@@ -76,3 +79,46 @@ def run(
     flat = spark.createDataFrame([r for found, _ in done for r in found], f"{keys}, metric string, value double")
     told = spark.createDataFrame([r for _, part in done for r in part], f"{keys}, feature string, importance double, importance_pct double")
     return flat, told
+
+
+def run_logistic(
+    parts: dict[str, DataFrame],
+    cols: dict[str, Sequence[str]],
+    is_test: Column,
+    by: str = "location",
+    label: str = "fog",
+    threshold: float | None = 0.5,
+    least: tuple[int, int] = (100, 10),
+    c: float = 1.0,
+) -> tuple[DataFrame, DataFrame]:
+    """(metrics, importances) as ``run`` gives them for the logistic model, of all groups at once.
+
+    ``threshold`` None: each group's own, that of largest f1 on its train rows.
+    """
+    keys = [by, "variant"]
+    stacked = None
+    for variant, df in parts.items():
+        x = F.array(*(F.col(n).cast("double") for n in cols[variant]))
+        rows = df.dropna("any", subset=[*cols[variant], label]).select(by, F.lit(variant).alias("variant"), x.alias("x"), F.col(label).cast("int").alias(label), is_test.alias("_test"))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    stacked = spool(stacked, "stacked-variants")
+    train = ~F.col("_test")
+    sizes = stacked.groupBy(*keys).agg(F.count_if(train).alias("a"), F.count_if("_test").alias("b"), F.min(F.when(train, F.col(label))).alias("low"), F.max(F.when(train, F.col(label))).alias("high"))
+    enough = sizes.where((F.col("a") >= least[0]) & (F.col("b") >= least[1]) & (F.col("low") < F.col("high"))).select(*keys)
+    rows = stacked.join(enough, keys, "left_semi")
+    fitted = spool(grouped.fit_logistic(rows.where(train), keys, label=label, c=c), "coefficients")
+    scored = grouped.scored(rows, fitted, keys)
+    test = scored.where("_test")
+    if threshold is None:
+        own = metrics.best_threshold(metrics.sweep(scored.where(train), by=keys, label=label), keys).select(*keys, "threshold")
+        counted = test.join(own, keys).groupBy(*keys).agg(*metrics.confusion(metrics.predict(F.col("score"), F.col("threshold")), F.col(label)))
+        told = metrics.rates(counted)
+    else:
+        told = metrics.evaluate(test, threshold, keys, label=label)
+    wide = told.join(metrics.roc_auc(test, keys, label=label), keys)
+    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*(F.col(m).cast("double") for m in METRICS)))).alias("metric", "value")
+    flat = wide.select(*keys, F.lit("logistic").alias("model"), pairs)
+    names = F.create_map(*(v for n, part in cols.items() for v in (F.lit(n), F.array(*map(F.lit, part)))))[F.col("variant")]
+    each = fitted.select(*keys, F.explode(F.arrays_zip(names.alias("feature"), F.transform("coefficients", F.abs).alias("importance"))).alias("f"))
+    each = each.select(*keys, F.lit("logistic").alias("model"), "f.feature", "f.importance")
+    return flat, percent_of_total(each, "importance", keys, name="importance_pct")

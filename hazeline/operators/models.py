@@ -79,7 +79,8 @@ def importance(model, cols: Sequence[str], spark) -> DataFrame:
         values = abs(model.coefficients.toArray())
     else:
         first, second = model.getLayers()[:2]
-        values = abs(model.weights.toArray()[: first * second].reshape(second, first)).reshape(second, -1, len(cols)).mean(axis=(0, 1))
+        # Spark keeps a layer's weights input by input
+        values = abs(model.weights.toArray()[: first * second].reshape(-1, len(cols), second)).mean(axis=(0, 2))
     table = spark.createDataFrame([(c, float(v)) for c, v in zip(cols, values, strict=False)], "feature string, importance double")
     return percent_of_total(table, "importance", name="importance_pct")
 

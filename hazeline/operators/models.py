@@ -1,20 +1,21 @@
-"""Imbalanced binary classifiers, stacking and importances on Spark ML.
+"""Imbalanced binary classifiers, stacking and importances.
 
-Gradient boosting stands in for the XGBoost of the original jobs and a
-multilayer perceptron on flattened 24-row windows for their convolutional
-network: neither library is part of Spark.
+Logistic regression, forests and perceptrons are Spark ML's; boosted trees with
+L1, L2 and gamma and the convolutional network are ``boosting`` and
+``convolution`` of this package.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazeline.operators import boosting, convolution
 from hazeline.operators.features import sequences, standardize
 from hazeline.operators.metrics import blend
 from hazeline.operators.stats import percent_of_total
@@ -30,6 +31,9 @@ def assembled(df: DataFrame, cols: Sequence[str], name: str = "features") -> Dat
 
 
 def scored(model, df: DataFrame, name: str = "score") -> DataFrame:
+    """``df`` with the model's probability, without the columns that the model adds."""
+    if isinstance(model, boosting.Boosted):
+        return boosting.scored(model, df, name)
     out = model.transform(df)
     extra = [c for c in out.columns if c not in df.columns]
     return out.withColumn(name, vector_to_array("probability")[1]).drop(*extra)
@@ -48,13 +52,9 @@ def forest(train: DataFrame, cols: Sequence[str], label: str = "fog", trees: int
     ).fit(data)
 
 
-def boosted(train: DataFrame, cols: Sequence[str], label: str = "fog", rounds: int = 10, depth: int = 5, step: float = 0.05, seed: int = 42):
+def boosted(train: DataFrame, cols: Sequence[str], label: str = "fog", rounds: int = 10, depth: int = 5, step: float = 0.05, seed: int = 42) -> boosting.Boosted:
     """Boosting stops early on a fifth of the train rows, a fixed choice by hash, never on the test year."""
-    data = assembled(class_weights(train, label), cols).withColumn("is_validation", F.pmod(F.xxhash64(*cols), F.lit(5)) == 0)
-    return GBTClassifier(
-        labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.7, featureSubsetStrategy="0.7",
-        validationIndicatorCol="is_validation", seed=seed,
-    ).fit(data)
+    return boosting.fit(train, cols, label, rounds, depth, step, seed=seed)
 
 
 def flat_sequences(df: DataFrame, cols: Sequence[str], length: int = 24, by: Sequence[str] = ("location",), time: str = "time") -> DataFrame:
@@ -72,7 +72,9 @@ def sequence_net(train: DataFrame, width: int, label: str = "fog", hidden: Seque
 
 
 def importance(model, cols: Sequence[str], spark) -> DataFrame:
-    """feature, importance, importance_pct: impurity gains, |coefficients|, or mean |weights| of a net's first layer."""
+    """feature, importance, importance_pct: impurity or split gains, |coefficients|, or mean |weights| of a net's first layer."""
+    if isinstance(model, boosting.Boosted | convolution.ConvNet):
+        return model.importance(spark)
     if hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
     elif hasattr(model, "coefficients"):
@@ -94,7 +96,7 @@ def combined_importance(parts: dict[str, DataFrame], mix: dict[str, float] | Non
     return out.groupBy("feature").agg(F.sum("importance_pct").alias("importance_pct"))
 
 
-def stack(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "fog", by: Sequence[str] = ("location",), time: str = "time", trees: int = 10, rounds: int = 5, epochs: int = 20, length: int = 24) -> tuple[DataFrame, dict]:
+def stack(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "fog", by: Sequence[str] = ("location",), time: str = "time", trees: int = 10, rounds: int = 5, epochs: int = 10, length: int = 24, **shape) -> tuple[DataFrame, dict]:
     """Logistic, forest, boosted and sequence models in turn, each also fed the probabilities before it.
 
     Returns the test rows that have a full sequence, with every layer's
@@ -115,7 +117,7 @@ def stack(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = "
         models[name] = fit(a, used, label, size)
         a, b = (add(models[name], out, used, d) for d in (a, b))
         used = [*used, out]
-    fa, fb = (flat_sequences(d, used, length, by, time) for d in (a, b))
-    models["sequence"] = sequence_net(fa, length * len(used), label, epochs=epochs)
-    done = scored(models["sequence"], fb, "p_sequence").drop("features")
+    fa, fb = (convolution.windows(d, used, length, by, time) for d in (a, b))
+    models["sequence"] = convolution.fit(fa, used, label, length, by, time, epochs=epochs, **shape)
+    done = convolution.scored(models["sequence"], fb, "p_sequence")
     return done.withColumn("score", blend(MIX)), models

@@ -20,11 +20,10 @@ from hazeline.sources.shared import fresh_path, spool
 from hazeline.streaming import hourly
 
 TEST_YEAR = 2000
+#: At most so many epochs of the registered networks; the operator's default is 50.
+SEQUENCE_EPOCHS = 10
 FEATURES = ["quantity", "price", "tax"]
 CATEGORIES = {"quantity": "volume", "price": "volume", "tax": "charge"}
-#: An elbow curve and gains of three features, as literal tables.
-INERTIAS = {3: 900.0, 4: 700.0, 5: 560.0, 6: 480.0, 7: 430.0, 8: 395.0, 9: 370.0}
-GAINS = {"loc_a": {"quantity": 3.0, "price": 1.0, "tax": 0.5}, "loc_b": {"quantity": 2.0, "price": 2.5, "tax": 0.0}}
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -717,7 +716,6 @@ def metric_difference(spark, d):
     return rounded(stats.differences(t, "location", "variant", "value", "complete", "all"), "difference")
 
 
-_GAINS = "(VALUES " + ", ".join(f"('{x}', '{f}', {y})" for x, fs in GAINS.items() for f, y in fs.items()) + ") AS t(location, feature, value)"
 
 
 @query(
@@ -731,23 +729,42 @@ def report_summary(spark, d):
     return report.summary_lines(_flat_f1(spark, d).withColumn("metric", F.lit("f1")))
 
 
-_SHARES = f"s AS (SELECT location, feature, CAST(value AS DOUBLE) / sum(CAST(value AS DOUBLE)) OVER (PARTITION BY location) * 100 AS p FROM {_GAINS})"
+_SHARES = _VALID + ", s AS (SELECT location, feature, abs(r) / sum(abs(r)) OVER (PARTITION BY location) * 100 AS p FROM corr)"
 
 
-@query(f"WITH {_SHARES} SELECT feature, {q6('sum(CASE location WHEN $$loc_a$$ THEN p / 6.0 WHEN $$loc_b$$ THEN p * 2 / 6.0 ELSE p / 2.0 END)')} AS importance_pct FROM (SELECT * FROM s UNION ALL SELECT 'loc_c', feature, p FROM s WHERE location = 'loc_a') GROUP BY 1")
+def _importances(spark, d):
+    """How much each feature tells of the visibility of a location, in percent."""
+    return stats.percent_of_total(_correlations(spark, d), "abs_r", ["location"], name="importance_pct").select("location", "feature", "importance_pct")
+
+
+@query(_SHARES + f" SELECT feature, {q6('sum(CASE location WHEN $$ASIA$$ THEN p / 6.0 WHEN $$EUROPE$$ THEN p * 2 / 6.0 ELSE p / 2.0 END)')} AS importance_pct FROM s WHERE location IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY 1", "hist")
 def importance_combined(spark, d):
-    """Importances of three models in one: normalised, weighted 1 to 2 to 3."""
+    """Importances of three models in one, weighted 1 to 2 to 3; a location's importances stand for a model's."""
     from hazeline.operators import models
 
-    t = stats.percent_of_total(literal_table(spark, GAINS, ["location", "feature"]), "value", ["location"], name="importance_pct")
-    part = {m: t.where(F.col("location") == x) for m, x in (("logistic", "loc_a"), ("forest", "loc_b"), ("boosted", "loc_a"))}
+    t = _importances(spark, d)
+    part = {m: t.where(F.col("location") == x) for m, x in (("logistic", "ASIA"), ("forest", "EUROPE"), ("boosted", "AFRICA"))}
     return rounded(models.combined_importance(part), "importance_pct")
 
 
-@query(f"SELECT feature, {q6('avg(p)')} AS importance_pct FROM (SELECT feature, CAST(value AS DOUBLE) / sum(CAST(value AS DOUBLE)) OVER (PARTITION BY location) * 100 AS p FROM {_GAINS}) GROUP BY 1")
+@query(_SHARES + f" SELECT feature, {q6('avg(p)')} AS importance_pct FROM s GROUP BY 1", "hist")
 def importance_average(spark, d):
-    t = stats.percent_of_total(literal_table(spark, GAINS, ["location", "feature"]), "value", ["location"])
-    return rounded(t.groupBy("feature").agg(F.avg("pct").alias("importance_pct")), "importance_pct")
+    return rounded(_importances(spark, d).groupBy("feature").agg(F.avg("importance_pct").alias("importance_pct")), "importance_pct")
+
+
+#: Weights of locations, as the nested dictionaries that results are kept in.
+TRUST = {"AFRICA": 1.0, "AMERICA": 2.0, "ASIA": 3.0}
+
+
+@query(
+    _SHARES
+    + f", w AS (SELECT * FROM (VALUES {', '.join(f'($${x}$$, CAST({y} AS DOUBLE))' for x, y in TRUST.items())}) AS t(location, value)) SELECT feature, {q6('sum(p * value) / sum(value)')} AS importance_pct FROM s JOIN w USING (location) GROUP BY 1",
+    "hist",
+)
+def importance_weighted(spark, d):
+    """Importances averaged over the locations of a literal table, by its weights."""
+    joined = _importances(spark, d).join(literal_table(spark, TRUST, ["location"]), "location")
+    return rounded(joined.groupBy("feature").agg((F.sum(F.col("importance_pct") * F.col("value")) / F.sum("value")).alias("importance_pct")), "importance_pct")
 
 
 # --- clusters
@@ -786,15 +803,23 @@ def silhouette_euclid(spark, d):
     return rounded(cluster.silhouette(views.table(spark, d, "embeddings")), "silhouette")
 
 
-_INERTIAS = "(VALUES " + ", ".join(f"({k}, {v})" for k, v in INERTIAS.items()) + ") AS t(k, inertia)"
+#: Numbers of clusters of fixed assignments, vec_id modulo k.
+TRIED = range(3, 10)
 
 
 @query(
-    f"""WITH r AS (SELECT k, (lag(inertia) OVER (ORDER BY k) - inertia) / lag(inertia) OVER (ORDER BY k) * 100 AS rate FROM {_INERTIAS}),
+    f"""WITH e AS (SELECT k, vec_id % k AS c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings, range({TRIED.start}, {TRIED.stop}) AS t(k)),
+    m AS (SELECT k, c, i, avg(x) AS m FROM e GROUP BY 1, 2, 3), t AS (SELECT e.k, sum((x - m) * (x - m)) AS inertia FROM e JOIN m ON e.k = m.k AND e.c = m.c AND e.i = m.i GROUP BY 1),
+    r AS (SELECT k, (lag(inertia) OVER (ORDER BY k) - inertia) / lag(inertia) OVER (ORDER BY k) * 100 AS rate FROM t),
     g AS (SELECT k, lag(rate) OVER (ORDER BY k) - rate AS drop FROM r) SELECT CAST(arg_max(k, drop) AS INT) AS k FROM g WHERE drop IS NOT NULL"""
 )
 def elbow_second_difference(spark, d):
-    return stats.elbow(spark.createDataFrame([*INERTIAS.items()], "k int, inertia double"))
+    """The elbow of the inertias of fixed assignments to 3, 4, ... clusters."""
+    e, out = views.table(spark, d, "embeddings"), None
+    for k in TRIED:
+        one = cluster.inertia(e.withColumn("label", F.col("vec_id") % k)).select(F.lit(k).alias("k"), "inertia")
+        out = one if out is None else out.unionByName(one)
+    return stats.elbow(out)
 
 
 # --- models: no SQL
@@ -849,14 +874,13 @@ def model_importance(spark, d):
     return models.combined_importance(parts)
 
 
-def _experiment(spark, d):
-    from hazeline.operators import experiments, models
+def _experiment(spark, d, threshold=0.5):
+    from hazeline.operators import experiments
 
     h = _kept(spark, d, "location", "time", *FEATURES, "gappy", "fog")
     parts = variants.variants(h, ["gappy"])
     cols = {variants.WITHOUT: FEATURES, variants.WITH: [*FEATURES, "gappy"], variants.REDUCED: FEATURES}
-    fits = {"logistic": lambda train, names: models.logistic(train, names)}
-    return experiments.run(parts, cols, fits, fn.in_year(F.col("time"), TEST_YEAR))
+    return experiments.run_logistic(parts, cols, fn.in_year(F.col("time"), TEST_YEAR), threshold=threshold)
 
 
 @query()
@@ -865,6 +889,22 @@ def experiment_metrics(spark, d):
     return _experiment(spark, d)[0]
 
 
+@query()
+def experiment_tuned(spark, d):
+    """The same models at the thresholds of largest f1 on their train rows."""
+    return _experiment(spark, d, None)[0]
+
+
+@query()
+def experiment_trees(spark, d):
+    """Forest and boosted trees of each location on the variant of all rows, and their metrics on the test year."""
+    from hazeline.operators import experiments, models
+
+    h = _kept(spark, d, "location", "time", *FEATURES, "fog")
+    fits = {"forest": models.forest, "boosted": lambda train, names: models.boosted(train, names, rounds=5)}
+    return experiments.run({variants.WITHOUT: h}, {variants.WITHOUT: FEATURES}, fits, fn.in_year(F.col("time"), TEST_YEAR))[0]
+
+
 @query()
 def experiment_averages(spark, d):
     """The same metrics, and the importances, averaged over locations."""
@@ -891,15 +931,28 @@ def model_sequence_mlp(spark, d):
     return _evaluated(models.scored(net, models.flat_sequences(b, cols)), "sequence", ["location"])
 
 
-@query()
-def model_sequence_importance(spark, d):
-    """Mean weight of each feature in the net's first layer, over the hours of a sequence."""
-    from hazeline.operators import models
+def _convolution(spark, d):
+    from hazeline.operators import convolution
 
-    train, _ = _hourly(spark, d)
+    train, test = _hourly(spark, d)
     cols = ["temp", "dew"]
-    net = models.sequence_net(models.flat_sequences(features.standardize(train, cols), cols), 24 * len(cols))
-    return models.importance(net, cols, spark)
+    a, b = features.standardize(train, cols), features.standardize(test, cols, fit=train)
+    return convolution.fit(convolution.windows(a, cols), cols, epochs=SEQUENCE_EPOCHS), convolution.windows(b, cols)
+
+
+@query()
+def model_sequence_cnn(spark, d):
+    """The convolutional network on 24-row windows, by location."""
+    from hazeline.operators import convolution
+
+    net, seen = _convolution(spark, d)
+    return _evaluated(convolution.scored(net, seen), "convolution", ["location"])
+
+
+@query()
+def model_sequence_importance(spark, d):
+    """Mean weight of each feature in the network's first kernel, over places and filters."""
+    return _convolution(spark, d)[0].importance(spark)
 
 
 @query()

@@ -203,13 +203,16 @@ def test_kmeans_queries_run_the_whole_job(spark, monkeypatch):
     calls = []
 
     class Fitted:
+        def __init__(self, cost):
+            self.cost = cost
+
         def transform(self, df):
             return df.selectExpr("*", "0 AS prediction")
 
     def fake(df, features, ks, restarts, seed, max_iter):
         calls.append((ks, restarts, max_iter))
         # the rate of decrease falls most at 12
-        return {k: (Fitted(), 1e6 * 0.5 ** min(k, 11) * 0.99 ** max(0, k - 11)) for k in ks}
+        return {k: Fitted(1e6 * 0.5 ** min(k, 11) * 0.99 ** max(0, k - 11)) for k in ks}
 
     monkeypatch.setattr(cluster, "_least", fake)
     monkeypatch.setattr(catalogue.views, "table", lambda spark, d, name: spark.createDataFrame([(1, [0.0, 1.0])], "vec_id long, embedding array<float>"))

@@ -16,6 +16,7 @@ narrower bands, whose cores are longer, until few strings share one.
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
@@ -46,15 +47,16 @@ def reach(length: int) -> int:
     return length - gram_of(length) + 1
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Anchors of texts laid end to end: text index, place, first window, windows, hash, and digest of the surroundings.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, key: bytes = b"") -> dict[str, np.ndarray]:
+    """Anchors of texts laid end to end: text index, place, first window, windows, hash, and digest of the surroundings in two halves.
 
-    Hashes are polynomials over the mixed bits of each eight bytes on end.
+    The hash, which only proposes, is a polynomial over the mixed bits of each
+    eight bytes on end; surroundings are named by 128 bits of BLAKE2b.
     """
     n, k = len(data), gram_of(length)
     w = reach(length)
     if n < length:
-        return {c: np.zeros(0, np.int64) for c in ("text", "place", "first", "windows", "gram", "around")}
+        return {c: np.zeros(0, np.int64) for c in ("text", "place", "first", "windows", "gram", "around", "check")}
     up, down = powers(n + 1)
     wide = min(8, k)
     sums = np.zeros(n + 1, np.uint64)
@@ -78,29 +80,32 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
     stop = np.append(np.flatnonzero(valid[:-1] & (fresh[1:] | ~valid[1:])) + 1, count) if count > 1 else np.array([count])
     stop = stop[: len(first)]
     place = least[first]
-    span = (sums[stop + length - wide] - sums[first]) * down[first]
-    shape = (place - first).astype(np.uint64) << np.uint64(32) | (stop - first).astype(np.uint64)
+    shape = ((place - first).astype(np.uint64) << np.uint64(32) | (stop - first).astype(np.uint64)).tobytes()
+    raw, named = memoryview(data), hashlib.blake2b
+    spans = zip(first.tolist(), (stop + length - 1).tolist(), range(0, len(shape), 8), strict=True)
+    digest = b"".join([named(raw[a:b], digest_size=16, key=key, salt=shape[k : k + 8]).digest() for a, b, k in spans])
+    around = np.frombuffer(digest, np.int64).reshape(-1, 2)
     return {
         "text": np.searchsorted(ends, first, "right"), "place": place, "first": first, "windows": stop - first,
-        "gram": gram[place].view(np.int64), "around": mix(mix(span) ^ shape).view(np.int64),
+        "gram": gram[place].view(np.int64), "around": around[:, 0].copy(), "check": around[:, 1].copy(),
     }
 
 
-def text_anchors(texts: list[bytes], length: int):
+def text_anchors(texts: list[bytes], length: int, key: bytes):
     """``anchors`` of many texts, in parts: (texts' index, base offset in the text, bytes, anchors)."""
     short = [i for i, t in enumerate(texts) if length <= len(t) <= PIECE]
     for a, b in chunks([texts[i] for i in short], CHUNK):
         part = short[a:b]
         data = np.frombuffer(b"".join([texts[i] for i in part]), np.uint8)
         ends = np.cumsum([len(texts[i]) for i in part])
-        found = anchors(data, ends, length)
+        found = anchors(data, ends, length, key)
         begins = np.append(0, ends[:-1])
         yield np.array(part)[found["text"]], begins[found["text"]], data, found
     for i, t in enumerate(texts):
         if len(t) > PIECE:
             for at in range(0, len(t) - length + 1, PIECE):
                 data = np.frombuffer(t[at : at + PIECE + length - 1], np.uint8)
-                found = anchors(data, np.array([len(data)]), length)
+                found = anchors(data, np.array([len(data)]), length, key)
                 yield np.full(len(found["place"]), i), np.full(len(found["place"]), -at), data, found
 
 
@@ -248,16 +253,18 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, many: int)
     one, two = row_keys(keyed[id_col].cast("string"), keyed["hazeline_text"])
     keyed = keyed.select("*", one.alias("hazeline_k1"), two.alias("hazeline_k2"))
     long = keyed.where(F.octet_length("hazeline_text") >= length)
+    # a secret of this run, so that nobody can prepare texts whose digests agree in their first half
+    key = os.urandom(16)
 
     def scan(batches):
         for pdf in batches:
             k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
-            for index, begin, _, found in text_anchors([t.encode() for t in pdf["text"]], length):
+            for index, begin, _, found in text_anchors([t.encode() for t in pdf["text"]], length, key):
                 top, windows = (found["place"] - found["first"]).astype(np.int32), found["windows"].astype(np.int32)
-                yield pd.DataFrame({"k1": k1[index], "k2": k2[index], "place": found["place"] - begin, "top": top, "windows": windows, "gram": found["gram"], "around": found["around"]})
+                yield pd.DataFrame({"k1": k1[index], "k2": k2[index], "place": found["place"] - begin, "top": top, "windows": windows, "gram": found["gram"], "around": found["around"], "check": found["check"]})
 
     texts = long.select(F.col("hazeline_k1").alias("k1"), F.col("hazeline_k2").alias("k2"), F.col("hazeline_text").alias("text"))
-    every = spool(texts.mapInPandas(scan, "k1 long, k2 long, place long, top int, windows int, gram long, around long"), "anchors")
+    every = spool(texts.mapInPandas(scan, "k1 long, k2 long, place long, top int, windows int, gram long, around long, check long"), "anchors")
     # written, so that both sides of the join come from shuffles that Spark can split where one anchor is frequent
     again = spool(every.groupBy("gram").count().where("count > 1").select("gram"), "repeated")
     seen = spool(every.join(again, "gram"), "repeated-anchors")
@@ -265,8 +272,11 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, many: int)
 
     pick = F.xxhash64("k1", "k2", "place")
     distinct = seen.groupBy("gram", "around").agg(
-        F.count("*").alias("n"), F.min("top").alias("top"), F.min("windows").alias("windows"), *(F.min_by(c, pick).alias(c) for c in ("k1", "k2"))
+        F.count("*").alias("n"), F.min("top").alias("top"), F.min("windows").alias("windows"), (F.min("check") == F.max("check")).alias("_one"),
+        *(F.min_by(c, pick).alias(c) for c in ("k1", "k2")),
     )
+    # surroundings are joined by the first half of their digest; should that ever be the same for two, the run fails and never errs
+    distinct = distinct.withColumn("n", F.when(F.col("_one"), F.col("n")).otherwise(F.raise_error(F.lit("two surroundings share half a digest")).cast("long"))).drop("_one")
     distinct = spool(distinct, "surroundings")
     several = spool(distinct.groupBy("gram").count().withColumnRenamed("count", "kinds"), "kinds")
     alone = distinct.join(several.where("kinds = 1"), "gram").select("gram", "around", (F.col("top") - F.col("windows") + 1).alias("low"), F.col("top").alias("high"))
@@ -279,7 +289,7 @@ def _marked(docs: DataFrame, length: int, text_col: str, id_col: str, many: int)
             keys = np.concatenate(pdf["around"].to_numpy()).view(np.uint64) ^ mix(np.repeat(np.arange(len(pdf)), sizes))
             order = np.argsort(keys)
             keys, counts = keys[order], np.concatenate(pdf["n"].to_numpy())[order]
-            for index, _, data, found in text_anchors([t.encode() for t in pdf["text"]], length):
+            for index, _, data, found in text_anchors([t.encode() for t in pdf["text"]], length, key):
                 own = found["around"].view(np.uint64) ^ mix(index)
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == own)

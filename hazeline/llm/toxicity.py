@@ -42,16 +42,18 @@ THREATS = "kill hurt destroy beat attack burn murder punish töten schlagen tuer
 SEEDS = "idiot moron stupid scum trash loser pathetic disgusting worthless clown".split()
 SEED_WEIGHT = 4.0
 
-SIGNS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
+SIGNS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, COLON, LINE = range(10)
 #: What the transducers write besides signs: insults by kind, threats that are aimed, and clauses that held a match.
-NEGATED, REPORTED, TARGETED, AIMED, CLAUSE = range(8, 13)
-SYMBOLS = range(13)
-_QUOTES, _ENDS = '"“”«»', ".!?;:\n"
-_TOKEN = re.compile(r"[^\W\d_]+|[" + _ENDS + _QUOTES + "]")
+NEGATED, REPORTED, TARGETED, AIMED, CLAUSE = range(10, 15)
+SYMBOLS = range(15)
+#: Where a clause ends, and of these, where a sentence does.
+CLAUSE_ENDS, SENTENCE_ENDS = (END, COLON, LINE), (END, LINE)
+_QUOTES, _ENDS, _COLON, _LINE = '"“”«»', ".!?;", ":", "\n"
+_TOKEN = re.compile(r"[^\W\d_]+|[" + _ENDS + _COLON + _LINE + _QUOTES + "]")
 
 
 class Transducer:
-    """Deterministic: ``step`` maps (state, symbol) to (state, symbol written); ``start`` is 0, and a clause's end leads back to it."""
+    """Deterministic: ``step`` maps (state, symbol) to (state, symbol written); the start is 0, and a line's end leads back to it."""
 
     def __init__(self, states: int, step: dict[tuple[int, int], tuple[int, int]]):
         self.states, self.step = states, step
@@ -73,14 +75,17 @@ class Transducer:
 
 def _negation(left: int, s: int) -> tuple[int, int]:
     """A negation reaches over three signs; a negated threat is none."""
-    after = 0 if s == END else 3 if s == NEGATION else max(0, left - 1)
+    after = 0 if s in CLAUSE_ENDS else 3 if s == NEGATION else max(0, left - 1)
     return after, {INSULT: NEGATED, THREAT: OTHER}.get(s, s) if left else s
 
 
 def _reported(state: int, s: int) -> tuple[int, int]:
-    """Speech is reported from a verb of saying on, and between quotes; state: 1 reported, 2 quoted."""
-    after = 0 if s == END else state | 1 if s == REPORT else state ^ 2 if s == QUOTE else state
-    return after, REPORTED if state and s == INSULT else s
+    """Speech is reported from a verb of saying to the sentence's end, past colons, and between quotes, past sentences, to the line's end.
+
+    State: 1 reported, 2 quoted. All ends of clauses are the same for those that read on.
+    """
+    after = {END: state & 2, LINE: 0, REPORT: state | 1, QUOTE: state ^ 2}.get(s, state)
+    return after, REPORTED if state and s == INSULT else END if s in CLAUSE_ENDS else s
 
 
 def _targeted(state: int, s: int) -> tuple[int, int]:
@@ -106,10 +111,13 @@ FEATURES = ("plain", "targeted", "negated", "reported", "threats", "strongest",
 _ADDS = {INSULT: ("plain", True), TARGETED: ("targeted", True), NEGATED: ("negated", True), REPORTED: ("reported", True), AIMED: ("threats", False), CLAUSE: ("clauses", False)}
 
 
+def _parts() -> list[Transducer]:
+    return [Transducer.of(n, f) for n, f in ((4, _negation), (4, _reported), (2, _targeted), (2, _aimed), (2, _matched))]
+
+
 def _machine() -> dict[tuple[int, int], tuple[int, str | None, float, float]]:
     """The composed grammar as (state, sign) to (state, feature, weight a unit of the term's weight, weight besides)."""
-    parts = [Transducer.of(n, f) for n, f in ((4, _negation), (4, _reported), (2, _targeted), (2, _aimed), (2, _matched))]
-    whole = reduce(Transducer.then, parts)
+    whole = reduce(Transducer.then, _parts())
     out = {}
     for (q, s), (after, written) in whole.step.items():
         if s in SIGNS:
@@ -119,6 +127,8 @@ def _machine() -> dict[tuple[int, int], tuple[int, str | None, float, float]]:
 
 
 MACHINE = _machine()
+#: The state at a sentence's start within quotes.
+QUOTED = MACHINE[0, QUOTE][0]
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -130,7 +140,7 @@ class Grammar:
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
-        closed = ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (_QUOTES, QUOTE), (_ENDS, END))
+        closed = ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (_QUOTES, QUOTE), (_ENDS, END), (_COLON, COLON), (_LINE, LINE))
         self.closed = {w: (sign, 0.0) for ws, sign in closed for w in ws}
         self.seen: dict[str, tuple[int, float]] = {}
 
@@ -152,17 +162,20 @@ class Grammar:
 
     @staticmethod
     def of_signs(signs: list[tuple[int, float]]) -> list[float]:
-        """Runs the machine over the clauses that hold an insult or a threat; all others add nothing and lead back to its start."""
+        """Runs the machine over the sentences that hold an insult or a threat; of all others only the quotes of a line count."""
         out = dict.fromkeys(FEATURES, 0.0)
-        n, done = len(signs), -1
+        n, done, at, quoted = len(signs), -1, 0, False
         for h in [i for i, (s, _) in enumerate(signs) if s in (INSULT, THREAT)]:
             if h <= done:
                 continue
             i = h
-            while i > 0 and signs[i - 1][0] != END:
+            while i > 0 and signs[i - 1][0] not in SENTENCE_ENDS:
                 i -= 1
-            state, s = 0, OTHER
-            while s != END:
+            for s, _ in signs[at:i]:
+                quoted = s != LINE and quoted != (s == QUOTE)
+            at = i
+            state, s = QUOTED if quoted else 0, OTHER
+            while s not in SENTENCE_ENDS:
                 s, w = signs[i] if i < n else (END, 0.0)
                 state, feature, by_term, besides = MACHINE[state, s]
                 if feature:

@@ -65,6 +65,46 @@ def brute_repeats(docs, length):
     return sorted(out, key=str)
 
 
+def colliding_texts():
+    """Two texts that share no 400 bytes, but whose polynomial sums modulo 2**64 over mixed eight-byte windows are equal.
+
+    Units of eight free and eight fixed bytes stand in the order of Thue and
+    Morse, and in the opposite one, so that the sums differ by a multiple of
+    2**30; a birthday search finds two units that make up for the rest.
+    """
+    rnd = np.random.default_rng(7)
+    fixed = np.frombuffer(b"~fixed8~", np.uint8)
+    free = rnd.integers(97, 123, (400_000, 8), np.uint8)
+    units = np.concatenate([np.broadcast_to(fixed, free.shape), free, np.broadcast_to(fixed, free.shape)], axis=1)
+    up, _ = arrays.powers(64)
+    sums = sum(arrays.mix(np.ascontiguousarray(units[:, k : k + 8]).view(np.uint64).ravel()) * up[k] for k in range(1, 16))
+    low = sums & np.uint64((1 << 34) - 1)
+    order = np.argsort(low)
+    pair = next((order[k], order[k + 1]) for k in np.flatnonzero(low[order[1:]] == low[order[:-1]]) if (free[order[k]] != free[order[k + 1]]).any())
+    a, b = (bytes(free[k]) + bytes(fixed) for k in pair)
+    turns = [bin(k).count("1") % 2 for k in range(16)]
+    middle = [b"~fixed8~" + b"".join((b if t ^ flip else a) for t in turns) for flip in (0, 1)]
+    at = lambda t: suffix_dedup.anchors(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), 400)["place"].min()
+    while True:  # until the anchors of both lie in what they share
+        ends = bytes(rnd.integers(97, 123, 144, np.uint8))
+        texts = [(m + ends).decode() for m in middle]
+        if min(map(at, texts)) >= len(middle[0]):
+            break
+    wide = [np.frombuffer(t.encode() + bytes(8), np.uint8) for t in texts]
+    full = [(arrays.mix(arrays.eights_of(w)[: len(t) - 7]) * arrays.powers(len(t))[0][: len(t) - 7]).sum() for w, t in zip(wide, texts, strict=True)]
+    assert texts[0] != texts[1] and full[0] == full[1]
+    return texts
+
+
+def test_suffix_dedup_of_colliding_sums(spark):
+    """Strings are told apart by strong digests: nothing goes that doesn't repeat, whatever the sums."""
+    one, two = colliding_texts()
+    for ends in ("", "xyz"):
+        docs = [(1, one + ends, "s"), (2, two + ends, "s"), (3, "y" * 30 + one + ends, "s")]
+        assert rows(suffix_dedup.removals(table(spark, docs[:2])), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+        assert rows(suffix_dedup.removals(table(spark, docs)), *REPEATS) == brute_repeats([(i, t) for i, t, _ in docs], 400)
+
+
 REPEATS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -600,41 +640,42 @@ def test_grammar_tells_clauses_apart():
     assert value('he wrote "idiot" there')["reported"] > 0 and value("an idiot")["plain"] > 0
     assert value("i will hurt you")["threats"] > 0 == value("hurt")["threats"]
     assert value("not here. an idiot")["negated"] == 0
+    for text in ("she said you idiot", "she said: you idiot", '"Leave now. You idiot." she said', '"Leave. Now: you idiot" he wrote. Fine.'):
+        found = value(text)
+        assert found["reported"] > 0 == found["targeted"] and found["plain"] == 0
+    for text in ('"Leave now." You idiot.', 'He said: "leave". You idiot.', '"no end of this\nyou idiot', "she said it. you idiot"):
+        found = value(text)
+        assert found["targeted"] > 0 == found["reported"]
 
 
-_SIGN_NAMES = dict(zip(toxicity.SIGNS, ("other", "insult", "threat", "target", "negation", "report", "quote", "end"), strict=True))
+_SIGN_NAMES = dict(zip(toxicity.SIGNS, ("other", "insult", "threat", "target", "negation", "report", "quote", "end", "colon", "line"), strict=True))
 
 
 def brute_features(signs):
-    """The rules of the grammar in words, clause by clause, without any machine."""
-    out, weight = Counter(), 0.0
-    clauses = [[]]
-    for s, w in signs:
-        if _SIGN_NAMES[s] == "end":
-            clauses.append([])
-        else:
-            clauses[-1].append((_SIGN_NAMES[s], w))
-    for clause in clauses:
-        names, matched = [s for s, _ in clause], False
-        for i, (s, w) in enumerate(clause):
-            before = names[:i]
-            negated = "negation" in names[max(0, i - 3) : i]
-            reported = "report" in before or before.count("quote") % 2 == 1
-            targeted = "target" in before
-            if s == "insult":
-                matched, weight = True, weight + w
-                out["negated" if negated else "reported" if reported else "targeted" if targeted else "plain"] += w
-                out["strongest"] = max(out["strongest"], w)
-            elif s == "threat" and not negated and (targeted or names[i + 1 : i + 2] == ["target"]):
-                matched = True
-                out["threats"] += 1
-        out["clauses"] += matched
+    """The rules of the grammar in words, sign by sign, without any machine."""
+    names = [_SIGN_NAMES[s] for s, _ in signs]
+    since = lambda i, ends: max([k + 1 for k in range(i) if names[k] in ends], default=0)
+    out, weight, matched = Counter(), 0.0, set()
+    for i, (name, (_, w)) in enumerate(zip(names, signs, strict=True)):
+        clause, sentence, line = since(i, ("end", "colon", "line")), since(i, ("end", "line")), since(i, ("line",))
+        negated = "negation" in names[max(clause, i - 3) : i]
+        reported = "report" in names[sentence:i] or names[line:i].count("quote") % 2 == 1
+        targeted = "target" in names[clause:i]
+        if name == "insult":
+            matched.add(clause)
+            weight += w
+            out["negated" if negated else "reported" if reported else "targeted" if targeted else "plain"] += w
+            out["strongest"] = max(out["strongest"], w)
+        elif name == "threat" and not negated and (targeted or names[i + 1 : i + 2] == ["target"]):
+            matched.add(clause)
+            out["threats"] += 1
+    out["clauses"] = len(matched)
     out["density"] = weight / np.sqrt(len(signs) + 1)
     return [np.log1p(out[k]) for k in toxicity.FEATURES]
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.lists(st.sampled_from(toxicity.SIGNS), max_size=25))
+@given(st.lists(st.sampled_from(toxicity.SIGNS), max_size=30))
 def test_machine_against_the_rules_in_words(signs):
     signs = [(s, 1.5 + i % 3 if s == toxicity.INSULT else 0.0) for i, s in enumerate(signs)]
     assert np.allclose(toxicity.Grammar.of_signs(signs), brute_features(signs), rtol=1e-12)

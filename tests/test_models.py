@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.operators import boosting, convolution, features, metrics
+from hazeline.operators import boosting, cluster, convolution, grouped, metrics
 
 # --- convolutional network
 
@@ -163,3 +163,115 @@ def test_boosting_finds_the_planted_feature(spark):
     for odd in (df.where("fog = 0"), df.limit(0)):
         flat = boosting.fit(odd, ["a", "b"], rounds=3)
         assert all(t.feature == [-1] for t in flat.trees)
+
+
+# --- logistic regressions of all groups
+
+
+def exact_logistic(x, y, c=1.0):
+    """Intercept and coefficients of one balanced regression on scaled columns, by many small-step Newton iterations."""
+    dev = x.std(axis=0)
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / np.where(dev > 0, dev, 1)])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    beta, pull = np.zeros(z.shape[1]), np.append(0, np.full(x.shape[1], 1 / c))
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-z @ beta))
+        beta -= np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.diag(pull), z.T @ (w * (q - y)) + pull * beta)
+    return beta
+
+
+def grouped_rows(seed, groups):
+    rnd = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        width = 1 + g % 3
+        for _ in range(60 if g else 900):  # the first group holds most rows
+            x = [rnd.gauss(g, 1 + g) for _ in range(width)]
+            rows.append((f"l{g}" if g != 1 else None, "v", x, int(x[0] - g + rnd.gauss(0, 1) > 0.5)))
+    return rows
+
+
+def test_groups_agree_with_single_fits(spark):
+    rows = grouped_rows(1, 6)
+    odd = [("l2", "v", None, 1), ("l2", "v", [1.0, None, 2.0], 0), ("l2", "v", [1.0, 2.0, 3.0], None)]
+    df = spark.createDataFrame(rows + odd, "location string, variant string, x array<double>, fog int").repartition(5)
+    fitted = grouped.fit_logistic(df, ["location", "variant"]).collect()
+    assert len(fitted) == 6
+    for r in fitted:
+        mine = [(x, y) for place, _, x, y in rows if place == r["location"]]
+        want = exact_logistic(np.array([x for x, _ in mine]), np.array([y for _, y in mine], float))
+        assert r["n"] == len(mine) and np.allclose([r["intercept"], *r["coefficients"]], want, atol=1e-6)
+
+
+def test_grouped_scores(spark):
+    df = spark.createDataFrame(grouped_rows(2, 3), "location string, variant string, x array<double>, fog int")
+    out = grouped.scored(df, grouped.fit_logistic(df, ["location"]), ["location"])
+    assert out.columns == [*df.columns, "score"] and out.count() == df.count()
+    assert all(r["auc"] > 0.7 for r in metrics.roc_auc(out, ["location"]).collect())
+    assert grouped.fit_logistic(df.limit(0), ["location"]).count() == 0
+
+
+def test_jobs_do_not_grow_with_groups(spark):
+    counts = []
+    for groups in (2, 12):
+        df = spark.createDataFrame(grouped_rows(3, groups), "location string, variant string, x array<double>, fog int")
+        spark.sparkContext.setJobGroup(f"groups-{groups}", "")
+        grouped.fit_logistic(df, ["location"], steps=3, tol=0.0).collect()
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"groups-{groups}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] > 0 and abs(counts[0] - counts[1]) <= 2
+
+
+def test_experiments_of_all_locations(spark):
+    from hazeline.operators import experiments
+
+    rnd = random.Random(6)
+    rows = [(f"l{k % 3}", k % 5 == 0, rnd.random(), rnd.random()) for k in range(900)] + [("small", True, 0.1, 0.1)] * 30
+    df = spark.createDataFrame(rows, "location string, late boolean, a double, b double").withColumn("fog", (F.col("a") + F.col("b") / 10 > 0.7).cast("int"))
+    for threshold in (0.5, None):
+        flat, told = experiments.run_logistic({"both": df, "one": df.drop("b")}, {"both": ["a", "b"], "one": ["a"]}, F.col("late"), threshold=threshold)
+        found = {(r["location"], r["variant"], r["metric"]): r["value"] for r in flat.collect()}
+        assert len(found) == 3 * 2 * 5 and all(v > 0.9 for k, v in found.items() if k[2] == "auc")
+    gains = {(r["location"], r["variant"], r["feature"]): r["importance_pct"] for r in told.collect()}
+    assert len(gains) == 9 and gains["l0", "one", "a"] == pytest.approx(100) and gains["l1", "both", "a"] > 70
+
+
+# --- k-means
+
+
+def plain_lloyd(x, centers, max_iter):
+    for _ in range(max_iter):
+        at = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([x[at == c].mean(axis=0) if (at == c).any() else centers[c] for c in range(len(centers))])
+        done = ((new - centers) ** 2).sum(axis=1).max() <= 1e-8
+        centers = new
+        if done:
+            break
+    return ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+@pytest.mark.parametrize("max_iter", [2, 50])
+def test_fits_that_move_together_agree_with_single_ones(spark, max_iter):
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(300, 4)) + rnd.integers(0, 4, (300, 1)) * 3
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    starts = [cluster.plus_plus(x, k, s) for k in (2, 3, 5) for s in (1, 2)] + [np.full((2, 4), 1e6)]
+    for fit, start in zip(cluster.lloyd(df, "v", starts, max_iter), starts, strict=True):
+        assert fit.cost == pytest.approx(plain_lloyd(x, start, max_iter))
+    got = cluster.lloyd(df, "v", starts[:1])[0]
+    assert {r["prediction"] for r in got.transform(df).collect()} == {0, 1}
+
+
+# --- perceptron
+
+
+def test_first_layer_of_a_perceptron(spark):
+    """A feature that decides the label has the largest weights, wherever it stands."""
+    from hazeline.operators import models
+
+    rnd = random.Random(9)
+    rows = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(400)]
+    for place in (0, 3):
+        df = spark.createDataFrame([(r, int(r[place] + r[4 + place] > 0)) for r in rows], "v array<double>, fog int").withColumn("features", models.array_to_vector("v"))
+        net = models.sequence_net(df, 8, hidden=(3,), epochs=60)
+        assert models.importance(net, ["a", "b", "c", "d"], spark).orderBy(F.desc("importance")).first()["feature"] == "abcd"[place]

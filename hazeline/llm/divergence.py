@@ -32,11 +32,11 @@ PRIOR, UNIT = 5, 1_000_000_000
 #: Candidates of a source.
 TOP = 50
 #: Leaves of a trie in memory; a fuller one is written out and a new one begun.
-LEAVES = 500_000
+LEAVES = 250_000
 #: Rows that walks are merged by (about).
 MERGED = 100_000
 #: Characters cut into terms at a time in a task.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Sources of a tile, and kept counts of a slice of terms (both about): a task compares two tiles over a slice.
 TILE, SLICE = 256, 100_000
 #: Terms whose rates are compared at a time.

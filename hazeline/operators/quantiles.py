@@ -2,9 +2,13 @@
 
 A sketch of bounded size brackets each quantile's rank. In a second pass, values
 inside a bracket (a thousandth of a large group) are counted one by one, all
-others only by the gap between brackets that they lie in. A window over these
-few counts finds the ranks. So no task holds a group, and nothing comes to the
-driver. Should a sketch ever miss, the query fails; it never answers wrong.
+others only by the gap between brackets that they lie in. Where a group may
+still hold too many values, its brackets are cut into segments again, and only
+segments with a wanted rank keep their values: each round leaves a twentieth. A
+window over the few counts left finds the ranks. So no task holds a group, and
+the driver sees two numbers: the rows of the largest group and the values that a
+group still holds. Should a sketch ever miss, the query fails; it never answers
+wrong.
 """
 
 from __future__ import annotations
@@ -15,18 +19,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazeline.sources.shared import spool
+
 #: Of the sketch: its rank error is at most one in so many; brackets are a few times as wide.
 ACCURACY = 10_000
 MARGIN = 5 / ACCURACY
 #: Values up to which a group's bracket is all of it.
 WHOLE = 20_000
+#: Values of one group that a window takes; brackets that hold more are cut again.
+HELD = 100_000
+#: Segments for each wanted rank that brackets are cut into.
+SEGMENTS = 20
 
 
 def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], value: str = "value", others: dict[str, Column] | None = None) -> DataFrame:
     """The keys, ``others`` (aggregates by name) and _q, the quantiles ``ps`` (ascending) of each group; nulls and NaN are skipped.
 
     In ``others``, _v is the value. Null keys are groups, too; a group without
-    values has null quantiles.
+    values has null quantiles. The sketches are made at once, the rest when the
+    result is read, but for rounds of narrowing.
     """
     others = others or {}
     v = F.col(value).cast("double")
@@ -35,7 +46,7 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
 
     ends = [x for p in ps for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(ACCURACY))
-    groups = rows.groupBy("_k").agg(F.count("_v").alias("_total"), sketch.alias("_ends"), *(a.alias(n) for n, a in others.items()))
+    groups = spool(rows.groupBy("_k").agg(F.count("_v").alias("_total"), sketch.alias("_ends"), *(a.alias(n) for n, a in others.items())), "sketches")
 
     def end(i: int) -> Column:
         """The i-th end of the brackets: infinite at the ends of the range, and for small groups."""
@@ -52,6 +63,10 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
     passed = sum((F.coalesce((F.col(f"_end{2 * j + 1}") < x).cast("int"), F.lit(0)) for j in range(len(ps))), F.lit(0))
     carried = ["_total", *others]
     counts = both.groupBy("_k", passed.alias("_gap"), held.alias("_w")).agg(F.count("_v").alias("_n"), *(F.first(c).alias(c) for c in carried))
+    ranks = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
+    largest = groups.agg(F.max("_total")).first()[0] or 0
+    if largest > WHOLE and largest * len(ps) * (2 * MARGIN + 2 / ACCURACY) > HELD:
+        counts = _narrowed(counts, ranks, carried)
 
     # what passed as many brackets and lies in none comes before what lies in the next one
     order = W.partitionBy("_k").orderBy("_gap", F.col("_w").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
@@ -60,7 +75,6 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_w")))
 
-    ranks = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
     picked = [at(f(r)).alias(f"_{name}{j}") for j, r in enumerate(ranks) for name, f in (("low", F.floor), ("high", F.ceil))]
     found = ranked.groupBy("_k").agg(*picked, *(F.first(c).alias(c) for c in carried))
 
@@ -73,6 +87,42 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
     return found.select(*(F.col(f"_k.{c}").alias(c) for c in keys), *others, F.array(*map(quantile, range(len(ps)))).alias("_q"))
 
 
+def _narrowed(counts: DataFrame, ranks: Sequence[Column], carried: Sequence[str]) -> DataFrame:
+    """The counts, with so many of them added up that no group holds over HELD values."""
+    bound = max(HELD, 4 * len(ranks))
+    while True:
+        counts = spool(counts, "bracket-counts")
+        held = counts.groupBy("_k").agg(F.count("_w").alias("held")).agg(F.max("held")).first()[0]
+        if (held or 0) <= bound:
+            return counts
+        counts = _cut(counts, ranks, carried, bound)
+
+
+def _cut(counts: DataFrame, ranks: Sequence[Column], carried: Sequence[str], bound: int) -> DataFrame:
+    """One round: values of segments in which no rank lies are added up, the others kept one by one."""
+    parts = SEGMENTS * 2 * len(ranks)
+    grid = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    sketch = F.percentile_approx("_w", grid, F.lit(max(ACCURACY, 10 * parts)))
+    pivots = counts.groupBy("_k").agg(F.count("_w").alias("_held"), sketch.alias("_pivots")).where(F.col("_held") > bound).drop("_held")
+    below = F.when(F.col("_pivots").isNull(), 0).otherwise(F.size(F.filter("_pivots", lambda p: p < F.col("_w"))))
+    cut = counts.join(pivots, "_k", "left").withColumn("_segment", F.when(F.col("_w").isNull(), -1).otherwise(below)).drop("_pivots")
+
+    # a group has few segments: those of earlier rounds, and the new ones of each wanted rank
+    sums = cut.groupBy("_k", "_gap", "_segment").agg(F.sum("_n").alias("_n"), *(F.first(c).alias(c) for c in carried))
+    order = W.partitionBy("_k").orderBy("_gap", "_segment")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_before", before).withColumn("_place", F.row_number().over(order))
+    wanted = F.lit(False)
+    for rank in (f(r) for r in ranks for f in (F.floor, F.ceil)):
+        wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")))
+    sums = sums.withColumn("_wanted", wanted & (F.col("_segment") >= 0))
+
+    none = F.lit(None).cast("double").alias("_w")
+    added = sums.where(~F.col("_wanted")).select("_k", F.col("_place").alias("_gap"), none, "_n", *carried)
+    kept = cut.join(sums.where("_wanted").select("_k", "_gap", "_segment", "_place"), ["_k", "_gap", "_segment"])
+    return added.unionByName(kept.select("_k", F.col("_place").alias("_gap"), "_w", "_n", *carried))
+
+
 def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row (for each group) with the median of each column; nulls are skipped."""
     long = df.select(*by, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(list(by), list(cols), "_feature", "_value")

@@ -81,6 +81,37 @@ def test_quantiles_agree_with_numpy(spark, monkeypatch, whole):
     assert {r["g"]: r["value"] for r in quantiles.medians(df, ["value"], ["g"]).collect()}["ties"] == 2.0
 
 
+def test_brackets_of_giant_groups_are_cut_again(spark, monkeypatch):
+    """With lowered bounds brackets hold 60 % of a group: three rounds until no window takes over 40 values, the same quantiles."""
+    ps = [0.0, 0.3, 0.5, 1.0]
+    monkeypatch.setattr(quantiles, "WHOLE", 10)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.3)
+    monkeypatch.setattr(quantiles, "HELD", 40)
+    monkeypatch.setattr(quantiles, "SEGMENTS", 2)
+    held = []
+    cut, narrowed = quantiles._cut, quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_cut", lambda counts, *rest: held.append(counts.count()) or cut(counts, *rest))
+    left = []
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *args: left.append(narrowed(*args)) or left[0])
+    rng = np.random.default_rng(3)
+    groups = {
+        "spread": rng.standard_normal(9000).tolist(), "tied": [*([5.0] * 4000), *rng.random(2000).tolist(), *(6 + rng.random(2000)).tolist()],
+        "ends": [float("-inf")] * 30 + rng.random(300).tolist() + [float("inf")] * 30, "few": [1.0, 2.0], None: [4.0, None, float("nan")], "none": [None],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, value double")
+    got = {r["g"]: r["_q"] for r in quantiles.summarised(df, ["g"], ps).collect()}
+    assert len(held) >= 3 and held == sorted(held, reverse=True)
+    assert left[0].groupBy("_k").agg(F.count("_w").alias("n")).agg(F.max("n")).first()[0] <= 40
+    assert left[0].agg(F.sum("_n")).first()[0] == sum(x is not None and x == x for xs in groups.values() for x in xs)
+    assert got.keys() == groups.keys() and got["none"] == [None] * 4
+    for g, xs in groups.items():
+        xs = sorted(x for x in xs if x is not None and x == x)
+        for p, q in zip(ps, got[g] if xs else (), strict=bool(xs)):
+            low, high = xs[int(np.floor(p * (len(xs) - 1)))], xs[int(np.ceil(p * (len(xs) - 1)))]
+            want = low if low == high else low + (high - low) * (p * (len(xs) - 1) % 1)
+            assert q == want or abs(q - want) <= 1e-12, (g, p)
+
+
 def test_describe_rollup_reads_its_input_once(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, None), (None, 1, 6.0)], "location string, year int, x double")
     out = {(r["location"], r["year"]): r for r in stats.describe_rollup(df, ["x"], ["location", "year"]).collect()}

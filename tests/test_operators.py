@@ -179,6 +179,31 @@ def test_asof_agrees_with_pandas_across_buckets(spark):
     assert sorted(got["v"].fillna(-1)) == sorted(want["v"].fillna(-1))
 
 
+@pytest.mark.parametrize(("by", "tie"), [(("k",), asof.BACKWARD), (("k",), asof.FIRST), ((), asof.BACKWARD), ((), asof.FIRST)])
+def test_asof_blocks_agree_with_buckets(spark, monkeypatch, by, tie):
+    """Hot times on both sides, repeated rows, null keys and times: blocks give the rows that buckets give, and no block holds most of them."""
+    rng = np.random.default_rng(5)
+    at = lambda n, hot: [None if x < 0.02 else t("01 03:00") if x < hot else t("01 00:00") + dt.timedelta(seconds=int(x * 20_000)) for x in rng.random(n)]
+    keys = lambda n: [None if x < 0.1 else "hot" if x < 0.7 else "b" for x in rng.random(n)]
+    left = spark.createDataFrame([*zip(keys(900), at(900, 0.4), [i // 2 for i in range(900)], strict=True)], "k string, time timestamp_ntz, i int")
+    left = left.unionByName(left.limit(300))
+    right = spark.createDataFrame([*zip(keys(300), at(300, 0.3), range(300), strict=True)], "k string, seen timestamp_ntz, seq int")
+
+    def rows():
+        return sorted(map(str, asof.nearest(left, right, ["seq"], 3, by=by, right_on="seen", tie=tie, order=["seq"], bucket_hours=1).collect()))
+
+    want = rows()
+    sizes = []
+    spool = asof.spool
+    monkeypatch.setattr(asof, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(asof, "spool", lambda df, name: sizes.append(spool(df, name)) or sizes[-1])
+    assert rows() == want and len(want) == 1200
+    blocks = [r["count"] for r in sizes[0].groupBy("_block").count().collect()]
+    assert len(blocks) == 4 and max(blocks) < 0.4 * sum(blocks)
+    empty = right.limit(0)
+    assert asof.nearest(left, empty, ["seq"], 3, by=by, right_on="seen", tie=tie, order=["seq"]).where("seq IS NULL").count() == 1200
+
+
 def test_variants_and_guards(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, None), ("b", 3.0, 1.0)], "location string, x double, pm10 double")
     parts = variants.variants(df, ["pm10"])

@@ -1,7 +1,8 @@
 """Hourly archive answers (JSON with one array for each variable) as rows, and an HTTP source for them.
 
 ``hourly_rows`` works on any column of answers, so tests and backfills read
-files; the data source fetches each (location, year) by HTTP.
+files; the data source fetches each (location, year) by HTTP, only those that a
+filter on location or time lets through.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ import logging
 import time as clock
 import urllib.parse
 import urllib.request
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TIMEOUT_S, PAUSE_S = 120, 4
 
@@ -51,32 +54,48 @@ class ArchiveReader(DataSourceReader):
     ``pause`` seconds pass between requests of the whole job: with ``tasks``
     parallel tasks, 1 by default, each waits that many times as long. A year
     that can't be had or read fails the job if ``on_error`` is "fail"; by
-    default it is skipped with a warning in the task's log.
+    default it is skipped with a warning in the task's log, and if the schema has
+    a text column ``error``, with a row that holds the place, the year's first
+    hour and what went wrong. A request that fails is made ``retries`` times
+    more, none by default. With ``pushdown`` "true", places and years that
+    filters on location and time rule out are never asked for.
     """
 
     def __init__(self, schema: T.StructType, options: dict):
-        self.variables = [f.name for f in schema.fields if f.name not in ("location", "time")]
+        self.schema = schema
+        self.variables = [f.name for f in schema.fields if f.name not in ("location", "time", "error")]
+        self.places: set[str] | None = None
+        self.least, self.most = float("-inf"), float("inf")
         self.options = dict(options)
         self.tasks = int(self.options.get("tasks", 1))
 
-    def partitions(self) -> list[YearsPart]:
+    def requests(self) -> list[tuple[str, str, str, int]]:
+        """(place, latitude, longitude, year) of all answers that are wanted, by place."""
         first, _, last = self.options["years"].partition("-")
         places = [p.split(":") for p in self.options["places"].split(";")]
-        every = [(*p, year) for p in places for year in range(int(first), int(last or first) + 1)]
-        return [YearsPart(every[i :: self.tasks]) for i in range(min(self.tasks, len(every)))]
+        years = [y for y in range(int(first), int(last or first) + 1) if self.least <= y <= self.most]
+        return [(*p, year) for p in places if self.places is None or p[0] in self.places for year in years]
+
+    def partitions(self) -> list[YearsPart]:
+        every = self.requests()
+        return [YearsPart(every[i :: self.tasks]) for i in range(min(self.tasks, len(every)))] or [YearsPart([])]
 
     def read(self, part: YearsPart):
         for place, latitude, longitude, year in part.requests:
-            try:
-                rows = list(self.rows(place, self.fetch(latitude, longitude, year)))
-            except (OSError, ValueError, TypeError, AttributeError) as e:  # no answer, or none in the form agreed
-                if self.options.get("on_error", "skip") == "fail":
-                    raise
-                logging.getLogger(__name__).warning("%s in %d is skipped: %s", place, year, e)
-                continue
-            finally:
-                clock.sleep(float(self.options.get("pause", PAUSE_S)) * self.tasks)
-            yield from rows
+            for left in reversed(range(1 + int(self.options.get("retries", 0)))):
+                try:
+                    found = self.batch(place, self.fetch(latitude, longitude, year))
+                    break
+                except (OSError, ValueError, TypeError, AttributeError) as e:  # no answer, or none in the form agreed
+                    if left:
+                        continue
+                    if self.options.get("on_error", "skip") == "fail":
+                        raise
+                    logging.getLogger(__name__).warning("%s in %d is skipped: %s", place, year, e)
+                    found = self.batch(place, {"time": [f"{year}-01-01T00:00"]} if "error" in self.schema.names else {}, f"{type(e).__name__}: {e}")
+                finally:
+                    clock.sleep(float(self.options.get("pause", PAUSE_S)) * self.tasks)
+            yield found
 
     def fetch(self, latitude: str, longitude: str, year: int) -> dict:
         query = {
@@ -86,11 +105,35 @@ class ArchiveReader(DataSourceReader):
         with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(query)}", timeout=TIMEOUT_S) as answer:
             return json.load(answer).get("hourly") or {}
 
-    def rows(self, place: str, hourly: dict):
-        times = hourly.get("time") or []
-        columns = [hourly.get(v) or [None] * len(times) for v in self.variables]
-        for i, t in enumerate(times):
-            yield (place, datetime.fromisoformat(t), *(None if c[i] is None else float(c[i]) for c in columns))
+    def batch(self, place: str, hourly: dict, error: str | None = None) -> pa.RecordBatch:
+        """An answer's hours in the columns of the schema; variables that it lacks are null."""
+        times = [datetime.fromisoformat(t) for t in hourly.get("time") or []]
+        columns = {v: [None if x is None else float(x) for x in (hourly.get(v) or [None] * len(times))[: len(times)]] for v in self.variables}
+        columns = columns | {"location": [place] * len(times), "time": times, "error": [error] * len(times)}
+        kinds = to_arrow_schema(self.schema)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kinds], schema=kinds)
+
+
+class FilteredArchiveReader(ArchiveReader):
+    """A reader that takes over filters. Spark refuses it unless spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Take over filters on location; those on time give years to ask for, and Spark still applies them to the rows."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("location",) and isinstance(f, EqualTo | In):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.places = named if self.places is None else self.places & named
+                continue
+            value = getattr(f, "value", None)
+            if column == ("time",) and isinstance(value, datetime) and value.tzinfo is None:
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.least = max(self.least, value.year)
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    # what comes before the first moment of a year lies in the year before
+                    start = isinstance(f, LessThan) and value == datetime(value.year, 1, 1)
+                    self.most = min(self.most, value.year - start)
+            yield f
 
 
 class HourlyArchive(DataSource):
@@ -104,4 +147,5 @@ class HourlyArchive(DataSource):
         return "location string, time timestamp_ntz"
 
     def reader(self, schema: T.StructType) -> ArchiveReader:
-        return ArchiveReader(schema, self.options)
+        pushed = self.options.get("pushdown", "false").lower() == "true"
+        return (FilteredArchiveReader if pushed else ArchiveReader)(schema, self.options)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -74,3 +75,14 @@ def write_importance(found: DataFrame, path: str) -> None:
 def counters(df: DataFrame, **conditions) -> DataFrame:
     """Row count and counts of named conditions, in one row."""
     return df.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+
+
+def counted(df: DataFrame, write: Callable[[DataFrame], None], **conditions: Column) -> dict[str, int]:
+    """The same counts, taken while ``write`` writes ``df``: no second job, and no second reading of its sources.
+
+    Counts are those of the tasks whose output stays; all are 0 for an empty
+    table. ``write`` must run one job that uses all of ``df``.
+    """
+    watch = Observation()
+    write(df.observe(watch, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items())))
+    return watch.get

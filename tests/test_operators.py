@@ -330,6 +330,10 @@ def test_archive_answers(spark):
     assert [[r[0] + str(r[3]) for r in p.requests] for p in reader("9").partitions()] == [["a2020"], ["a2021"], ["b2020"], ["b2021"]]
 
 
+#: What the server of a test was asked for: (latitude, year).
+ASKED: dict[str, list] = {}
+
+
 @pytest.fixture
 def server():
     """An archive that answers like the real one, fails for 2021 and answers no JSON for 2022."""
@@ -338,6 +342,7 @@ def server():
         def do_GET(self):
             asked = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(self.path).query))
             year = asked["start_date"][:4]
+            found.asked.append((asked["latitude"], int(year)))
             self.send_response(500 if year == "2021" else 200)
             self.end_headers()
             hours = {"time": [f"{year}-01-01T00:00", f"{year}-01-01T01:00"], "pm10": [float(asked["latitude"]), None]}
@@ -347,7 +352,9 @@ def server():
             pass
 
     found = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    found.asked = []
     threading.Thread(target=found.serve_forever, daemon=True).start()
+    ASKED["requests"] = found.asked
     yield f"http://127.0.0.1:{found.server_port}/archive"
     found.shutdown()
 
@@ -366,6 +373,49 @@ def test_archive_source(spark, server):
             rows(year, on_error="fail").collect()
 
 
+def test_archive_source_asks_only_for_what_filters_let_through(spark, server):
+    spark.dataSource.register(archive.HourlyArchive)
+    options = {"url": server, "places": "a:1:2;b:3:4;c:5:6", "pause": "0", "years": "2014-2020", "pushdown": "true"}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    try:
+        df = spark.read.format("hourly_archive").schema("location string, time timestamp_ntz, pm10 double").options(**options).load()
+
+        def asked(where):
+            ASKED["requests"].clear()
+            rows = [(r["location"], r["time"].year) for r in df.where(where).where("hour(time) = 0").collect()]
+            return sorted(ASKED["requests"]), sorted(rows)
+
+        between = "time >= timestamp_ntz'2016-05-01' AND time < timestamp_ntz'2019-01-01'"
+        assert asked(f"location = 'b' AND {between}") == ([("3", y) for y in (2016, 2017, 2018)], [("b", 2017), ("b", 2018)])
+        assert asked("location IN ('a', 'c') AND time = timestamp_ntz'2015-01-01'") == ([("1", 2015), ("5", 2015)], [("a", 2015), ("c", 2015)])
+        assert asked("location = 'a' AND time > timestamp_ntz'2019-12-31' AND time <= timestamp_ntz'2020-01-01'") == ([("1", 2019), ("1", 2020)], [("a", 2020)])
+        assert asked("location = 'nowhere'") == ([], []) and len(asked("pm10 > 0")[0]) == 21
+        assert asked("location = 'a' AND location = 'b'") == ([], [])
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_archive_source_gives_failed_years_as_rows(spark, server):
+    spark.dataSource.register(archive.HourlyArchive)
+    options = {"url": server, "places": "a:1:2", "pause": "0", "years": "2020-2023", "retries": "2"}
+    df = spark.read.format("hourly_archive").schema("error string, location string, time timestamp_ntz, pm10 double").options(**options).load()
+    ASKED["requests"].clear()
+    rows = sorted((r["time"], r["location"], r["pm10"], r["error"] and r["error"].split(":")[0]) for r in df.where("hour(time) = 0").collect())
+    first = [dt.datetime(y, 1, 1) for y in (2020, 2021, 2022)]
+    assert rows == [(first[0], "a", 1.0, None), (first[1], "a", None, "HTTPError"), (first[2], "a", None, "JSONDecodeError")]
+    assert [y for _, y in ASKED["requests"]] == [2020, *[2021] * 3, *[2022] * 3, 2023]
+
+
+def test_counters_while_writing(spark, tmp_path):
+    passed = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: passed.add(1) or x, "long").asNondeterministic()
+    df = spark.range(1000).select(seen("id").alias("x"))
+    write = lambda path: lambda rows: rows.write.parquet(str(tmp_path / path))
+    assert report.counted(df, write("all"), even=F.col("x") % 2 == 0, none=F.col("x").isNull()) == {"rows": 1000, "even": 500, "none": 0}
+    assert passed.value == 1000 and spark.read.parquet(str(tmp_path / "all")).count() == 1000
+    assert report.counted(df.where("x < 0"), write("none"), even=F.col("x") % 2 == 0) == {"rows": 0, "even": 0}
+
+
 def test_reports(spark, tmp_path):
     m = spark.createDataFrame([("location_6", "with_aqi", "forest", "test", "f1", 0.28161)], schema.METRICS)
     report.write_metrics(m, str(tmp_path / "m"))

@@ -75,6 +75,21 @@ def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     return out
 
 
+def shared_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bytes that each string has in common with the one before it at their beginnings; 0 for the first."""
+    eights, size = eights_of(data), ends - starts
+    most = np.minimum(size, np.concatenate([np.zeros(1, size.dtype), size[:-1]]))
+    out = np.zeros(len(starts), np.int64)
+    own = np.flatnonzero(most > 0)
+    while len(own):
+        differ = eights[starts[own] + out[own]] ^ eights[starts[own - 1] + out[own]]
+        lowest = differ & (~differ + U64(1))
+        same = np.where(differ == 0, 8, np.log2(np.maximum(lowest, U64(1)).astype(np.float64)).astype(np.int64) // 8)
+        out[own] += same
+        own = own[(same == 8) & (out[own] < most[own])]
+    return np.minimum(out, most)
+
+
 def chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of texts of at most ``limit`` characters together; one longer text stands alone."""
     i, total = 0, 0

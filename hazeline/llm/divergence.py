@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hazeline.llm.arrays import chunks, same_words, word_hashes
+from hazeline.llm.arrays import chunks, same_words, shared_bytes, word_hashes
 from hazeline.llm.runtime import drop_spool, partitions, spool
 
 #: Documents of its language that a kept term occurs in.
@@ -71,30 +71,41 @@ class RadixTrie:
         self.counters: list[np.ndarray] = []
         self.held = 0
 
-    def leaf(self, term: bytes) -> int:
-        """The number of a term's leaf, a new one if it had none."""
-        node, at, size = self.root, 0, len(term)
-        while at < size:
-            if node[1] is None:
-                node[1] = {}
-            child = node[1].get(term[at])
-            if child is None:
-                node[1][term[at]] = [term[at:], None, self.leaves]
+    def numbers(self, terms: list[bytes], shared: list[int]) -> list[int]:
+        """The leaves of terms in byte order, new ones where they had none; ``shared``: bytes in common with the term before.
+
+        The path of the term before is kept open, and each term goes on from its last node on that path.
+        """
+        path, ends, out = [self.root], [0], []
+        for term, same in zip(terms, shared, strict=True):
+            while ends[-1] > same:
+                path.pop()
+                ends.pop()
+            node, at, size = path[-1], ends[-1], len(term)
+            while at < size:
+                if node[1] is None:
+                    node[1] = {}
+                child = node[1].get(term[at])
+                if child is None:
+                    child = node[1][term[at]] = [term[at:], None, -1]
+                label = child[0]
+                if len(label) > 1 and not term.startswith(label, at):
+                    cut = next(k for k in range(1, len(label) + 1) if term[at + k : at + k + 1] != label[k : k + 1])
+                    middle = [label[:cut], {label[cut]: child}, -1]
+                    child[0] = label[cut:]
+                    child = node[1][term[at]] = middle
+                node = child
+                at += len(node[0])
+                path.append(node)
+                ends.append(at)
+            if node[2] < 0:
+                node[2] = self.leaves
                 self.leaves += 1
-                return self.leaves - 1
-            label = child[0]
-            if len(label) > 1 and not term.startswith(label, at):
-                same = next(k for k in range(1, len(label) + 1) if term[at + k : at + k + 1] != label[k : k + 1])
-                middle = [label[:same], {label[same]: child}, -1]
-                child[0] = label[same:]
-                node[1][term[at]] = middle
-                child = middle
-            node = child
-            at += len(node[0])
-        if node[2] < 0:
-            node[2] = self.leaves
-            self.leaves += 1
-        return node[2]
+            out.append(node[2])
+        return out
+
+    def leaf(self, term: bytes) -> int:
+        return self.numbers([term], [0])[0]
 
     def count(self, leaf: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
         """Add to the counters of (leaf, group), which may repeat."""
@@ -141,17 +152,25 @@ def _add(trie: RadixTrie, texts: list[str], groups: np.ndarray) -> None:
     data = _LOWER[data]
     doc_ends = np.cumsum([len(p) + 1 for p in parts])
     doc = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(starts, doc_ends), prepend=0))
-    _, where, term = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes = word_hashes(data, starts, ends)
+    order = np.argsort(hashes, kind="stable")  # a term's occurrences side by side, by document
+    first = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
+    where, term = order[first], np.empty(len(order), np.int64)
+    term[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     odd = np.flatnonzero(~same_words(data, starts, ends, where[term]))  # equal hashes of unequal terms: counted apart, the trie joins them
-    term[odd] = len(where) + np.arange(len(odd))
-    where = np.append(where, odd)
-    pair, n = np.unique(term * len(texts) + doc, return_counts=True)  # a document's counts of its terms
-    of_term, of_doc = np.divmod(pair, len(texts))
-    raw, leaf = data.tobytes(), trie.leaf
+    if len(odd):
+        term[odd] = len(where) + np.arange(len(odd))
+        where = np.append(where, odd)
+        order = np.lexsort((doc, term))
+    of_term, of_doc = term[order], doc[order]  # a document's counts of its terms
+    pair = np.flatnonzero(np.append(True, (np.diff(of_term) != 0) | (np.diff(of_doc) != 0)))
+    of_term, of_doc, n = of_term[pair], of_doc[pair], np.diff(np.append(pair, len(order)))
+    raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
     numbers = np.empty(len(words), np.int64)
-    order = sorted(range(len(words)), key=words.__getitem__)  # neighbours share their paths
-    numbers[order] = [leaf(words[k]) for k in order]
+    by_bytes = sorted(range(len(words)), key=words.__getitem__)
+    shared = shared_bytes(data, starts[where[by_bytes]], ends[where[by_bytes]])
+    numbers[by_bytes] = trie.numbers([words[k] for k in by_bytes], shared.tolist())
     trie.count(numbers[of_term], groups[of_doc], n, np.ones(len(n), np.int64))
 
 

@@ -6,8 +6,8 @@ others only by the gap between brackets that they lie in. Where a group may
 still hold too many values, its brackets are cut into segments again, and only
 segments with a wanted rank keep their values: each round leaves a twentieth. A
 window over the few counts left finds the ranks. So no task holds a group, and
-the driver sees two numbers: the rows of the largest group and the values that a
-group still holds. Should a sketch ever miss, the query fails; it never answers
+the driver sees two numbers: how many rows there are and how many values a group
+still holds. Should a sketch ever miss, the query fails; it never answers
 wrong.
 """
 
@@ -36,8 +36,8 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
     """The keys, ``others`` (aggregates by name) and _q, the quantiles ``ps`` (ascending) of each group; nulls and NaN are skipped.
 
     In ``others``, _v is the value. Null keys are groups, too; a group without
-    values has null quantiles. The sketches are made at once, the rest when the
-    result is read, but for rounds of narrowing.
+    values has null quantiles. Rows are counted at once; if a group may be giant,
+    sketches and rounds of narrowing are made at once, too.
     """
     others = others or {}
     v = F.col(value).cast("double")
@@ -46,7 +46,11 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
 
     ends = [x for p in ps for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(ACCURACY))
-    groups = spool(rows.groupBy("_k").agg(F.count("_v").alias("_total"), sketch.alias("_ends"), *(a.alias(n) for n, a in others.items())), "sketches")
+    groups = rows.groupBy("_k").agg(F.count("_v").alias("_total"), sketch.alias("_ends"), *(a.alias(n) for n, a in others.items()))
+    most = values.count()  # no group has more
+    giant = most > WHOLE and most * len(ps) * (2 * MARGIN + 2 / ACCURACY) > HELD
+    if giant:
+        groups = spool(groups, "sketches")
 
     def end(i: int) -> Column:
         """The i-th end of the brackets: infinite at the ends of the range, and for small groups."""
@@ -64,8 +68,7 @@ def summarised(values: DataFrame, keys: Sequence[str], ps: Sequence[float], valu
     carried = ["_total", *others]
     counts = both.groupBy("_k", passed.alias("_gap"), held.alias("_w")).agg(F.count("_v").alias("_n"), *(F.first(c).alias(c) for c in carried))
     ranks = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
-    largest = groups.agg(F.max("_total")).first()[0] or 0
-    if largest > WHOLE and largest * len(ps) * (2 * MARGIN + 2 / ACCURACY) > HELD:
+    if giant:
         counts = _narrowed(counts, ranks, carried)
 
     # what passed as many brackets and lies in none comes before what lies in the next one

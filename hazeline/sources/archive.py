@@ -2,7 +2,8 @@
 
 ``hourly_rows`` works on any column of answers, so tests and backfills read
 files; the data source fetches each (location, year) by HTTP, only those that a
-filter on location or time lets through.
+filter on location or time lets through. Read as a stream, it goes on where a
+stopped query was, without asking again for what has been answered.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+)
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from hazeline.sources.shared import Folder
+
 TIMEOUT_S, PAUSE_S = 120, 4
 
 
@@ -82,20 +87,25 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, part: YearsPart):
         for place, latitude, longitude, year in part.requests:
-            for left in reversed(range(1 + int(self.options.get("retries", 0)))):
-                try:
-                    found = self.batch(place, self.fetch(latitude, longitude, year))
-                    break
-                except (OSError, ValueError, TypeError, AttributeError) as e:  # no answer, or none in the form agreed
-                    if left:
-                        continue
-                    if self.options.get("on_error", "skip") == "fail":
-                        raise
-                    logging.getLogger(__name__).warning("%s in %d is skipped: %s", place, year, e)
-                    found = self.batch(place, {"time": [f"{year}-01-01T00:00"]} if "error" in self.schema.names else {}, f"{type(e).__name__}: {e}")
-                finally:
-                    clock.sleep(float(self.options.get("pause", PAUSE_S)) * self.tasks)
-            yield found
+            yield self.batch(place, *self.ask(place, latitude, longitude, year))
+
+    def ask(self, place: str, latitude: str, longitude: str, year: int) -> tuple[dict, str | None]:
+        """The hours of a year, or what to show in their place and what went wrong."""
+        for left in reversed(range(1 + int(self.options.get("retries", 0)))):
+            try:
+                hourly = self.fetch(latitude, longitude, year)
+                self.batch(place, hourly)
+                return hourly, None
+            except (OSError, ValueError, TypeError, AttributeError) as e:  # no answer, or none in the form agreed
+                if left:
+                    continue
+                if self.options.get("on_error", "skip") == "fail":
+                    raise
+                logging.getLogger(__name__).warning("%s in %d is skipped: %s", place, year, e)
+                return {"time": [f"{year}-01-01T00:00"]} if "error" in self.schema.names else {}, f"{type(e).__name__}: {e}"
+            finally:
+                clock.sleep(float(self.options.get("pause", PAUSE_S)) * self.tasks)
+        raise ValueError("retries is negative")
 
     def fetch(self, latitude: str, longitude: str, year: int) -> dict:
         query = {
@@ -136,8 +146,80 @@ class FilteredArchiveReader(ArchiveReader):
             yield f
 
 
+class ArchiveStream(DataSourceStreamReader):
+    """The requests of an ArchiveReader as a stream, ``per_batch`` a batch (all, if unset).
+
+    More options: ``state``, a folder that driver and tasks share, and ``again``,
+    how many more rounds ask for the years that failed. An offset is the number
+    of requests that have been given out: all of the first round, by year and
+    place, then those of the next. Each answer is kept in the folder as soon as it
+    comes, under its place in that order, so a query that stops within a batch,
+    or a task that is lost, asks only for what has not been answered. A failed
+    year gives its row of ``error`` in each round that fails, and its hours in the
+    round that succeeds; a year that has been answered gives nothing in later
+    rounds. A folder belongs to one checkpoint, and to one choice of places,
+    years and variables: others are refused. With ``per_batch``, use a trigger by
+    time: one of availableNow asks for an offset once, so it takes one batch.
+    """
+
+    def __init__(self, schema: T.StructType, options: dict):
+        self.archive = ArchiveReader(schema, options)
+        self.folder = Folder(options["state"])
+        self.every = sorted(self.archive.requests(), key=lambda r: r[3])
+        self.rounds = 1 + int(options.get("again", 0))
+        self.per_batch = int(options.get("per_batch", 0))
+
+    def initialOffset(self) -> dict:
+        wanted = json.dumps([self.every, self.archive.variables])
+        if (kept := self.folder.read("requests.json")) is None:
+            self.folder.write("requests.json", wanted)
+        elif kept != wanted:
+            raise ValueError("the folder of state holds answers to other requests")
+        return {"given": 0}
+
+    def latestOffset(self) -> dict:
+        self.initialOffset()
+        most = len(self.every) * self.rounds
+        given = int(self.folder.read("given.json") or 0)
+        if given < most:
+            # noted before Spark learns of it: after a restart no offset is ever less than one in Spark's log
+            given = min(most, given + self.per_batch) if self.per_batch else most
+            self.folder.write("given.json", str(given))
+        return {"given": given}
+
+    def partitions(self, start: dict, end: dict) -> list[YearsPart]:
+        """All rounds of a request go to one task, in order."""
+        n = len(self.every)
+        tasks: list[list] = [[] for _ in range(self.archive.tasks)]
+        for place in range(start["given"], end["given"]):
+            tasks[place % n % len(tasks)].append((*self.every[place % n], place))
+        return [StreamPart(t) for t in tasks if t]
+
+    def read(self, part: StreamPart):
+        n = len(self.every)
+        for *request, place in part.requests:
+            if any(self.folder.read(f"answer-{earlier}.json") is not None for earlier in range(place % n, place, n)):
+                continue
+            kept = self.folder.read(f"answer-{place}.json")
+            hourly, error = (json.loads(kept), None) if kept is not None else self.archive.ask(*request)
+            if kept is None and error is None:
+                self.folder.write(f"answer-{place}.json", json.dumps(hourly))
+            yield self.archive.batch(request[0], hourly, error)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class StreamPart(InputPartition):
+    """The requests that one task of a batch makes, each with its place in the order of all."""
+
+    def __init__(self, requests: list[tuple]):
+        super().__init__([f"{r[0]}/{r[3]}/{r[4]}" for r in requests])
+        self.requests = requests
+
+
 class HourlyArchive(DataSource):
-    """spark.dataSource.register(HourlyArchive); spark.read.format("hourly_archive").schema(...).options(...).load()"""
+    """spark.dataSource.register(HourlyArchive); spark.read or readStream, .format("hourly_archive").schema(...).options(...).load()"""
 
     @classmethod
     def name(cls) -> str:
@@ -149,3 +231,6 @@ class HourlyArchive(DataSource):
     def reader(self, schema: T.StructType) -> ArchiveReader:
         pushed = self.options.get("pushdown", "false").lower() == "true"
         return (FilteredArchiveReader if pushed else ArchiveReader)(schema, self.options)
+
+    def streamReader(self, schema: T.StructType) -> ArchiveStream:
+        return ArchiveStream(schema, self.options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +33,36 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """Small files in a folder that driver and tasks share, for code that runs outside of Spark's own readers and writers.
+
+    ``path`` is a URI that pyarrow knows (file, hdfs, s3) or a plain path. A file
+    appears as a whole or not at all where the file system renames so.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def open(self) -> tuple[fs.FileSystem, str]:
+        if ":/" not in self.path:
+            return fs.LocalFileSystem(), self.path
+        return fs.FileSystem.from_uri(self.path.replace("file:///", "file:/").replace("file:/", "file:///").replace("s3a://", "s3://"))
+
+    def read(self, name: str) -> str | None:
+        """The file's text, None if there is none."""
+        system, root = self.open()
+        try:
+            with system.open_input_stream(f"{root}/{name}") as f:
+                return f.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def write(self, name: str, text: str) -> None:
+        system, root = self.open()
+        system.create_dir(root, recursive=True)
+        unfinished = f"{root}/.{name}-{uuid.uuid4().hex}"
+        with system.open_output_stream(unfinished) as f:
+            f.write(text.encode())
+        system.move(unfinished, f"{root}/{name}")

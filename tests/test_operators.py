@@ -406,6 +406,48 @@ def test_archive_source_gives_failed_years_as_rows(spark, server):
     assert [y for _, y in ASKED["requests"]] == [2020, *[2021] * 3, *[2022] * 3, 2023]
 
 
+def test_archive_stream_goes_on_where_it_stopped(spark, server, tmp_path):
+    spark.dataSource.register(archive.HourlyArchive)
+    kind = "error string, location string, time timestamp_ntz, pm10 double"
+    options = {"url": server, "places": "a:1:2;b:3:4", "pause": "0", "years": "2018-2022", "state": str(tmp_path / "state"), "per_batch": "3", "again": "1", "tasks": "2"}
+
+    def run(**more):
+        ASKED["requests"].clear()
+        df = spark.readStream.format("hourly_archive").schema(kind).options(**options | more).load()
+        stream = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        stream.trigger(availableNow=True).start().awaitTermination(120)
+        return sorted((int(p), y) for p, y in ASKED["requests"])
+
+    assert run() == [(1, 2018), (1, 2019), (3, 2018)]  # three requests of ten, then the query stops
+    assert run() == [(1, 2020), (3, 2019), (3, 2020)]
+    assert run(per_batch="0") == sorted([(p, y) for p in (1, 3) for y in (2021, 2022)] * 2)  # two years fail, also in the second round
+    assert run(per_batch="0") == []
+    rows = [(r["location"], r["time"].year, r["error"] is None) for r in spark.read.parquet(str(tmp_path / "out")).where("hour(time) = 0").collect()]
+    assert sorted(rows) == sorted([(x, y, True) for x in "ab" for y in (2018, 2019, 2020)] + [(x, y, False) for x in "ab" for y in (2021, 2022)] * 2)
+    with pytest.raises(Exception, match="other requests"):
+        run(years="2018-2023")
+
+
+def test_archive_stream_keeps_answers_within_a_batch(server, tmp_path):
+    """A batch that is planned again asks only for what has not been answered; a year that fails once is had in the next round."""
+    from pyspark.sql.types import _parse_datatype_string as parsed
+
+    kind = parsed("error string, location string, time timestamp_ntz, pm10 double")
+    reader = lambda: archive.ArchiveStream(kind, {"url": server, "places": "a:1:2", "pause": "0", "years": "2019-2021", "state": f"file://{tmp_path}/state", "again": "2"})
+    first = reader()
+    start, end = first.initialOffset(), first.latestOffset()
+    (part,) = first.partitions(start, end)
+    ASKED["requests"].clear()
+    reading = first.read(part)
+    assert [next(reading).num_rows, next(reading).num_rows] == [2, 2]  # then the task is lost
+    again = reader()
+    assert again.latestOffset() == end == {"given": 9}
+    again.archive.fetch = lambda *_, keep=again.archive.fetch, failed=[]: keep("1", "2", 2020) if failed else failed.append(1) or keep("1", "2", 2021)  # noqa: B006
+    found = [b.to_pylist() for b in again.read(part)]
+    assert [y for _, y in ASKED["requests"]] == [2019, 2020, 2021, 2020]
+    assert [(len(b), b[0]["error"] is None) for b in found] == [(2, True), (2, True), (1, False), (2, True)]
+
+
 def test_counters_while_writing(spark, tmp_path):
     passed = spark.sparkContext.accumulator(0)
     seen = F.udf(lambda x: passed.add(1) or x, "long").asNondeterministic()

@@ -17,7 +17,7 @@ from hazeline.schema import MISSING, existing, feature_cols
 from hazeline.sources import archive, files, report
 from hazeline.sources.files import literal_table
 from hazeline.sources.shared import fresh_path, spool
-from hazeline.streaming import hourly
+from hazeline.streaming import hourly, series
 
 TEST_YEAR = 2000
 #: At most so many epochs of the registered networks; the operator's default is 50.
@@ -207,12 +207,36 @@ def report_balance(spark, d):
 
 @query(f"SELECT event_type AS location, date_trunc('hour', ts) AS time, {q6('avg(value)')} AS temp, min(value) AS dew, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_stream(spark, d):
-    """The hourly series as a stream over the events: file source, windows, and all hours written after each batch."""
+    """The hourly series as a stream over the events: file source, windows, and the hours that each batch changes.
+
+    All files are one batch, so no row of theirs is late.
+    """
     kind = views.table(spark, d, "events").schema
-    events = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
+    events = spark.readStream.schema(kind).parquet(f"{d}/events.parque[t]")
     path = fresh_path(spark, "hours")
-    hourly.start_complete(events, path, fresh_path(spark, "hours-state")).awaitTermination()
-    return rounded(spark.read.parquet(path).withColumn("time", F.col("time").cast("timestamp_ntz")), "temp")
+    hourly.start_updates(events, path, fresh_path(spark, "hours-state")).awaitTermination()
+    return rounded(hourly.latest(spark, path).withColumn("time", F.col("time").cast("timestamp_ntz")), "temp")
+
+
+@query(
+    """, o AS (SELECT location, time, temp, temp - lag(temp, 6) OVER w AS r6, temp - lag(temp, 12) OVER w AS r12 FROM obs WINDOW w AS (PARTITION BY location ORDER BY time)),
+    day AS (SELECT location, CAST(time AS DATE) AS d, min(CASE WHEN hour(time) >= 18 THEN temp END) AS e, min(CASE WHEN hour(time) < 6 THEN temp END) AS m FROM obs GROUP BY 1, 2),
+    low AS (SELECT location, d, CASE WHEN row_number() OVER w > 1 THEN least(lag(e) OVER w, m) END AS low FROM day WINDOW w AS (PARTITION BY location ORDER BY d)),
+    mark AS (SELECT max(time) - INTERVAL 2 HOUR AS mark FROM obs)
+    SELECT o.location, o.time, """
+    + f"{q6('r6 / 6')} AS rate_6h, {q6('r12 / 12')} AS rate_12h, low AS previous_night_low "
+    + """FROM o JOIN low ON o.location = low.location AND CAST(o.time AS DATE) = low.d, mark
+    WHERE CASE WHEN hour(o.time) < 6 THEN date_trunc('day', o.time) + INTERVAL 6 HOUR ELSE o.time END <= mark""",
+    "obs",
+)
+def stream_features(spark, d):
+    """Lags and night lows by keyed state and timers, of all rows that the watermark has passed."""
+    rows = spool(views.obs(spark, d).select("location", "time", "temp"), "series")
+    path = fresh_path(spark, "lagged")
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    series.start(stream, path, fresh_path(spark, "lagged-state")).awaitTermination()
+    out = spark.read.parquet(path).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return out.select("location", "time", r6("cooling_rate_6h").alias("rate_6h"), r6("cooling_rate_12h").alias("rate_12h"), "previous_night_low")
 
 
 # --- scalar functions

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,21 @@ def start(events: DataFrame, path: str, checkpoint: str, lateness: str = "2 hour
     return stream.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_complete(events: DataFrame, path: str, checkpoint: str):
-    """Write all hours so far as Parquet after each batch, the last ones included."""
+def start_updates(events: DataFrame, path: str, checkpoint: str, lateness: str = "2 hours"):
+    """Write the hours that each batch changes, open ones included, in a folder of the batch; ``latest`` reads them.
+
+    State ends with the watermark, and what a batch writes grows with its hours,
+    not with all hours so far. A batch that is run again replaces its folder.
+    """
 
     def write(hours: DataFrame, batch: int) -> None:
-        hours.write.mode("overwrite").parquet(path)
+        hours.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    stream = hourly(events).writeStream.outputMode("complete").foreachBatch(write)
+    stream = hourly(events, lateness).writeStream.outputMode("update").foreachBatch(write)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """Each hour as the last batch that changed it left it."""
+    rows = spark.read.parquet(path).groupBy("location", "time").agg(F.max_by(F.struct("temp", "dew", "n"), "batch").alias("_last"))
+    return rows.select("location", "time", "_last.temp", "_last.dew", "_last.n")

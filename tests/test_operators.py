@@ -15,7 +15,7 @@ from hazeline import schema
 from hazeline.functions import scalar as fn
 from hazeline.operators import asof, clean, cluster, features, metrics, positions, quantiles, stats, variants
 from hazeline.sources import archive, files, report
-from hazeline.streaming import hourly
+from hazeline.streaming import hourly, series
 
 
 def t(text):
@@ -485,6 +485,44 @@ def test_streaming_agrees_with_batch(spark, tmp_path):
     assert got and got <= want and len(want - got) <= 1  # the last hour stays open
 
 
+def test_hours_of_a_stream_are_replaced_by_later_batches(spark, tmp_path):
+    kind = "ts timestamp_ntz, event_type string, value double"
+    every = [[(t("01 00:10"), "a", 1.0), (t("01 01:10"), "b", 5.0)], [(t("01 00:50"), "a", 3.0), (t("01 02:00"), "a", 9.0)]]
+    for rows in every:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        hourly.start_updates(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = sorted(tuple(r) for r in hourly.latest(spark, str(tmp_path / "out")).collect())
+    assert got == sorted(tuple(r) for r in hourly.hourly(spark.createDataFrame(every[0] + every[1], kind)).collect()) and len(got) == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4  # the second batch wrote its two hours only
+
+
+def test_lags_and_night_lows_of_a_stream_agree_with_those_of_the_series(spark, tmp_path):
+    """Three stretches of days, each with rows of the one before that come late, gaps, nulls, NaN and a day without a morning."""
+    rng = np.random.default_rng(5)
+    temps = lambda i: None if i % 17 == 3 else float("nan") if i % 31 == 7 else float(rng.integers(0, 40))
+    rows = [(k, t("01 00:00") + dt.timedelta(hours=i), temps(i)) for k in ("a", "b", None) for i in range(24 * 9) if i % 13 != 4 and not (k == "a" and 72 <= i < 81)]
+    hour = lambda r: int((r[1] - t("01 00:00")).total_seconds()) // 3600
+    kind = "location string, time timestamp_ntz, temp double"
+    # a third of the last day's rows of a stretch come with the next one, at most 30 hours late
+    batch = lambda r: min(2, hour(r) // 72 + (hour(r) % 72 >= 60 and hour(r) % 3 == 0))
+    for b in range(3):
+        part = [r for r in rows if batch(r) == b]
+        spark.createDataFrame([part[i] for i in rng.permutation(len(part))], kind).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        series.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), lateness="30 hours").awaitTermination(200)
+        if b == 0:
+            assert 0 < spark.read.parquet(str(tmp_path / "out")).count() < len(part)
+    whole = spark.createDataFrame(rows, kind)
+    want = features.previous_night_low(features.cooling_rates(whole, (6, 12), "temp"), "temp")
+    names = ["location", "time", "temp", "cooling_rate_6h", "cooling_rate_12h", "previous_night_low"]
+    shown = lambda df: sorted(map(repr, df.select("location", F.col("time").cast("timestamp_ntz").alias("time"), *names[2:]).collect()))
+    mark = max(r[1] for r in rows) - dt.timedelta(hours=30)
+    due = F.when(F.hour("time") < 6, F.date_trunc("day", "time") + F.expr("interval 6 hours")).otherwise(F.col("time"))
+    got = shown(spark.read.parquet(str(tmp_path / "out")))
+    assert got == shown(want.where(due <= F.lit(mark))) and len(got) > 450
+
+
 def test_models_find_a_signal(spark):
     from hazeline.operators import models
 

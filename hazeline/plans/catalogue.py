@@ -14,7 +14,7 @@ from hazeline.operators.positions import numbered
 from hazeline.plans import views
 from hazeline.plans.views import with_views
 from hazeline.schema import MISSING, existing, feature_cols
-from hazeline.sources import archive, files, report
+from hazeline.sources import archive, files, named, report
 from hazeline.sources.files import literal_table
 from hazeline.sources.shared import fresh_path, spool
 from hazeline.streaming import hourly, series
@@ -130,12 +130,30 @@ def csv_roundtrip(spark, d):
     return files.read_csv(spark, path, T.StructType([*kept, T.StructField("location", T.StringType())])).select(*_CSV.split(", "))
 
 
+@query(
+    """, n AS (SELECT *, (row_number() OVER (PARTITION BY location ORDER BY time, k, code) - 1) // 500 AS n FROM hist)
+    SELECT location, n, count(*) AS rows, sum(code) AS codes, count(gappy) AS gappy, min(CAST(time AS TIMESTAMP)) AS first FROM n GROUP BY 1, 2""",
+    "hist",
+)
+def csv_named_blocks(spark, d):
+    """Files location_<place>_<n>.csv of 500 rows each, written with a commit and read back by their names."""
+    h = views.hist(spark, d).select("location", "k", "code", "gappy", F.col("time").cast("timestamp_ntz").alias("time"))
+    path = fresh_path(spark, "blocks")
+    named.write_named(h, path, "location_{location}_{n}.csv", 500, ("time", "k", "code"))
+    kept = T.StructType([f for f in h.schema if f.name != "location"])
+    rows = files.read_csv(spark, path, kept).select("*", F.replace(F.col("_metadata.file_name"), F.lit("%20"), F.lit(" ")).alias("file"))
+    part = lambda i: F.regexp_extract("file", r"location_([\w ]+)_(\d+)\.csv", i)
+    return rows.groupBy(part(1).alias("location"), part(2).cast("long").alias("n")).agg(
+        F.count("*").alias("rows"), F.sum("code").alias("codes"), F.count("gappy").alias("gappy"), F.min("time").alias("first")
+    )
+
+
 @query("SELECT location, count(*) AS n, sum(code) AS codes FROM hist GROUP BY 1", "hist")
 def csv_by_file_name(spark, d):
     """One file for each location, which only the file's name tells."""
     h, path = views.hist(spark, d).select("location", "k", "code"), fresh_path(spark, "named")
-    named = h.select(F.concat(F.lit("location_"), F.replace("location", F.lit(" "), F.lit("-")), F.lit("_rows")).alias("name"), "k", "code")
-    files.write_csv(named, path, by=["name"])
+    rows = h.select(F.concat(F.lit("location_"), F.replace("location", F.lit(" "), F.lit("-")), F.lit("_rows")).alias("name"), "k", "code")
+    files.write_csv(rows, path, by=["name"])
     kept = T.StructType([T.StructField("location", T.StringType()), h.schema["k"], h.schema["code"]])
     rows = files.read_located(spark, f"{path}/*", kept, name=r"location_([\w-]+?)_rows", part="path")
     return rows.groupBy(F.replace("location", F.lit("-"), F.lit(" ")).alias("location")).agg(F.count("*").alias("n"), F.sum("code").alias("codes"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hazeline import schema
 from hazeline.functions import scalar as fn
 from hazeline.operators import asof, clean, cluster, features, metrics, positions, quantiles, stats, variants
-from hazeline.sources import archive, files, report
+from hazeline.sources import archive, files, named, report
 from hazeline.streaming import hourly, series
 
 
@@ -320,6 +320,45 @@ def test_csv_round_trip_by_location(spark, tmp_path):
     assert files.locations_with_all([df, df.where("location = 'b'")]).collect()[0][0] == "b"
 
 
+def test_named_files(spark, tmp_path):
+    df = hours(spark, 30, x=lambda i: None if i == 3 else float(i), y=float).repartition(5)
+    there = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    out = str(tmp_path / "out")
+    named.write_named(df, out, "location_{location}_aqi.csv")
+    assert there() == ["_SUCCESS", "location_a_aqi.csv", "location_b_aqi.csv"]
+    layer = df.drop("location").schema
+    got = files.read_located(spark, f"{out}/location_*_aqi.csv", layer)
+    assert sorted(map(tuple, got.select(*df.columns).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    lines = (tmp_path / "out" / "location_a_aqi.csv").read_text().splitlines()
+    assert lines[0] == '"time","x","y"' and lines[1:] == sorted(lines[1:]) and lines[4] == '"2024-01-01 03:00:00",,3' and len(lines) == 31
+
+    named.write_named(df, f"file://{out}", "location_{location}_{n}.csv", 13)
+    assert there() == ["_SUCCESS", *(f"location_{k}_{n}.csv" for k in "ab" for n in (0, 1, 2))]
+    assert [len((tmp_path / "out" / f"location_b_{n}.csv").read_text().splitlines()) for n in (0, 1, 2)] == [14, 14, 5]
+    with pytest.raises(ValueError, match="goes with rows"):
+        named.write_named(df, out, "location_{location}_{n}.csv")
+
+
+def test_named_files_of_a_failed_job_are_not_there(spark, tmp_path):
+    df, out = hours(spark, 30, x=float), tmp_path / "out"
+    named.write_named(df.where("location = 'a'"), str(out), "{location}.csv")
+    before = {p.name: p.read_bytes() for p in out.iterdir()}
+    failing = df.withColumn("x", F.when(F.expr("location = 'b' and x = 29"), F.raise_error(F.lit("no more"))).otherwise(F.col("x")).cast("double"))
+    spark.dataSource.register(named.NamedFiles)
+    write = lambda rows: rows.write.format("named_files").option("file", "location").mode("append").save(str(out))
+    for job, why in (
+        (lambda: named.write_named(failing, str(out), "{location}.csv"), "no more"),
+        (lambda: named.write_named(df, str(out), "{location}.csv", overwrite=False), "there already"),
+        (lambda: named.write_named(df.withColumn("location", F.lit("x/y")), str(out), "{location}.csv"), "can't name"),
+        (lambda: named.write_named(df.withColumn("location", F.lit(None).cast("string")), str(out), "{location}.csv"), "can't name"),
+        (lambda: write(df.withColumn("location", F.lit("c")).repartition(3, "x")), "several tasks"),
+        (lambda: write(df.orderBy("x").coalesce(1)), "side by side"),
+    ):
+        with pytest.raises(Exception, match=why):
+            job()
+        assert {p.name: p.read_bytes() for p in out.iterdir()} == before
+
+
 def test_archive_answers(spark):
     body = '{"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "pm10": [1.5, null]}}'
     df = spark.createDataFrame([("x", body), ("y", '{"hourly": {}}')], "location string, body string")

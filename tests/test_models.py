@@ -275,3 +275,16 @@ def test_first_layer_of_a_perceptron(spark):
         df = spark.createDataFrame([(r, int(r[place] + r[4 + place] > 0)) for r in rows], "v array<double>, fog int").withColumn("features", models.array_to_vector("v"))
         net = models.sequence_net(df, 8, hidden=(3,), epochs=60)
         assert models.importance(net, ["a", "b", "c", "d"], spark).orderBy(F.desc("importance")).first()["feature"] == "abcd"[place]
+
+
+def test_models_of_rows_without_positives(spark):
+    """Where no train row is positive, every layer of the stack still scores the rows, and none of them high."""
+    from hazeline.operators import models
+
+    rows = spark.range(120).select(F.lit("a").alias("location"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("time"), (F.col("id") % 7).cast("double").alias("x"), F.lit(0).alias("fog"))
+    fitted = models.logistic(rows, ["x"])
+    assert {r["score"] for r in models.scored(fitted, models.assembled(rows, ["x"])).collect()} == {0.0}
+    done, _ = models.stack(rows, rows, ["x"], trees=2, rounds=1, epochs=1, length=4)
+    found = done.select("p_logistic", "p_forest", "p_boosted", "p_sequence", "score").collect()
+    assert len(found) == 116 and all(0 <= v <= 1 for r in found for v in r)
+    assert all(r["p_logistic"] == r["p_forest"] == 0 for r in found)

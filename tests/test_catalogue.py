@@ -39,3 +39,16 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e, hazeline; print(hazeline.__file__, sorted(e.queries()) == sorted(e.catalogue.queries()), sorted(e.oracle_sql()) == sorted(e.catalogue.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert done.stdout.split() == [str(tmp_path / "hazeline/__init__.py"), "True", "True"]
+
+
+def test_arg_extremes_of_equal_prices_and_nulls(spark, tmp_path):
+    """Of equal prices the first order of a table in the order of its keys, as the SQL gives it on one thread; nulls are left out."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = {"o_orderkey": [1, 2, 3, 4, 5, 6, 7], "o_custkey": [1, 1, 1, 1, 1, 2, 3], "o_totalprice": [9.0, 2.0, 9.0, 2.0, None, None, 4.0]}
+    pq.write_table(pa.table(rows), tmp_path / "orders.parquet")
+    con = connect(tmp_path)
+    con.execute("SET threads = 1")
+    got = spark_rows(catalogue.queries()["arg_extremes"](spark, str(tmp_path)))
+    assert got == duck_rows(con, SQL["arg_extremes"]) == (["best", "least", "o_custkey"], [("1", "2", "1"), ("7", "7", "3"), ("NULL", "NULL", "2")])

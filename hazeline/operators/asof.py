@@ -70,7 +70,8 @@ def nearest(
     parts = W.partitionBy(*by, "_bucket")
     seq_back = F.col("_seq").asc() if tie == BACKWARD else F.col("_seq").desc()
     back = F.last("_right", ignorenulls=True).over(parts.orderBy("_t", "_side", seq_back).rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_right", ignorenulls=True).over(parts.orderBy("_t", F.desc("_side"), "_seq").rowsBetween(0, W.unboundedFollowing))
+    # the next right row is the last one in the reverse order: a frame up to the partition's end would be summed anew for each row
+    ahead = F.last("_right", ignorenulls=True).over(parts.orderBy(F.desc("_t"), "_side", F.desc("_seq")).rowsBetween(W.unboundedPreceding, 0))
     return _matched(both.withColumn("_b", back).withColumn("_f", ahead).where("_side = 1"), left.columns, payload, tolerance, tie)
 
 
@@ -112,16 +113,18 @@ def _in_blocks(left: DataFrame, lt: Column, right: DataFrame, t: Column, seq: Co
     edges = rights.groupBy(*by, "_block").agg(F.min_by("_right", "_t").alias("_head"), F.max_by("_right", "_t").alias("_end"))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in (*by, "_block")]
     every = blocks.join(edges, same(blocks, edges), "left").select(*(blocks[c] for c in (*by, "_block")), "_head", "_end")
-    order = W.partitionBy(*by).orderBy("_block")
+    order, reverse = W.partitionBy(*by).orderBy("_block"), W.partitionBy(*by).orderBy(F.desc("_block"))
     carried = every.select(
         *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_block").alias("_k"),
         F.last("_end", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("_head", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+        F.last("_head", ignorenulls=True).over(reverse.rowsBetween(W.unboundedPreceding, -1)).alias("_after"),
     )
     on = [F.col("_block") == F.col("_k"), *(F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by))]
-    inner = W.partitionBy(*by, "_block").orderBy("_t", "_tie")
-    near = dealt.withColumn("_b", F.last("_right", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, 0)))
-    near = near.withColumn("_f", F.first("_right", ignorenulls=True).over(inner.rowsBetween(0, W.unboundedFollowing))).where(F.col("_left").isNotNull())
+    inner = W.partitionBy(*by, "_block")
+    near = dealt
+    for name, o in (("_b", inner.orderBy("_t", "_tie")), ("_f", inner.orderBy(F.desc("_t"), F.desc("_tie")))):
+        near = near.withColumn(name, F.last("_right", ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, 0)))
+    near = near.where(F.col("_left").isNotNull())
     joined = near.join(carried, on, "left")
     back = F.coalesce("_b", "_before")["last" if tie == BACKWARD else "first"]
     return _matched(joined.select("_t", "_left", back.alias("_b"), F.coalesce("_f", "_after")["first"].alias("_f")), left.columns, payload, tolerance, tie)

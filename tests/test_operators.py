@@ -571,3 +571,13 @@ def test_models_find_a_signal(spark):
     assert metrics.roc_auc(out).first()["auc"] > 0.95
     imp = {r["feature"]: r["importance_pct"] for r in models.importance(fitted, ["x", "y"], spark).collect()}
     assert imp["x"] > 80 and sum(imp.values()) == pytest.approx(100)
+
+
+@pytest.mark.parametrize("limit", [asof.BUCKET_ROWS, 1])
+def test_asof_windows_run_on_from_row_to_row(spark, monkeypatch, limit):
+    """No frame reaches to the end of its partition, which Spark would go through again for each row."""
+    monkeypatch.setattr(asof, "BUCKET_ROWS", limit)
+    right = spark.range(50).select(F.lit("a").alias("location"), (F.timestamp_seconds(F.col("id") * 60)).cast("timestamp_ntz").alias("time"), F.col("id").alias("v"))
+    found = asof.nearest(right.select("location", "time"), right, ["v"], 30, order=["v"])
+    assert "UnboundedFollowing" not in found._jdf.queryExecution().optimizedPlan().toString().replace("unboundedfollowing", "UnboundedFollowing")
+    assert found.where("diff_minutes = 0").count() == 50

@@ -581,3 +581,17 @@ def test_asof_windows_run_on_from_row_to_row(spark, monkeypatch, limit):
     found = asof.nearest(right.select("location", "time"), right, ["v"], 30, order=["v"])
     assert "UnboundedFollowing" not in found._jdf.queryExecution().optimizedPlan().toString().replace("unboundedfollowing", "UnboundedFollowing")
     assert found.where("diff_minutes = 0").count() == 50
+
+
+def test_rows_of_a_large_group_do_not_meet_in_a_join(spark, monkeypatch):
+    """Brackets come to the rows as a broadcast, whatever the session's threshold; small groups have none and need none."""
+    monkeypatch.setattr(quantiles, "WHOLE", 50)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select(F.when(F.col("id") < 960, "large").otherwise(F.when(F.col("id") < 990, "small")).alias("g"), F.col("id").cast("double").alias("value"))
+        found = quantiles.summarised(df, ["g"], [0.25, 0.5])
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r["g"]: r["_q"] for r in found.collect()} == {"large": [239.75, 479.5], "small": [967.25, 974.5], None: [992.25, 994.5]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -288,3 +288,19 @@ def test_models_of_rows_without_positives(spark):
     found = done.select("p_logistic", "p_forest", "p_boosted", "p_sequence", "score").collect()
     assert len(found) == 116 and all(0 <= v <= 1 for r in found for v in r)
     assert all(r["p_logistic"] == r["p_forest"] == 0 for r in found)
+
+
+def test_rows_of_the_same_bins_become_one_cell(spark, monkeypatch):
+    """All passes but one every few trees go over the cells, whose counts are those of the rows that each tree's sample takes."""
+    kept = {}
+    spool = boosting.spool
+    monkeypatch.setattr(boosting, "spool", lambda df, name: kept.setdefault(name, []).append(spool(df, name)) or kept[name][-1])
+    df = spark.range(2000).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") / 2000).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("fog"))
+    boosting.fit(df, ["a", "b"], rounds=12, depth=2, bins=4, seed=7)
+    rows = kept["binned"][0].toPandas()
+    assert len(rows) == 2000 and len(kept["cells"]) == 12 and all(c.count() <= 5 * 5 * 2 for c in kept["cells"])
+    for number in (0, 11):
+        found = {(bytes(r["bins"]), r["y"]): (r["n_held"], r["n_used"]) for r in kept["cells"][number].selectExpr("bins", "y", "held AS n_held", f"u{number % boosting.REFRESH} AS n_used").collect()}
+        rows["used"] = ~rows["held"] & (boosting._mixed(rows["key"].to_numpy(), 7 * 1_000_003 + number) < 0.7)
+        want = {(bytes(k[0]), k[1]): (int(p["held"].sum()), int(p["used"].sum())) for k, p in rows.groupby(["bins", "y"])}
+        assert found == want

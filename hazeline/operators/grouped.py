@@ -4,7 +4,8 @@ Each step is one pass: tasks sum the gradient and the Hessian of their rows for
 each group that they see, and a group's few sums, one for each task, are added
 up and solved together. So the number of jobs depends on the steps alone, not on
 the groups; a group of any size spreads over all tasks; and the coefficients
-stay in a table.
+stay in a table. Rows are packed once into blocks of one group, so that a step
+joins the state to blocks and not to rows.
 """
 
 from __future__ import annotations
@@ -13,15 +14,67 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.sources.shared import spool
 
+#: Rows of a block, and values that a task holds back to fill its blocks.
+BLOCK, WAITING = 4096, 1 << 22
 _STATE = "_g long, n double, pos double, mean array<double>, dev array<double>, beta array<double>, old array<double>, loss double, done boolean"
 
 
-def _pass(rows: DataFrame, state: DataFrame, local, solve) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """_g, _n, _xs, _ys: up to BLOCK rows of a group, their values side by side as doubles."""
+    kind = pa.schema([("_g", pa.int64()), ("_n", pa.int64()), ("_xs", pa.binary()), ("_ys", pa.binary())])
+
+    def run(batches):
+        waiting: dict[int, list] = {}
+        values = 0
+
+        def cut(g: int, parts: list, least: int):
+            x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            at = 0
+            while len(y) - at >= least:
+                end = min(at + BLOCK, len(y))
+                yield g, end - at, x[at:end].tobytes(), y[at:end].tobytes()
+                at = end
+            if at < len(y):
+                waiting[g] = [(x[at:], y[at:])]
+
+        def flushed(least: int):
+            held = dict(waiting)
+            waiting.clear()
+            out = [r for g, parts in held.items() for r in cut(g, parts, least)]
+            for i in range(0, len(out), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 16], strict=True), kind, strict=True)], schema=kind)
+
+        for b in batches:
+            if not len(b):
+                continue
+            g, y, x = b.column("_g").to_numpy(), b.column("_y").to_numpy(), b.column("_x")
+            ends = x.offsets.to_numpy()  # groups may differ in their number of values
+            flat = x.values.to_numpy(zero_copy_only=False)
+            order = np.argsort(g, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(g[order]) != 0))
+            for rows_of in np.split(order, starts[1:]):
+                d = int(ends[rows_of[0] + 1] - ends[rows_of[0]])
+                waiting.setdefault(int(g[rows_of[0]]), []).append((flat[ends[rows_of][:, None] + np.arange(d)], y[rows_of]))
+            values += len(flat) + len(y)
+            if values >= WAITING:
+                # full blocks go; where too many groups wait for more rows, all do
+                yield from flushed(BLOCK)
+                values = sum(x.size + len(y) for parts in waiting.values() for x, y in parts)
+                if values >= WAITING // 2:
+                    yield from flushed(1)
+                    values = 0
+        yield from flushed(1)
+
+    return rows.mapInArrow(run, "_g long, _n long, _xs binary, _ys binary")
+
+
+def _pass(blocks: DataFrame, state: DataFrame, local, solve) -> DataFrame:
     """The next state: ``local(state of a group, x, y)`` gives an array to sum, ``solve(state, sum)`` the new state."""
     fields = [c.split()[0] for c in _STATE.split(", ")]
 
@@ -29,10 +82,10 @@ def _pass(rows: DataFrame, state: DataFrame, local, solve) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         kept: dict[int, dict] = {}
         for pdf in batches:
-            for g, part in pdf.groupby("_g", sort=False):
-                at = kept.setdefault(g, {c: part[c].iloc[0] for c in fields})
-                x = np.stack(part["_x"].to_numpy()).astype(np.float64)
-                found = local(at, x, part["_y"].to_numpy(np.float64))
+            for i, (g, n, xs, ys) in enumerate(zip(pdf["_g"].tolist(), pdf["_n"].tolist(), pdf["_xs"], pdf["_ys"], strict=True)):
+                if g not in kept:
+                    kept[g] = {c: pdf[c].iloc[i] for c in fields}
+                found = local(kept[g], np.frombuffer(xs).reshape(n, -1), np.frombuffer(ys))
                 sums[g] = sums[g] + found if g in sums else found
         yield pd.DataFrame([(*kept[g].values(), s.tobytes()) for g, s in sums.items()], columns=[*fields, "_sums"])
 
@@ -41,8 +94,8 @@ def _pass(rows: DataFrame, state: DataFrame, local, solve) -> DataFrame:
         total = sum(np.frombuffer(b) for b in pdf["_sums"])
         return pd.DataFrame([tuple((at | solve(at, total)).values())], columns=fields)
 
-    live = rows.join(state.where("not done"), "_g")
-    moved = live.select("_x", "_y", *fields).mapInPandas(partial, _STATE + ", _sums binary").groupBy("_g").applyInPandas(added, _STATE)
+    live = blocks.join(state.where("not done"), "_g")
+    moved = live.select("_n", "_xs", "_ys", *fields).mapInPandas(partial, _STATE + ", _sums binary").groupBy("_g").applyInPandas(added, _STATE)
     return spool(moved.unionByName(state.where("done")), "newton")
 
 
@@ -71,7 +124,7 @@ def fit_logistic(df: DataFrame, keys: Sequence[str], x: str = "x", label: str =
     groups = spool(groups.withColumn("_g", F.monotonically_increasing_id()), "groups")
     named = groups.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_g")
     rows = used.join(named, [used[k].eqNullSafe(named[f"_k_{k}"]) for k in keys])
-    rows = spool(rows.select("_g", F.col(x).cast("array<double>").alias("_x"), F.col(label).cast("double").alias("_y")), "rows-by-group")
+    rows = spool(_blocks(rows.select("_g", F.col(x).cast("array<double>").alias("_x"), F.col(label).cast("double").alias("_y"))), "blocks")
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     state = groups.select("_g", "n", "pos", zeros(F.col("_width")).alias("mean"), F.array_repeat(F.lit(1.0), F.col("_width")).alias("dev"), zeros(F.col("_width") + 1).alias("beta"), zeros(F.col("_width") + 1).alias("old"), F.lit(float("inf")).alias("loss"), F.lit(False).alias("done"))
 

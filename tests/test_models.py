@@ -304,3 +304,15 @@ def test_rows_of_the_same_bins_become_one_cell(spark, monkeypatch):
         rows["used"] = ~rows["held"] & (boosting._mixed(rows["key"].to_numpy(), 7 * 1_000_003 + number) < 0.7)
         want = {(bytes(k[0]), k[1]): (int(p["held"].sum()), int(p["used"].sum())) for k, p in rows.groupby(["bins", "y"])}
         assert found == want
+
+
+def test_rows_are_packed_by_group(spark, monkeypatch):
+    """Blocks hold each row once, of one group each, also where a task gives up waiting for full ones; steps see blocks only."""
+    monkeypatch.setattr(grouped, "WAITING", 64)
+    rows = [(g, [float(k), float(g)][: 1 + g % 2], float(k % 2)) for k in range(50) for g in range(9)]
+    df = spark.createDataFrame(rows, "_g long, _x array<double>, _y double").repartition(3)
+    found = []
+    for r in grouped._blocks(df).collect():
+        x = np.frombuffer(r["_xs"]).reshape(r["_n"], -1)
+        found += [(r["_g"], list(a), b) for a, b in zip(x, np.frombuffer(r["_ys"]), strict=True)]
+    assert sorted(found) == sorted(rows)

@@ -29,6 +29,8 @@ from hazeline.llm.runtime import plain, restored, spool, text_column
 SAMPLE = 20_000
 #: Terms that the grammar holds at most, the most telling first.
 TERMS = 4_000
+#: Terms that a task counts before it hands the counts on.
+HELD_TERMS = 50_000
 #: Rows of a class that must hold a term, its log odds and its log-likelihood ratio at least.
 LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 5, 1.5, 25.0
 STEMS = (4, 5, 6)
@@ -255,16 +257,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def count(batches):
         tally: tuple[Counter, Counter] = (Counter(), Counter())
         sizes = [0, 0]
+
+        def parts():
+            terms = [*(tally[0].keys() | tally[1].keys())]
+            for i in range(0, len(terms), HELD_TERMS):
+                part = terms[i : i + HELD_TERMS]
+                yield pd.DataFrame({"term": part, "bad": [tally[1][t] for t in part], "good": [tally[0][t] for t in part]})
+            for t in tally:
+                t.clear()
+
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
                 y = int(y > 0)
                 sizes[y] += 1
                 tally[y].update(terms_of(set(_TOKEN.findall(text.lower()))))
+                if len(tally[0]) + len(tally[1]) >= HELD_TERMS:
+                    yield from parts()
+        yield from parts()
         yield pd.DataFrame({"term": ["", ""], "bad": [0, sizes[1]], "good": [sizes[0], 0]})
-        terms = [*(tally[0].keys() | tally[1].keys())]
-        for i in range(0, len(terms), 50_000):
-            part = terms[i : i + 50_000]
-            yield pd.DataFrame({"term": part, "bad": [tally[1][t] for t in part], "good": [tally[0][t] for t in part]})
 
     counts = rows.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = spool(counts, "terms")

@@ -846,3 +846,18 @@ def test_matches_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     assert spark_rows(queries.queries()[name](spark, sf)) == duck_rows(connect(sf), queries.oracle_sql()[name])
+
+
+def test_toxicity_terms_are_handed_on_in_parts(spark, monkeypatch):
+    """A task holds few terms at a time, and the sums are those of all its rows."""
+    rows = [(k, f"word{k % 40} filler{k} " + ("zog" if k % 2 else "nice")) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    want = toxicity.train(docs, labels)
+    sizes = []
+    kept = toxicity.spool
+    monkeypatch.setattr(toxicity, "spool", lambda df, name: sizes.append(kept(df, name)) or sizes[-1])
+    monkeypatch.setattr(toxicity, "HELD_TERMS", 10)
+    got = toxicity.train(docs, labels)
+    assert got.terms == want.terms and "zog" in got.terms and np.array_equal(got.weights, want.weights)
+    assert sizes[0].where("term = 'zog'").first()["bad"] == sizes[0].where("term = ''").first()["bad"]

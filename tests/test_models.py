@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.operators import boosting, cluster, convolution, grouped, metrics
+from hazeline.operators import boosting, cluster, convolution, forest, grouped, metrics
 
 # --- convolutional network
 
@@ -316,3 +316,89 @@ def test_rows_are_packed_by_group(spark, monkeypatch):
         x = np.frombuffer(r["_xs"]).reshape(r["_n"], -1)
         found += [(r["_g"], list(a), b) for a, b in zip(x, np.frombuffer(r["_ys"]), strict=True)]
     assert sorted(found) == sorted(rows)
+
+
+# --- forests
+
+
+def forest_rows(spark, n, seed=3):
+    rnd = np.random.default_rng(seed)
+    x = np.stack([rnd.integers(0, 12, n), rnd.integers(0, 30, n), rnd.integers(0, 5, n)], axis=1).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 21) ^ (rnd.random(n) < 0.15)) & (rnd.random(n) < 0.6)
+    return spark.createDataFrame([(k, *map(float, r), int(t)) for k, (r, t) in enumerate(zip(x, y, strict=True))], "k long, a double, b double, c double, fog int")
+
+
+def test_trees_equal_those_of_spark_where_nothing_is_drawn(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from hazeline.operators import models
+    from hazeline.operators.variants import class_weights
+
+    df, cols = forest_rows(spark, 3000), ["a", "b", "c"]
+    data = models.assembled(class_weights(df), cols)
+    own = RandomForestClassifier(labelCol="fog", weightCol="weight", numTrees=1, maxDepth=6, minInstancesPerNode=25, featureSubsetStrategy="all", bootstrap=False).fit(data)
+    model = forest.fit(df, cols, trees=1, depth=6, tried=3, bootstrap=False)
+    want = {r["k"]: r["score"] for r in models.scored(own, data).collect()}
+    got = {r["k"]: r["score"] for r in models.scored(model, models.assembled(df, cols)).collect()}
+    assert len(set(got.values())) > 5 and got == pytest.approx(want, abs=1e-9)
+    told = {r["feature"]: r["importance"] for r in models.importance(model, cols, spark).collect()}
+    assert [told[c] for c in cols] == pytest.approx(own.featureImportances.toArray().tolist(), abs=1e-9)
+
+
+def test_a_forest_grows_on_cells_however_rows_are_dealt(spark, monkeypatch):
+    """Passes go over rows of the same bins and label as one; the number of tasks, of passes and of copies of cells changes no tree."""
+    from hazeline.operators import models
+
+    kept = []
+    spool = forest.spool
+    monkeypatch.setattr(forest, "spool", lambda df, name: kept.append(spool(df, name)) or kept[-1])
+    df, cols = forest_rows(spark, 4000).withColumn("a", F.col("a") + F.col("k") / 1e6), ["a", "b", "c"]
+    found = [models.forest(df.repartition(n), cols, trees=5, depth=5).trees for n in (1, 7)]
+    monkeypatch.setattr(forest, "COUNTS", 500)
+    found.append(models.forest(df, cols, trees=5, depth=5).trees)
+    assert found[0] == found[1] == found[2] and len({tuple(t.value) for t in found[0]}) == 5
+    monkeypatch.undo()
+    small = models.forest(df, ["c"], trees=2, depth=3)
+    assert len(small.edges[0]) == 4
+    cells = kept[0].toPandas()
+    assert cells["n"].sum() == 4000 and not cells.duplicated(["bins", "y"]).any()
+    many = df.unionByName(df).unionByName(df)
+    monkeypatch.setattr(forest, "spool", lambda df, name: kept.append(spool(df, name)) or kept[-1])
+    models.forest(many, cols, trees=5, depth=2)
+    assert kept[-1].count() == len(cells) and kept[-1].agg(F.sum("n")).first()[0] == 12000
+
+
+def test_samples_take_cells_as_often_as_their_rows(spark):
+    """A cell of n rows is taken as often as n rows that are each taken Poisson of mean 1; the same key and seed draw the same."""
+    keys = np.random.default_rng(1).integers(-(2**62), 2**62, 20_000)
+    for mean in (1, 5, forest.SMALL, forest.SMALL + 1, 400):
+        means = np.full(len(keys), mean)
+        got = forest.poisson(means, keys, [9, 10])
+        assert (abs(got.mean(axis=1) / mean - 1) < 0.03).all() and (abs(got.var(axis=1) / mean - 1) < 0.06).all()
+        assert abs(np.corrcoef(got)[0, 1]) < 0.03 and (got[:, 5:9] == forest.poisson(means[5:9], keys[5:9], [9, 10])).all()
+    ones = forest.poisson(np.ones(len(keys), np.int64), keys, [4])[0]
+    assert np.bincount(ones)[:4] / len(keys) == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=0.015)
+
+
+def test_a_forest_scores_as_one_of_spark(spark):
+    """With draws, both find the same: close areas and probabilities; odd tables give forests without splits."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from hazeline.operators import models
+    from hazeline.operators.variants import class_weights
+
+    df, cols = forest_rows(spark, 6000, 8), ["a", "b", "c"]
+    train, test = df.where("k % 3 > 0"), models.assembled(df.where("k % 3 = 0"), cols)
+    own = RandomForestClassifier(labelCol="fog", weightCol="weight", numTrees=20, maxDepth=10, minInstancesPerNode=25, seed=42).fit(models.assembled(class_weights(train), cols))
+    a, b = (models.scored(m, test) for m in (own, models.forest(train, cols)))
+    areas = [metrics.roc_auc(d, []).first()["auc"] for d in (a, b)]
+    assert min(areas) > 0.7 and abs(areas[0] - areas[1]) < 0.02
+    x, y = (np.array([r["score"] for r in d.orderBy("k").collect()]) for d in (a, b))
+    assert np.abs(x - y).mean() < 0.05 and np.corrcoef(x, y)[0, 1] > 0.95
+    gaps = train.limit(50).withColumn("a", F.lit(None).cast("double"))
+    for odd in (train.where("fog = 0"), train.where("fog = 1"), train.limit(0), gaps):
+        flat = forest.fit(odd, cols, trees=3)
+        assert all(t.feature == [-1] for t in flat.trees)
+    assert {v for t in forest.fit(train.where("fog = 1"), cols, trees=2).trees for v in t.value} == {1.0}
+    more = forest.fit(train.unionByName(gaps), cols, trees=2)
+    assert [t.feature[0] >= 0 for t in more.trees] == [True, True]

@@ -573,6 +573,18 @@ def test_models_find_a_signal(spark):
     assert imp["x"] > 80 and sum(imp.values()) == pytest.approx(100)
 
 
+def test_models_score_after_observe(spark, tmp_path):
+    """A session that has used ``observe`` can't be sent to tasks, so no model may hold it."""
+    from hazeline.operators import models
+
+    df = spark.range(200).select((F.col("id") % 20).cast("double").alias("x")).withColumn("fog", (F.col("x") > 15).cast("int"))
+    assert report.counted(df, lambda rows: rows.write.parquet(str(tmp_path / "x")), fog=F.col("fog") == 1) == {"rows": 200, "fog": 40}
+    rows = models.assembled(df, ["x"])
+    for fitted in (models.logistic(df, ["x"], max_iter=5), models.sequence_net(rows, 1, hidden=(2,), epochs=5)):
+        assert models.scored(fitted, rows).where("score >= 0").count() == 200
+        assert models.importance(fitted, ["x"], spark).count() == 1
+
+
 @pytest.mark.parametrize("limit", [asof.BUCKET_ROWS, 1])
 def test_asof_windows_run_on_from_row_to_row(spark, monkeypatch, limit):
     """No frame reaches to the end of its partition, which Spark would go through again for each row."""

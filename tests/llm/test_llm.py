@@ -772,6 +772,31 @@ def test_jaccard_large_star_is_sent_a_bounded_number_of_times(spark, monkeypatch
     assert max(x for x in most if x) == 1 and spread[0] > 1
 
 
+def test_jaccard_sets_that_share_an_ngram_by_chance_are_not_sent(spark, monkeypatch):
+    """Of some hundred sets around one n-gram, only those go to be compared whole that their sketches say may be similar."""
+    monkeypatch.setattr(jaccard, "LOCAL_FREQUENT", 10**9)
+    # one of small hash, which nearly all prefixes hold
+    common = min((f"one two three four five{i}" for i in range(200)), key=lambda t: int(jaccard.shingle_sets([t.encode()])[0][0]))
+    docs = [(i, " ".join([common, *(f"w{i}n{k}" for k in range(15))])) for i in range(600)]
+    docs += [(2000 + i, docs[i][1] + " more") for i in range(40)]
+    sizes, sent, links, stars = [], [], jaccard._links, jaccard._stars
+
+    def counted(sends, *rest):
+        sent.append(sends.count())
+        return links(sends, *rest)
+
+    def seen(*args):
+        out = stars(*args)
+        sizes.append(out.groupBy("center").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    monkeypatch.setattr(jaccard, "_stars", seen)
+    got = rows(jaccard.components(table(spark, [(i, t, "s") for i, t in docs])), "doc_id", "n_shingles", "component_id")
+    assert got == sorted([(i, 16 if i < 2000 else 17, i % 2000) for i, _ in docs], key=str)
+    assert 128 < sizes[0] <= 1500 and sent == [80]
+
+
 def test_jaccard_edges(spark):
     assert rows(jaccard.components(table(spark, EDGE)), "doc_id", "n_shingles", "component_id") == brute_components([(i, t) for i, t, _ in EDGE])
     assert jaccard.components(table(spark, [])).count() == 0 and jaccard.dedup(table(spark, [])).count() == 0

@@ -797,6 +797,21 @@ def test_jaccard_sets_that_share_an_ngram_by_chance_are_not_sent(spark, monkeypa
     assert 128 < sizes[0] <= 1500 and sent == [80]
 
 
+def test_shuffles_of_a_written_table_go(spark):
+    from hazeline.llm import runtime
+
+    def files():
+        every = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (every.apply(i).getName() for i in range(every.size())) if n.startswith("shuffle_")}
+
+    before, until = files(), time.time() + 20
+    out = runtime.spool_alone(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_jaccard_edges(spark):
     assert rows(jaccard.components(table(spark, EDGE)), "doc_id", "n_shingles", "component_id") == brute_components([(i, t) for i, t, _ in EDGE])
     assert jaccard.components(table(spark, [])).count() == 0 and jaccard.dedup(table(spark, [])).count() == 0

@@ -402,3 +402,31 @@ def test_a_forest_scores_as_one_of_spark(spark):
     assert {v for t in forest.fit(train.where("fog = 1"), cols, trees=2).trees for v in t.value} == {1.0}
     more = forest.fit(train.unionByName(gaps), cols, trees=2)
     assert [t.feature[0] >= 0 for t in more.trees] == [True, True]
+
+
+def test_few_cells_in_the_driver_give_the_same_trees(spark, monkeypatch):
+    """Where all rows are used, trees grown from cells that the driver holds are those that Spark's sums give."""
+    rnd = np.random.default_rng(8)
+    x = np.stack([rnd.integers(0, 12, 600), rnd.integers(0, 30, 600)], axis=1).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), int(a + b / 3 + rnd.normal(0, 2) > 11)) for a, b in x], "a double, b double, fog int")
+    fits = []
+    for long in (100, 5):
+        monkeypatch.setattr(boosting, "LONG", long)
+        fits.append(boosting.fit(df, ["a", "b"], rounds=7, depth=3, step=0.3, rows_used=1.0, seed=4))
+    one, two = fits
+    assert [(t.feature, t.bin, t.missing_left) for t in one.trees] == [(t.feature, t.bin, t.missing_left) for t in two.trees]
+    assert np.allclose([v for t in one.trees for v in t.value], [v for t in two.trees for v in t.value]) and np.allclose(one.history, two.history)
+
+
+def test_boosting_query_takes_the_published_rounds(spark, monkeypatch):
+    from hazeline.plans import catalogue
+
+    asked = []
+
+    def fit(train, cols, label, rounds, depth, step, patience=20, seed=42):
+        asked.append((rounds, depth, step, patience))
+        return boosting.Boosted(tuple(cols), [np.zeros(0)] * len(cols), [], [])
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    catalogue.queries()["model_gbt"](spark, "/root/testdata/sf0.001")
+    assert asked == [(10_000, 5, 0.05, 1_000)]

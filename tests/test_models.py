@@ -430,3 +430,32 @@ def test_boosting_query_takes_the_published_rounds(spark, monkeypatch):
     monkeypatch.setattr(boosting, "fit", fit)
     catalogue.queries()["model_gbt"](spark, "/root/testdata/sf0.001")
     assert asked == [(10_000, 5, 0.05, 1_000)]
+
+
+def test_stacking_takes_the_published_sizes(spark, monkeypatch):
+    from hazeline.operators import models
+    from hazeline.plans import catalogue
+
+    class Asked(Exception):
+        pass
+
+    asked = {}
+
+    def forest(train, cols, label="fog", trees=0, **more):
+        asked["trees"] = trees
+        return boosting.Boosted(tuple(cols), [np.zeros(0)] * len(cols), [], [])
+
+    def boosted(train, cols, label="fog", rounds=0, patience=0, **more):
+        asked.update(rounds=rounds, patience=patience)
+        return boosting.Boosted(tuple(cols), [np.zeros(0)] * len(cols), [], [])
+
+    def network(*args, epochs=0, **more):
+        asked["epochs"] = epochs
+        raise Asked
+
+    monkeypatch.setattr(models, "forest", forest)
+    monkeypatch.setattr(models, "boosted", boosted)
+    monkeypatch.setattr(convolution, "fit", network)
+    with pytest.raises(Asked):
+        catalogue.queries()["model_stacking"](spark, "/root/testdata/sf0.001")
+    assert asked == {"trees": 500, "rounds": 10_000, "patience": 1_000, "epochs": 50}
